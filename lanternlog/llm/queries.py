@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from .media import op8_mpeg_audio
 from .sharding import op9_feistel_shards
+from .tokencount import op7_transducer_counts
 
-QUERIES = {f.__name__: f for f in (op8_mpeg_audio, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op7_transducer_counts, op8_mpeg_audio, op9_feistel_shards)}
 
 SQL: dict[str, str] = {}
