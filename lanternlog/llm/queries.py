@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .bpe import op4_duckdb_bpe
 from .media import op8_mpeg_audio
 from .sharding import op9_feistel_shards
 from .tokencount import op7_transducer_counts
 
-QUERIES = {f.__name__: f for f in (op7_transducer_counts, op8_mpeg_audio, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op4_duckdb_bpe, op7_transducer_counts, op8_mpeg_audio, op9_feistel_shards)}
 
 SQL: dict[str, str] = {}
