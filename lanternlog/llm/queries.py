@@ -8,7 +8,8 @@ from .mixing import op6_split_tree_mix
 from .quality import op2_weak_supervision
 from .sharding import op9_feistel_shards
 from .tokencount import op7_transducer_counts
+from .urls import op5_template_tree
 
-QUERIES = {f.__name__: f for f in (op2_weak_supervision, op4_duckdb_bpe, op6_split_tree_mix, op7_transducer_counts, op8_mpeg_audio, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op2_weak_supervision, op4_duckdb_bpe, op5_template_tree, op6_split_tree_mix, op7_transducer_counts, op8_mpeg_audio, op9_feistel_shards)}
 
 SQL: dict[str, str] = {}
