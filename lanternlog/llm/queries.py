@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op4_duckdb_bpe
+from .lm import op10_gated_recurrent
 from .media import op8_mpeg_audio
 from .mixing import op6_split_tree_mix
 from .neardup import op3_odd_sketches
@@ -12,6 +13,6 @@ from .sharding import op9_feistel_shards
 from .tokencount import op7_transducer_counts
 from .urls import op5_template_tree
 
-QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_weak_supervision, op3_odd_sketches, op4_duckdb_bpe, op5_template_tree, op6_split_tree_mix, op7_transducer_counts, op8_mpeg_audio, op9_feistel_shards)}
+QUERIES = {f.__name__: f for f in (op1_page_differencing, op2_weak_supervision, op3_odd_sketches, op4_duckdb_bpe, op5_template_tree, op6_split_tree_mix, op7_transducer_counts, op8_mpeg_audio, op9_feistel_shards, op10_gated_recurrent)}
 
 SQL: dict[str, str] = {}
