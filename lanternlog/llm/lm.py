@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, ship, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -279,7 +279,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A null text is an empty one: its only token is the end. Rows whose key's checksum says so are held out of training (a
     null key counts as the empty string); without training rows every word has the same smoothed share. Repeated rows are
     scored, and trained on, as often as they occur; an empty table gives an empty result."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("held"))
     counts = settle(count_words(rows.where(~F.col("held")), "text"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import ship, table
 
 # Fixed values of the MPEG audio format: kbit/s by (version 1 or not, layer) and header index; samples a second by version.
 BITRATES = {
@@ -194,6 +194,7 @@ PARSED = "version string, layer int, sample_rate int, frames long, samples long,
 
 def store_payload(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
     """Adds a column of streams that carry the binary payload column; a null payload is stored as an empty one."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(T.BinaryType())
     def carried(p: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settle, table
+from .common import settle, ship, table
 from .graph import components
 from .pieces import blocks
 from .shingles import SKETCH_ERROR, bands, estimate, fingerprint, odd_sketch, shingle_sets, signature, similar
@@ -152,6 +152,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     linked; component_id is the smallest key in reach, kept tells the row that bears it (each of them, should a key be
     repeated). Rows with a null key take part by their sets: their component is that of the other rows with the same set, or
     null. An empty table gives an empty result."""
+    ship(docs.sparkSession)
     rows = settle(text_sketches(docs, key, text))
     full = rows.where("n_shingles > 0")
     nodes = settle(full.groupBy("set_a", "set_b").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch"), F.max("n_shingles").alias("n")))

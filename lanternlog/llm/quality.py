@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -55,6 +55,7 @@ def text_counts(text: str | None) -> tuple[int, ...]:
 
 def with_counts(df: DataFrame, text: str, name: str = "counts") -> DataFrame:
     """Adds a struct of the counts of a text column."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(", ".join(f"{c} long" for c in COUNTS))
     def counted(texts: pd.Series) -> pd.DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle, table
+from .common import settle, ship, table
 
 #: 64-bit odd constants that mix a round's half and its key (fixed values of a public mixing function).
 MIX_A, MIX_B = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -83,6 +83,7 @@ def feistel_shards(df: DataFrame, order: list[str], shards: int, seed: int = 202
     place is a seeded permutation of the row numbers; shard = place mod shards and slot = place div shards, so shard
     sizes differ by one row at most, slots are gapless, and row i's shard and slot follow from (i, rows, seed) alone.
     Nulls sort first; rows equal in every ordering column are interchangeable; an empty table gives an empty result."""
+    ship(df.sparkSession)
     numbered, n = number_rows(df, order)
 
     @F.pandas_udf(T.LongType())
