@@ -20,3 +20,8 @@ def query(sql: str | None = None):
         return f
 
     return put
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from . import activity, documents, relations  # noqa: F401
