@@ -61,7 +61,7 @@ def by_precedence(*states: Column) -> Column:
 def floor_lookup(rows: DataFrame, brackets: DataFrame, keys: list[str], value: str, floor: str, result: str) -> DataFrame:
     """Adds the result of the greatest bracket at or below a value; brackets are few for each key."""
     best = brackets.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(floor).alias("floor"), F.col(result).alias("result")))).alias("_brackets"))
-    return rows.join(best, keys, "left").withColumn(result, F.element_at(F.filter("_brackets", lambda b: b.floor <= F.col(value)), -1).result).drop("_brackets")
+    return rows.join(best, keys, "left").withColumn(result, F.try_element_at(F.filter("_brackets", lambda b: b.floor <= F.col(value)), F.lit(-1)).result).drop("_brackets")
 
 
 def prefix_match(rows: DataFrame, guides: DataFrame, key: str, guide: str) -> DataFrame:

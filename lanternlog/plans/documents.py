@@ -1,0 +1,169 @@
+"""Queries over texts and pages, and the scalar functions over names, coins, levels and log lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..sources.log import parse_events
+from .inputs import cents, table
+from .registry import query
+
+
+@query("SELECT doc_id, CAST(t.pos AS BIGINT) AS pos, t.line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)) t")
+def d17_br_split(spark, sf_dir):
+    """Lines of each document, trimmed, without empty ones."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.split_br_lines(F.col("text")))).select("doc_id", F.col("pos").cast("long").alias("pos"), F.col("col").alias("line"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, max(length(line)) AS longest FROM l GROUP BY 1")
+def d5_sections(spark, sf_dir):
+    """Line sections of each document with their sizes."""
+    l = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    return l.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"), F.max(F.char_length("line").cast("long")).alias("longest"))
+
+
+@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS links FROM pages")
+def d15_links(spark, sf_dir):
+    """Distinct link targets of each page."""
+    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("links"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS lines, len(regexp_extract_all(html, '<li>')) AS drops FROM pages")
+def d13_html_items(spark, sf_dir):
+    """Title, lines and list entries of an item page."""
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), n("<p>").alias("lines"), n("<li>").alias("drops"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, CASE WHEN regexp_matches(path, '^/items?/[^/]+/?$') THEN 'item' WHEN regexp_matches(path, '^/zones?/[^/]+/?$') THEN 'zone'
+  WHEN regexp_matches(path, '^/(?:bis|best)[/-]') THEN 'bis' WHEN regexp_matches(path, '^/[a-z]{2}/[0-9]+(?:\\.html|/)?$') THEN 'category' WHEN regexp_matches(path, '^/?$') THEN 'index' ELSE 'other' END AS kind FROM p""")
+def p14_url_class(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.classify_url(F.col("url")).alias("kind"))
+
+
+NAME = "'  ' || p_name || '`s  Ring' || CASE WHEN p_partkey % 3 = 0 THEN ' +' || (p_partkey % 7) WHEN p_partkey % 3 = 1 THEN ' (Exaltation)' ELSE '*' END"
+
+
+def parts(spark, sf_dir):
+    return table(spark, sf_dir, "part")
+
+
+@query(f"SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({NAME}), ' \\(Exaltation\\)$', ''), '\\s*\\+[0-9]+$', ''), '[''’`]', '', 'g'), '\\*+$', ''), '\\s+', ' ', 'g'))) AS norm FROM part")
+def f1_normalize_name(spark, sf_dir):
+    return parts(spark, sf_dir).select("p_partkey", X.normalize_name(F.expr(NAME)).alias("norm"))
+
+
+ZONE = "n_name || CASE WHEN n_nationkey % 3 = 0 THEN ' - Group 2 (Hard)' WHEN n_nationkey % 3 = 1 THEN ' 4 (Easy)' ELSE '' END"
+
+
+@query(f"SELECT n_nationkey, trim(regexp_replace({ZONE}, '\\s+(- Group\\s+)?[0-9]+\\s+\\([A-Za-z]+\\)$', '')) AS base FROM nation")
+def f2_zone_base(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", X.zone_base(F.expr(ZONE)).alias("base"))
+
+
+@query("SELECT n_nationkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim('The ' || n_name || ' *')), '\\s*\\*$', ''), '[''’`]', '', 'g'), '^the ', '')) AS key, starts_with(lower('An Area of ' || n_name), 'an area ') AS pseudo FROM nation")
+def f4_zone_key(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", X.zone_key(F.concat(F.lit("The "), "n_name", F.lit(" *"))).alias("key"), X.is_pseudo_zone(F.concat(F.lit("An Area of "), "n_name")).alias("pseudo"))
+
+
+@query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type || ' #' || p_name || '!'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def f6_slug(spark, sf_dir):
+    return parts(spark, sf_dir).select("p_partkey", X.slug(F.concat("p_type", F.lit(" #"), "p_name", F.lit("!"))).alias("slug"))
+
+
+@query("SELECT p_partkey, p_brand AS family, CASE WHEN p_size % 11 < 10 THEN p_size % 11 + 1 END AS tier FROM part")
+def f7_roman_tier(spark, sf_dir):
+    """Family and tier of an effect name that ends in a Roman numeral."""
+    numeral = F.element_at(F.array(*map(F.lit, (*X.ROMAN, ""))), F.col("p_size") % 11 + 1)
+    name = F.trim(F.concat("p_brand", F.lit(" "), numeral))
+    return parts(spark, sf_dir).select("p_partkey", X.effect_family(name).alias("family"), X.effect_tier(name).alias("tier"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 4 THEN p_size END AS lo, CASE WHEN p_partkey % 5 IN (0, 1) THEN p_size + 5 WHEN p_partkey % 5 = 2 THEN p_size END AS hi FROM part")
+def f10_level_range(spark, sf_dir):
+    """Levels out of `5-10`, `5 to 10`, `5`, `5+` and text without any."""
+    s = F.expr("CASE p_partkey % 5 WHEN 0 THEN p_size || '-' || (p_size + 5) WHEN 1 THEN p_size || ' to ' || (p_size + 5) WHEN 2 THEN '' || p_size WHEN 3 THEN p_size || '+' ELSE 'any' END")
+    lo, hi = X.parse_level(s)
+    return parts(spark, sf_dir).select("p_partkey", lo.alias("lo"), hi.alias("hi"))
+
+
+COPPER = "CAST(CAST(p_retailprice AS DECIMAL(18,2)) * 100 AS BIGINT)"
+
+
+@query(f"SELECT p_partkey, {COPPER} % 1000 AS copper FROM part")
+def f14_coin_to_copper(spark, sf_dir):
+    c = cents("p_retailprice") % 1000
+    said = F.concat(F.floor(c / 100).cast("string"), F.lit(" gold, "), (F.floor(c / 10) % 10).cast("string"), F.lit(" silver and "), (c % 10).cast("string"), F.lit(" copper"))
+    return parts(spark, sf_dir).select("p_partkey", X.coin_to_copper(said).alias("copper"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN c = 0 THEN '0c' ELSE array_to_string(list_filter([CASE WHEN c // 1000 > 0 THEN c // 1000 || 'p' END, CASE WHEN c // 100 % 10 > 0 THEN c // 100 % 10 || 'g' END, CASE WHEN c // 10 % 10 > 0 THEN c // 10 % 10 || 's' END, CASE WHEN c % 10 > 0 THEN c % 10 || 'c' END], lambda x: x IS NOT NULL)[1:2], ' ') END AS shown
+  FROM (SELECT p_partkey, {COPPER} AS c FROM part)""")
+def f15_copper_to_text(spark, sf_dir):
+    return parts(spark, sf_dir).select("p_partkey", X.copper_text(cents("p_retailprice")).alias("shown"))
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS t FROM events")
+def f20_log_timestamp(spark, sf_dir):
+    """Times written as log lines and read back."""
+    line = F.concat(F.lit("[Fri "), F.date_format(F.col("ts").cast("timestamp_ntz"), "MMM dd HH:mm:ss yyyy"), F.lit("] You have slain a rat!"))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(X.log_timestamp(line)).alias("t"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha FROM documents")
+def f21_sha256(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+
+
+@query("SELECT event_id, CAST(coalesce(TRY_CAST(props->>'$.k' AS BIGINT), -1) AS BIGINT) AS k FROM events")
+def f22_json_fallback(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(-1)).alias("k"))
+
+
+# Lines built from line items, parsed back by the log grammar.
+STAMP = "'[Fri Jul 31 18:38:02 2026] '"
+KINDS = (
+    ("aa_gain", "'You have gained an ability point!  You now have ' || l_partkey || ' ability points.'"),
+    ("aa_spend", "'You have improved Skill ' || l_partkey || ' at a cost of ' || l_linenumber || ' ability points.'"),
+    ("depot_deposit", "'You have deposited ' || l_linenumber || ' Ore ' || l_partkey || ' to your personal depot.'"),
+    ("upgrade", "'You have successfully merged two items together to create a new item: Ring ' || l_partkey || ' +' || l_linenumber || '.'"),
+    ("xp", "'You gain party experience (with a bonus)! (' || l_linenumber || '.5%)'"),
+    ("damage_taken", "'You have taken ' || l_partkey || ' damage from Swarm by a rat.'"),
+    ("loot", "'You looted ' || l_linenumber || ' Skin ' || l_partkey || ' from a rat''s corpse and sold it for ' || l_linenumber || ' gold and 3 copper.'"),
+    ("loot", "'You looted a Blade ' || l_partkey || ' from a rat''s corpse to create a Blade ' || l_partkey || ' +1'"),
+    ("achievement", "'You have completed achievement: Deed ' || l_partkey"),
+    ("craft_error", "'The result of this combine would produce an unusable item.'"),
+    (None, "'Someone says, ''You have completed achievement'''"),
+)
+LINE = f"{STAMP} || CASE l_orderkey % {len(KINDS)} " + " ".join(f"WHEN {i} THEN {said}" for i, (_, said) in enumerate(KINDS)) + " END"
+
+
+def parsed(spark, sf_dir):
+    return parse_events(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(LINE).alias("line")))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE l_orderkey % {len(KINDS)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _) in enumerate(KINDS) if k) + " END AS type FROM lineitem")
+def p1_gate_chain(spark, sf_dir):
+    """Type of each line by the gates and patterns of the grammar."""
+    return parsed(spark, sf_dir).select("l_orderkey", "l_linenumber", "type")
+
+
+def _event(name: str, kind: int, sql: str, columns: list[str]) -> None:
+    def run(spark, sf_dir):
+        return parsed(spark, sf_dir).where(F.col("l_orderkey") % len(KINDS) == kind).select("l_orderkey", "l_linenumber", *columns)
+
+    run.__name__ = name
+    query(f"SELECT l_orderkey, l_linenumber, {sql} FROM lineitem WHERE l_orderkey % {len(KINDS)} = {kind}")(run)
+
+
+_event("e1_aa_gain", 0, "1 AS points, CAST(l_partkey AS INT) AS balance_after", ["points", "balance_after"])
+_event("e2_aa_spend", 1, "'Skill ' || l_partkey AS ability, l_linenumber AS points", ["ability", "points"])
+_event("e3_depot", 2, "'Ore ' || l_partkey AS item, CAST(l_linenumber AS BIGINT) AS qty", ["item", "qty"])
+_event("e4_upgrade", 3, "'Ring ' || l_partkey || ' +' || l_linenumber AS item, l_linenumber AS tier", ["item", "tier"])
+_event("e5_xp_bonus", 4, "l_linenumber + 0.5::DOUBLE AS pct", ["pct"])
+_event("e6_dot_taken", 5, "l_partkey AS amount, 'Swarm' AS spell, 'a rat' AS source", ["amount", "spell", "source"])
+_event("e7_loot_sold", 6, "'Skin ' || l_partkey AS item, CAST(l_linenumber AS BIGINT) AS qty, CAST(l_linenumber * 100 + 3 AS BIGINT) AS copper, 'a rat' AS source", ["item", "qty", "copper", "source"])
+_event("e8_loot_merged", 7, "'Blade ' || l_partkey AS item, CAST(1 AS BIGINT) AS qty, 'Blade ' || l_partkey || ' +1' AS merged_into", ["item", "qty", "merged_into"])
+_event("e9_achievement", 8, "'Deed ' || l_partkey AS name", ["name"])
+_event("e10_craft_error", 9, "'unusable_result' AS reason", ["reason"])
