@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.log import FIELDS  # noqa: F401  (the wide event schema a live log has)
-
 OUTPUT = "user_id long, session long, started_at long, last_ts long, seconds long, events long"
 STATE = "session long, started_at long, last_ts long, seconds long, events long"
 
@@ -45,3 +46,19 @@ def apply_once(path: str):
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
     return write
+
+
+def stream_folder(spark) -> str:
+    """A new folder for a stream's checkpoint and output, under the session's shared checkpoint folder if it has one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4()}"
+
+
+def run_available(events: DataFrame, gap: int) -> DataFrame:
+    """Runs the live query over what a stream holds now, and returns the last state of each session."""
+    spark = events.sparkSession
+    folder = stream_folder(spark)
+    live_sessions(events, gap).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(apply_once(f"{folder}/rows")).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{OUTPUT}, batch string").parquet(f"{folder}/rows")
+    last = rows.groupBy("user_id", "session").agg(F.max(F.struct("events", "started_at", "last_ts", "seconds")).alias("r"))
+    return last.select("user_id", "session", "r.started_at", "r.last_ts", "r.seconds", "r.events")
