@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ship, table
 from .pieces import blocks, class_table, split
 
 CONTRACT = """
@@ -30,9 +30,9 @@ WITH RECURSIVE tok(pos, w, id) USING KEY (pos) AS (
     WITH paired AS MATERIALIZED (
       SELECT n.pos, n.w, n.id, n.rn, m.made
       FROM (
-        SELECT pos, w, id, CASE WHEN lead(w) OVER line = w THEN lead(id) OVER line END AS id_next, row_number() OVER line AS rn
+        SELECT pos, w, id, CASE WHEN lead(w) OVER line = w THEN id::BIGINT * 65536 + lead(id) OVER line END AS both, row_number() OVER line AS rn
         FROM tok WHERE id >= 0 WINDOW line AS (ORDER BY pos)
-      ) n LEFT JOIN merges m ON m.a = n.id AND m.b = n.id_next
+      ) n LEFT JOIN merges m ON m.both = n.both
     ),
     least AS (SELECT w, min(made) AS made FROM paired WHERE made IS NOT NULL GROUP BY w)
     SELECT pos, w, CASE WHEN hit_before AND (rn - 1 - gap_before) % 2 = 1 THEN -1 WHEN hit AND (rn - gap) % 2 = 1 THEN made ELSE id END
@@ -52,12 +52,32 @@ SELECT w, id FROM tok WHERE id >= 0 ORDER BY pos
 """
 
 DECODE = """
-SELECT t.doc, string_agg(v.piece, '' ORDER BY t.pos) AS chars
-FROM ids_in t LEFT JOIN vocab v ON v.id = t.id GROUP BY t.doc ORDER BY t.doc
+SELECT doc, string_agg(piece, '') AS chars
+FROM (SELECT t.doc, v.piece FROM ids_in t JOIN vocab v ON v.id = t.id ORDER BY t.pos) GROUP BY doc ORDER BY doc
 """
 
 #: Distinct pieces that a worker keeps encoded before it starts anew.
-MOST_PIECES = 400_000
+MOST_PIECES = 1_200_000
+
+
+class Hash:
+    """Two independent 64-bit polynomial hashes of slices of a byte row, from running sums."""
+
+    def __init__(self, seed: int):
+        rng = np.random.Generator(np.random.PCG64(seed))
+        self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(1, 2**63)) * 2 + 1
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def slices(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(self.powers) <= len(data):
+            grow = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), x % 2**64, np.uint64)]))
+            self.powers, self.inverses = grow(self.base), grow(pow(self.base, -1, 2**64))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
+        h = (sums[ends] - sums[begins]) * self.inverses[begins] + (ends - begins).astype(np.uint64) * self.values[0]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return h ^ (h >> np.uint64(32))
 
 
 class Codec:
@@ -70,15 +90,16 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
         ids = self.ranks
         rows = [(ids[t[:k]], ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
-        a, b, made = (np.array(c, np.int32) for c in zip(*rows, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB"})
-        self.fill("merges", {"a": a, "b": b, "made": made})
+        a, b, made = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})  # one thread: aggregates see their ordered input in order
+        self.fill("merges", {"both": a * 65536 + b, "made": made.astype(np.int32)})
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ids.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ids]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
         self.byte = np.array([ids[bytes((x,))] for x in range(256)], np.int32)
         byte_ranks = {bytes((x,)): x for x in range(256)}
         runs = lambda pattern, text: [(e := tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=byte_ranks, special_tokens={})).decode_bytes(e.encode_ordinary(text)).decode()]
         self.classes = class_table(runs)
+        self.hashes = Hash(11), Hash(12)
         self.forget()
 
     def fill(self, name: str, columns: dict[str, np.ndarray]) -> None:
@@ -87,35 +108,51 @@ class Codec:
         self.db.unregister("_in")
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.ends = np.empty(0, np.uint32), np.zeros(1, np.int64)
-
-    def learn(self, pieces: list[bytes]) -> None:
-        """Encodes new distinct pieces by the recursive query and numbers them."""
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        w = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
-        self.fill("bytes_in", {"pos": np.arange(len(w), dtype=np.int32), "w": w, "id": self.byte[np.frombuffer(b"".join(pieces), np.uint8)]})
+        """Empties the table of encoded pieces: sorted hashes, check hashes, and where each piece's ids stand."""
+        self.hash, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def learn(self, row: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces, given as one row of bytes, by the recursive query: where each one's ids stand, and how many."""
+        w = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.fill("bytes_in", {"pos": np.arange(len(w), dtype=np.int32), "w": w, "id": self.byte[row]})
         got = self.db.sql(CONTRACT).to_arrow_table()
-        counts = np.bincount(got["w"].to_numpy(), minlength=len(pieces))
-        self.ids = np.concatenate([self.ids, got["id"].to_numpy().astype(np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(counts)])
-        first = len(self.number)
-        self.number.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        counts = np.bincount(got["w"].to_numpy(), minlength=len(sizes))
+        end = self.used + got.num_rows
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(end - len(self.ids), len(self.ids)), np.uint32)])
+        self.ids[self.used : end] = got["id"].to_numpy()
+        start = self.used + np.cumsum(counts) - counts
+        self.used = end
+        return start, counts
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text. Pieces are told apart by two 64-bit hashes; should the first ever be equal for two pieces, the
+        second shows it and the block is refused rather than encoded wrongly."""
         data, begins, ends, owner = split(texts, self.classes)
-        raw = data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-        if len(self.number) > MOST_PIECES:
+        if len(self.hash) > MOST_PIECES:
             self.forget()
-        distinct = dict.fromkeys(pieces)
-        if new := [p for p in distinct if p not in self.number]:
-            self.learn(new)
-        at = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        start, size = self.ends[at], self.ends[at + 1] - self.ends[at]
-        before = np.cumsum(size) - size
-        flat = self.ids[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+        hashes, check = self.hashes[0].slices(data, begins, ends), self.hashes[1].slices(data, begins, ends)
+        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, distinct)
+        new = np.ones(len(distinct), bool)
+        inside = place < len(self.hash)
+        new[inside] = self.hash[place[inside]] != distinct[inside]
+        if new.any():
+            b, n = begins[first[new]], ends[first[new]] - begins[first[new]]
+            row = data[np.repeat(b - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            start, size = self.learn(row, n)
+            self.hash = np.insert(self.hash, place[new], distinct[new])
+            self.check = np.insert(self.check, place[new], check[first[new]])
+            self.start = np.insert(self.start, place[new], start)
+            self.size = np.insert(self.size, place[new], size)
+            place = np.searchsorted(self.hash, distinct)
+        at = place[at]
+        if (self.check[at] != check).any():
+            raise ValueError("two different pieces have the same hash")
+        start, size = self.start[at], self.size[at].astype(np.int64)
+        flat = self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
         per_text = np.bincount(owner, weights=size, minlength=len(texts)).astype(np.int64)
         return np.split(flat, np.cumsum(per_text)[:-1])
 
@@ -140,8 +177,9 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_texts(df: DataFrame, text: str, path: str, ids: str = "ids", block: int = 2_000_000) -> DataFrame:
+def encode_texts(df: DataFrame, text: str, path: str, ids: str = "ids", block: int = 500_000) -> DataFrame:
     """Adds the token ids (array of int) of a text column; a null text counts as empty, an empty one has no ids."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
@@ -151,7 +189,7 @@ def encode_texts(df: DataFrame, text: str, path: str, ids: str = "ids", block: i
     return df.withColumn(ids, encoded(F.col(text)))
 
 
-def decode_ids(df: DataFrame, ids: str, path: str, name: str = "decoded", block: int = 500_000) -> DataFrame:
+def decode_ids(df: DataFrame, ids: str, path: str, name: str = "decoded", block: int = 150_000) -> DataFrame:
     """Adds the bytes of an id column; null or empty ids give no bytes."""
 
     @F.pandas_udf("binary")

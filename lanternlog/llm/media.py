@@ -140,11 +140,11 @@ def parse(data: bytes | None) -> dict:
     data = bytes(data or b"")
     start, end, found = tags(data)
     at, offsets, bad, checked, skipped, samples, kbits, first = start, [], 0, 0, 0, 0, {}, None
-    bodies, table_frames = [], None
+    bodies, table_frames, synced = [], None, False
     while at + 4 <= end:
         h = header(data, at)
-        # A header counts if the frame is whole and, where it can't go on from a frame before it, the next is a header too.
-        if h and at + h[4] <= end and (first is None or h[:2] == first[:2] and h[3] == first[3]) and (at + h[4] == end or header(data, at + h[4])):
+        # A header counts if the frame is whole and either follows a frame or has a header, or the end, right after it.
+        if h and at + h[4] <= end and (first is None or h[:2] == first[:2] and h[3] == first[3]) and (synced or at + h[4] == end or header(data, at + h[4])):
             version, layer, kbit, hz, size, before = h
             first = first or h
             if not data[at + 1] & 1 and layer == 3:
@@ -158,12 +158,12 @@ def parse(data: bytes | None) -> dict:
                 samples += _samples(version, layer)
                 kbits[kbit] = kbits.get(kbit, 0) + 1
                 bodies.append((at + before, at + size))
-            at += size
+            at, synced = at + size, True
         else:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             skipped += nxt - at
-            at = nxt
+            at, synced = nxt, False
     private = next((v for k, v in found if k == b"PRIV" and v.startswith(OWNER)), None)
     payload, intact = None, None
     if private is not None and len(private) == len(OWNER) + 12:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import settle, ship, table
 from .graph import components
 from .pieces import blocks
-from .shingles import SKETCH_ERROR, bands, estimate, fingerprint, odd_sketch, shingle_sets, signature, similar
+from .shingles import bands, fingerprint, may_reach, odd_sketch, shingle_sets, signature, similar
 
 #: Rows of a block, of which two meet in a task.
 BLOCK = 256
@@ -55,17 +55,13 @@ def _bits(sketches: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
 
 
-def _least_estimate(percent: int) -> float:
-    return percent / 100 - 5 * SKETCH_ERROR
-
-
 def may_be_similar(percent: int):
     """Whether two sketches of sets of known sizes leave a similarity of percent possible."""
 
     @F.pandas_udf("boolean")
     def told(a: pd.Series, n: pd.Series, b: pd.Series, m: pd.Series) -> pd.Series:
         bits = np.bitwise_count(_bits(a) ^ _bits(b)).sum(axis=1)
-        return pd.Series(estimate(bits, n.to_numpy(), m.to_numpy()) >= _least_estimate(percent))
+        return pd.Series(may_reach(bits, n.to_numpy(), m.to_numpy(), percent))
 
     return told
 
@@ -115,14 +111,13 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
     )
     order = ["key", "g.kind", "g.i", "g.j"]
     met = dealt.withColumn("g", F.explode(groups)).repartition(*map(F.col, order)).sortWithinPartitions(*order).select("key", F.col("g.kind").alias("kind"), F.col("g.i").alias("i"), F.col("g.j").alias("j"), "id", "component", "n", "sketch")
-    least = _least_estimate(percent)
 
     def compare(g: pd.DataFrame) -> pd.DataFrame:
         ids, comp, n, bits = g["id"].to_numpy(), g["component"].to_numpy(), g["n"].to_numpy(), _bits(g["sketch"])
         found = []
         for s in range(0, len(g), 64):
             differ = np.bitwise_count(bits[s : s + 64, None, :] ^ bits[None, :, :]).sum(axis=2)
-            ok = (estimate(differ, n[s : s + 64, None], n[None, :]) >= least) & (comp[s : s + 64, None] != comp[None, :]) & (ids[s : s + 64, None] < ids[None, :])
+            ok = may_reach(differ, n[s : s + 64, None], n[None, :], percent) & (comp[s : s + 64, None] != comp[None, :]) & (ids[s : s + 64, None] < ids[None, :])
             x, y = np.nonzero(ok)
             found.append(np.stack([ids[s + x], ids[y]]))
         a, b = np.concatenate(found, axis=1)

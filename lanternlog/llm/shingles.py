@@ -11,9 +11,6 @@ BANDS, BAND_ROWS = 48, 5
 SAMPLES = BANDS * BAND_ROWS
 #: The odd sketch folds one sample for each of so many slices of the hash range into a bitmap of so many bits.
 SLICES, SKETCH_BITS = 2048, 4096
-#: Standard deviation of a similarity estimated from two sketches, near 0.75.
-SKETCH_ERROR = 0.014
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -83,16 +80,38 @@ def odd_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount(bit.astype(np.int64), minlength=SKETCH_BITS) % 2 == 1).tobytes()
 
 
-def estimate(differing_bits: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, near: float = 0.75) -> np.ndarray:
-    """Similarity of sets of known sizes from the population count of the XOR of their odd sketches, for pairs near `near`.
+def _filled(n: np.ndarray) -> np.ndarray:
+    """Slices that a set of n hashes is expected to fill, which is the number of its samples."""
+    return SLICES * -np.expm1(n * np.log1p(-1 / SLICES))
+
+
+def estimate(differing_bits: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(similarity, its standard error) of sets of known sizes from the population count of the XOR of their odd sketches.
 
-    The count gives how many samples differ; what share of a pair's samples that is follows from how many slices a union
-    of the size that `near` implies leaves filled."""
-    filled = lambda n: SLICES * -np.expm1(n * np.log1p(-1 / SLICES))
+    The count gives how many samples differ, hence how many are equal; the similarity is their share of the union's
+    samples, whose number follows from the sizes and the similarity itself, so a few rounds settle both. The error is that
+    of the bitmap's collisions and of sampling; it vanishes for sets so small that every hash is a sample."""
     share = np.minimum(2 * differing_bits / SKETCH_BITS, 1 - 1e-9)
-    differing = -SKETCH_BITS / 2 * np.log1p(-share)
-    same = (filled(sizes_a) + filled(sizes_b) - differing) / 2
-    return same / filled((sizes_a + sizes_b) / (1 + near))
+    differ = -SKETCH_BITS / 2 * np.log1p(-share)
+    total, sizes = _filled(sizes_a) + _filled(sizes_b), sizes_a + sizes_b
+    same = np.clip((total - differ) / 2, 0, None)
+    found = np.full(np.shape(same), 0.75)
+    for _ in range(4):
+        union = sizes / (1 + found)
+        found = np.clip(same / np.maximum(_filled(union), 1e-9), 0, 1)
+    union = sizes / (1 + found)
+    flat = np.exp(-4 * differ / SKETCH_BITS)
+    bits = np.maximum(SKETCH_BITS / 4 * (1 - flat) - differ * flat, 0) / flat
+    collisions = np.sqrt(bits) / 2 * total / np.maximum(total - same, 1e-9) ** 2
+    samples = _filled(union)
+    sampling = found * (1 - found) / np.maximum(samples, 1) * (1 - samples / np.maximum(union, 1e-9)).clip(0)
+    return found, np.sqrt(collisions**2 + sampling)
+
+
+def may_reach(differing_bits: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a similarity of percent lies within five standard errors (and a half percent) of the estimate."""
+    found, error = estimate(differing_bits, sizes_a, sizes_b)
+    return found + 5 * error + 0.005 >= percent / 100
 
 
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:

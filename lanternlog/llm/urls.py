@@ -105,7 +105,8 @@ def filter_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     empty template and is allowed; repeated rows count as often as they occur; an empty table stays empty."""
     host, path = host_and_path(F.col(url))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    rows = pages.withColumns({"host": host, "path": path}).withColumns({"rule": rule, "_label": verdict})
+    added = ("host", "path", "rule", "template", "purity", "template_verdict", "verdict", "_label")  # replaced if the pages have them
+    rows = pages.drop(*(c for c in added if c != url)).withColumns({"host": host, "path": path}).withColumns({"rule": rule, "_label": verdict})
     judged = judge_templates(rows.select("host", "path", F.col("_label").alias("label")))
     # Distinct keys on one side; a hot host's rows differ in their paths, and AQE splits a path that is hot itself.
     return rows.join(judged, ["host", "path"], "left").withColumn("verdict", F.coalesce("_label", "template_verdict", F.lit("allow"))).drop("_label", "template_verdict")
