@@ -13,9 +13,9 @@ of a document's words are joined with their counts by a shuffle.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -24,16 +24,18 @@ from pyspark.sql import functions as F
 
 from .common import settle, ship, table
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 #: The end of a text; no word is equal to it, as words hold no line feed.
 END = "\n"
 
 #: Most frequent words that are broadcast, and those of them that the network tells apart: CLASSES classes of CLASS_SIZE.
 HEAD, CLASSES, CLASS_SIZE = 100_000, 32, 48
 NET_WORDS = CLASSES * CLASS_SIZE
-HIDDEN, WINDOW, LANES = 16, 24, 96
-ROUNDS, RATE, CLIP = 3, 0.02, 1.0
+HIDDEN, WINDOW, LANES = 16, 24, 384
+ROUNDS, RATE, CLIP, SCALE = 3, 0.08, 1.0, 100.0
+#: Tokens whose word probabilities are worked out at once when texts are scored.
+SCORED = 8192
+#: Tokens up to which texts are gathered to be scored side by side, and windows after which training starts from a fresh state.
+GATHERED, FRESH_AFTER = 4_000_000, 40
 SEED = 5
 
 
@@ -41,19 +43,25 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(7)) == 2
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text with A-Z in lower case, as UTF-8: bytes are lowered and split by ASCII rules only."""
+    return (text or "").encode().lower().split()
+
+
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word, c) of every token of a text column: words with A-Z in lower case, and one end a text."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
+        told = lambda: pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values())}).astype({"word": object, "c": np.int64})
         for batch in batches:
             for t in batch[text]:
-                counts.update(WORDS.findall((t or "").translate(LOWER)))
-            counts[END] += len(batch)
+                counts.update(words_of(t))
+            counts[END.encode()] += len(batch)
             if len(counts) > 200_000:
-                yield pd.DataFrame({"word": list(counts), "c": list(counts.values())})
+                yield told()
                 counts.clear()
-        yield pd.DataFrame({"word": list(counts), "c": list(counts.values())}).astype({"word": object, "c": np.int64})
+        yield told()
 
     return docs.select(text).mapInPandas(counted, "word string, c long").groupBy("word").agg(F.sum("c").cast("long").alias("c"))
 
@@ -100,51 +108,65 @@ class Net:
         out = np.empty((*words.shape, n), np.float32)
         for t in range(len(words)):
             rec = h @ p["wh"]
-            zr = 1 / (1 + np.exp(-(gates[t, :, : 2 * n] + rec[:, : 2 * n])))
+            zr = gates[t, :, : 2 * n]
+            zr += rec[:, : 2 * n]
+            np.exp(np.negative(zr, out=zr), out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
             z, r = zr[:, :n], zr[:, n:]
-            new = np.tanh(gates[t, :, 2 * n :] + r * rec[:, 2 * n :])
+            new = r * rec[:, 2 * n :]
+            new += gates[t, :, 2 * n :]
+            np.tanh(new, out=new)
             if keep is not None:
                 keep.append((h, z, r, rec[:, 2 * n :], new))
-            h = out[t] = z * h + (1 - z) * new
+            h = np.add(z * (h - new), new, out=out[t])
         return out
 
+    @staticmethod
+    def softmax(logits: np.ndarray, own: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each column's own row, and with grads what flows back into the logits, which are overwritten."""
+        at = np.arange(len(own))
+        logits -= logits.max(0)
+        mine = logits[own, at]
+        np.exp(logits, out=logits)
+        s = logits.sum(0)
+        if grads:
+            logits /= s
+            logits[own, at] -= 1
+        return mine - np.log(s), logits
+
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural-log probability of each target after each state, and with grads what flows back into the states."""
-        p = self.p
-        cls = targets // CLASS_SIZE
-        rows = np.arange(len(targets))
-        logits = h @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(1, keepdims=True)
-        out = logits[rows, cls] - np.log(s[:, 0])
-        back = None
-        if grads is not None:
-            d = e / s
-            d[rows, cls] -= 1
-            grads["wc"] += h.T @ d
-            grads["bc"] += d.sum(0)
-            back = d @ p["wc"].T
+        """Natural-log probability of each target after each state, and with grads what flows back into the states.
+
+        States stand as columns in the order of their targets' classes, so each class is one slice."""
+        p, learn = self.p, grads is not None
+        cls = (targets // CLASS_SIZE).astype(np.int16)
         order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[ends[c] : ends[c + 1]]
-            if not len(at):
+        cls, own = cls[order], (targets[order] % CLASS_SIZE).astype(np.int64)
+        cols = np.ascontiguousarray(h[order].T)
+        lp, d = self.softmax(p["wc"].T @ cols + p["bc"][:, None], cls, learn)
+        back = None
+        if learn:
+            grads["wc"] += cols @ d.T
+            grads["bc"] += d.sum(1)
+            back = p["wc"] @ d
+        ends = np.searchsorted(cls, np.arange(CLASSES + 1, dtype=np.int16)).tolist()
+        for c, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if a == b:
                 continue
-            hc, own = h[at], targets[at] - c * CLASS_SIZE
-            logits = hc @ p["ww"][c] + p["bw"][c]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            s = e.sum(1, keepdims=True)
-            k = np.arange(len(at))
-            out[at] += logits[k, own] - np.log(s[:, 0])
-            if grads is not None:
-                d = e / s
-                d[k, own] -= 1
-                grads["ww"][c] += hc.T @ d
-                grads["bw"][c] += d.sum(0)
-                back[at] += d @ p["ww"][c].T
-        return out, back
+            inside, d = self.softmax(p["ww"][c].T @ cols[:, a:b] + p["bw"][c][:, None], own[a:b], learn)
+            lp[a:b] += inside
+            if learn:
+                grads["ww"][c] += cols[:, a:b] @ d.T
+                grads["bw"][c] += d.sum(1)
+                back[:, a:b] += p["ww"][c] @ d
+        out = np.empty_like(lp)
+        out[order] = lp
+        if learn:
+            flow = np.empty_like(h)
+            flow[order] = back.T
+            return out, flow
+        return out, None
 
     def learn(self, words: np.ndarray, targets: np.ndarray, live: np.ndarray, h: np.ndarray, speed: dict) -> np.ndarray:
         """One window of truncated backpropagation (steps x lanes); returns the state that the next window starts from."""
@@ -171,41 +193,41 @@ class Net:
             dh = dh * z + drec @ p["wh"].T
         dg = dgates.reshape(-1, 3 * n)
         ids = words.ravel()
-        emb = p["emb"][ids]
-        grads["wx"] += emb.T @ dg
-        grads["b"] += dg.sum(0)
-        demb = dg @ p["wx"].T
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.int16), kind="stable")
         uniq, first = np.unique(ids[order], return_index=True)
-        grads["emb"][uniq] += np.add.reduceat(demb[order], first, axis=0)
+        dg = np.add.reduceat(dg[order], first, axis=0)  # one row for each word
+        grads["wx"] += p["emb"][uniq].T @ dg
+        grads["b"] += dg.sum(0)
+        grads["emb"][uniq] += dg @ p["wx"].T
         for k, g in grads.items():  # a step that adapts to each weight's past gradients
-            g = np.clip(g / max(1, int(flat.sum())) * LANES, -CLIP, CLIP)
+            g = np.clip(g * (SCALE / (WINDOW * LANES)), -CLIP, CLIP)
             speed[k] += g * g
             p[k] -= RATE * g / (np.sqrt(speed[k]) + 1e-3)
         return states[-1]
 
 
-def lanes_of(texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Windows (words, targets, live, fresh lanes) over texts that end in an end; a lane takes the next text when one ends."""
+def lanes_of(texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Windows (words, targets, live, lanes, which of them are fresh) over runs of ids, each id the target of the one
+    before it; a lane takes the next run when one ends, and is left out when there is none."""
     queue = iter(texts)
     left: list[np.ndarray | None] = [None] * lanes
-    fresh = np.ones(lanes, bool)
     while True:
         words = np.zeros((WINDOW, lanes), np.int32)
         targets, live = np.zeros((WINDOW, lanes), np.int32), np.zeros((WINDOW, lanes), bool)
-        fresh[:] = False
+        fresh = np.zeros(lanes, bool)
         for k in range(lanes):
             if left[k] is None:
                 if (t := next(queue, None)) is not None:
-                    left[k], fresh[k] = np.concatenate([[0], t]), True  # the end's id, 0, also stands before a text
+                    left[k], fresh[k] = t, True
             if left[k] is not None:
                 part = left[k][: WINDOW + 1]
                 n = len(part) - 1
                 words[:n, k], targets[:n, k], live[:n, k] = part[:-1], part[1:], True
                 left[k] = left[k][WINDOW:] if len(left[k]) > WINDOW + 1 else None
-        if not live.any():
+        on = np.flatnonzero(live[0])
+        if not len(on):
             return
-        yield words, targets, live, fresh
+        yield words[:, on], targets[:, on], live[:, on], on, fresh[on]
 
 
 def train_partition(net: Net, batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, int]:
@@ -215,40 +237,42 @@ def train_partition(net: Net, batches: Iterator[pd.DataFrame]) -> tuple[np.ndarr
     def texts() -> Iterator[np.ndarray]:
         for batch in batches:
             for ids in batch["ids"]:
-                yield np.minimum(np.asarray(ids, np.int64), NET_WORDS)
+                line = np.append(0, ids)  # the end's id, 0, also stands before a text
+                for at in range(0, len(ids), FRESH_AFTER * WINDOW):
+                    yield line[at : at + FRESH_AFTER * WINDOW + 1]
 
     h = np.zeros((LANES, HIDDEN), np.float32)
-    for words, targets, live, fresh in lanes_of(texts(), LANES):
-        h[fresh] = 0
-        h = net.learn(words, targets, live, h, speed)
+    for words, targets, live, on, fresh in lanes_of(texts(), LANES):
+        h[on[fresh]] = 0
+        h[on] = net.learn(words, targets, live, h[on], speed)
         seen += int(live.sum())
     return net.flat(), seen
 
 
-def score_texts(net: Net, texts: list[np.ndarray], lanes: int = 256) -> np.ndarray:
+def score_texts(net: Net, texts: list[np.ndarray], lanes: int = 8192) -> np.ndarray:
     """Natural-log probability of each text; states are carried from window to window of a text."""
     order = np.argsort([-len(t) for t in texts], kind="stable")
     out = np.zeros(len(texts))
     for at in range(0, len(order), lanes):
         group = order[at : at + lanes]
         sizes = np.array([len(texts[i]) for i in group])
+        flat, begins = np.concatenate([texts[i] for i in group]), np.cumsum(sizes) - sizes
         h = np.zeros((len(group), HIDDEN), np.float32)
         last = np.zeros(len(group), np.int32)
-        for w in range(0, int(sizes[0]), WINDOW):
+        w = width = 0
+        while (w := w + width) < sizes[0]:  # the fewer texts are left, the longer is a window
             n = int((sizes > w).sum())
-            width = min(WINDOW, int(sizes[0]) - w)
-            words, targets, live = np.zeros((width, n), np.int32), np.zeros((width, n), np.int32), np.zeros((width, n), bool)
-            for k in range(n):
-                part = texts[group[k]][w : w + width]
-                m = len(part)
-                targets[:m, k], live[:m, k] = part, True
+            width = min(max(8, SCORED // n), int(sizes[0]) - w)
+            step = w + np.arange(width)[:, None]
+            live = step < sizes[:n]
+            targets = flat[np.minimum(begins[:n] + step, len(flat) - 1)] * live
+            words = np.empty_like(targets)
             words[0], words[1:] = last[:n], targets[:-1]
             last[:n] = targets[-1]
             states = net.hidden(words, h[:n])
             h[:n] = states[-1]
-            flat = live.ravel()
-            lp, _ = net.log_probs(states.reshape(-1, HIDDEN)[flat], targets.ravel()[flat])
-            lane = np.broadcast_to(np.arange(n), live.shape).ravel()[flat]
+            at, lane = np.nonzero(live)
+            lp, _ = net.log_probs(states[at, lane], targets[at, lane])
             out[group[:n]] += np.bincount(lane, weights=lp, minlength=n)
     return out
 
@@ -292,16 +316,16 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, head = ranked.value
-        number = {w: i for i, w in enumerate(words)}
+        number = {w.encode(): i for i, w in enumerate(words)}
         logs = np.log10((head + 1) / smooth)
         plus = np.log10(head + 1.0)
         for batch in batches:
             ids, tails, base, known, beyond = [], [], [], [], []
             for t in batch["text"]:
-                tokens = WORDS.findall(t.translate(LOWER))
-                at = np.fromiter((number.get(w, -1) for w in tokens), np.int64, len(tokens))
+                tokens = words_of(t)
+                at = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
                 tail = at < 0
-                tails.append([tokens[i] for i in np.flatnonzero(tail)])
+                tails.append([tokens[i].decode() for i in np.flatnonzero(tail)])
                 inside = np.append(at[~tail], 0)
                 base.append(float(logs[inside].sum()))
                 known.append(int((head[inside] > 0).sum()))
@@ -319,13 +343,23 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Net(weights.value)
+
+        def told(held: list[pd.DataFrame]) -> pd.DataFrame:
+            part = pd.concat(held, ignore_index=True)
+            texts = list(part["ids"])
+            far = np.array([int((t == NET_WORDS).sum()) for t in texts])
+            lp = score_texts(net, texts) / np.log(10) + part["beyond"].to_numpy() - far * np.log10(rest_mass)
+            return pd.DataFrame({"row": part["row"], "key": part["key"], "held": part["held"], "n": [len(t) for t in texts], "base": part["base"], "known": part["known"], "lp": lp})
+
+        waiting, n = [], 0
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                texts = [np.asarray(x, np.int64) for x in part["ids"]]
-                far = np.array([int((t == NET_WORDS).sum()) for t in texts])
-                lp = score_texts(net, texts) / np.log(10) + part["beyond"].to_numpy() - far * np.log10(rest_mass)
-                yield pd.DataFrame({"row": part["row"].to_numpy(), "key": part["key"].to_numpy(), "held": part["held"].to_numpy(), "n": [len(t) for t in texts], "base": part["base"].to_numpy(), "known": part["known"].to_numpy(), "lp": lp})
+            waiting.append(batch)
+            n += sum(map(len, batch["ids"]))
+            if n >= GATHERED:
+                yield told(waiting)
+                waiting, n = [], 0
+        if n:
+            yield told(waiting)
 
     scored = encoded.drop("tail").mapInPandas(score, f"row long, key {key_type}, held boolean, n long, base double, known long, lp double")
     seen = encoded.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("f"))
