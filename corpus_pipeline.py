@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanternlog.llm.bpe import bpe_digests
-from lanternlog.llm.common import materialise
+from lanternlog.llm.common import settle
 from lanternlog.llm.mixing import mix_sources, shuffled
 from lanternlog.llm.neardup import near_duplicates
 from lanternlog.llm.quality import base_failed, judge
@@ -21,9 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id. Rows that repeat it whole are dropped too."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """One document of each near-duplicate group: that with the smallest id. Rows that repeat it whole are dropped too; rows
+    without an id are told apart by their texts."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"]), "left_semi")
     return left.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
@@ -48,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = settle(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

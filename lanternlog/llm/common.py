@@ -40,13 +40,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it from there, so that lost executors recompute nothing before it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again."""
+    """Writes df as Parquet to the shared folder and reads it from there, so that lost executors recompute nothing before
+    it. Unlike an eager checkpoint(), which runs its plan once to count the rows and again to write them, it runs it once."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -32,7 +32,7 @@ MOST_BROADCAST = 500_000
 
 
 def text_sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, set_a, set_b, bands, sketch) of each row; a text without words has size 0 and nothing else."""
+    """(id, text_hash, n_shingles, set_a, set_b, bands, sketch) of each row; a text without words has size 0 and nothing else."""
 
     def sketched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -42,12 +42,13 @@ def text_sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
                 for s in shingle_sets(part):
                     rows.append((len(s), *fingerprint(s), bands(signature(s)), odd_sketch(s)) if len(s) else (0, None, None, None, None))
                 out = pd.DataFrame(rows, columns=["n_shingles", "set_a", "set_b", "bands", "sketch"]).astype({"set_a": "Int64", "set_b": "Int64"})
-                out.insert(0, "id", batch["id"].iloc[at : at + len(part)].to_numpy())
+                for name in ("text_hash", "id"):
+                    out.insert(0, name, batch[name].iloc[at : at + len(part)].to_numpy())
                 at += len(part)
                 yield out
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInPandas(
-        sketched, "id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash")).mapInPandas(
+        sketched, "id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
     )
 
 
@@ -141,7 +142,7 @@ def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(row key, n_shingles, component_id, kept) of every row: the groups linked by 100 x intersection >= percent x union.
+    """(row key, n_shingles, component_id, kept, text_hash) of every row: the groups linked by 100 x intersection >= percent x union.
 
     A text that is null, empty or without words has no shingles and is linked with nothing. Rows with equal sets are always
     linked; component_id is the smallest key in reach, kept tells the row that bears it (each of them, should a key be
@@ -166,9 +167,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     more = confirm(block_pairs(left, percent), docs, key, text, percent)
     final = components(links.union(more))
     own = nodes.select("set_a", "set_b", F.col("id").alias("node")).join(final, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
-    out = rows.select("id", "n_shingles", "set_a", "set_b").join(own, ["set_a", "set_b"], "left")
+    out = rows.select("id", "text_hash", "n_shingles", "set_a", "set_b").join(own, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), "text_hash").withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
 def op3_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
