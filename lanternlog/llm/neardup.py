@@ -8,7 +8,8 @@
    whose sketches say similar leave a task and are confirmed on full sets.
 
 So no bucket is capped and none emits all its pairs. A pair of similarity 0.75 shares none of the 48 bands of 5 samples with
-probability 2e-6; a sketch refuses a similar pair only beyond 5 standard deviations of its error.
+probability 2e-6; a sketch refuses a similar pair only beyond 5 standard deviations of its error, and one of small sets also only
+beyond a proven bound.
 """
 
 from __future__ import annotations

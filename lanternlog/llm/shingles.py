@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from math import comb
+
 import numpy as np
 
 from .bpe import Hash
@@ -11,6 +14,8 @@ BANDS, BAND_ROWS = 48, 5
 SAMPLES = BANDS * BAND_ROWS
 #: The odd sketch folds one sample for each of so many slices of the hash range into a bitmap of so many bits.
 SLICES, SKETCH_BITS = 2048, 4096
+#: Hashes of two sets together up to which a pair is refused only beyond a proven bound.
+SURE = 2048
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -108,10 +113,30 @@ def estimate(differing_bits: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarra
     return found, np.sqrt(collisions**2 + sampling)
 
 
+@lru_cache
+def most_differing(percent: int) -> np.ndarray:
+    """For each total of two sizes up to SURE, the differing bits that a pair of that similarity exceeds once in 10^8 at most.
+
+    Such sets differ in d <= total x (100 - percent) / (100 + percent) hashes and share s <= total / 2. A differing hash
+    makes one sample differ; below the least shared hash of its slice it makes two, and those ranges cover at most s slices. So
+    d + Binomial(d, s / SLICES) bits bound the differing ones from above."""
+    out = np.zeros(SURE + 1, np.int64)
+    for total in range(SURE + 1):
+        d = total * (100 - percent) // (100 + percent)
+        p, beyond, k = min(total / 2 / SLICES, 1.0), 0.0, d
+        while k > 0 and (beyond := beyond + comb(d, k) * p**k * (1 - p) ** (d - k)) <= 1e-8:
+            k -= 1
+        out[total] = d + k
+    return out
+
+
 def may_reach(differing_bits: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a similarity of percent lies within five standard errors (and a half percent) of the estimate."""
+    """Whether a similarity of percent lies within five standard errors (and a half percent) of the estimate, or, for sets of
+    up to SURE hashes together, within the bits that slice collisions can make differ. The error of so small sets isn't normal."""
     found, error = estimate(differing_bits, sizes_a, sizes_b)
-    return found + 5 * error + 0.005 >= percent / 100
+    total = sizes_a + sizes_b
+    allowed = most_differing(percent)[np.minimum(total, SURE)]
+    return (found + 5 * error + 0.005 >= percent / 100) | (total <= SURE) & (differing_bits <= allowed)
 
 
 def fingerprint(hashes: np.ndarray) -> tuple[int, int]:

@@ -92,3 +92,23 @@ def test_sketch_never_refuses_similar_sets():
             a, b = np.unique(x[:n]), np.unique(np.concatenate([x[:both], x[n : 2 * n - both]]))
             bits = np.bitwise_count(np.frombuffer(shingles.odd_sketch(a), np.uint8) ^ np.frombuffer(shingles.odd_sketch(b), np.uint8)).sum()
             assert shingles.may_reach(np.array([bits]), np.array([n]), np.array([n]), 75)[0]
+
+
+def test_sketch_never_refuses_short_similar_sets():
+    """Slice collisions of 8 to 40 hashes: a pair of similarity 0.75 or more goes on to the full sets."""
+    rng = np.random.default_rng(4)
+    for both, only_a, only_b in ((6, 1, 1), (9, 3, 0), (12, 2, 2), (30, 5, 5)):
+        x = rng.integers(0, 2**63, (10_000, both + only_a + only_b), dtype=np.uint64) * np.uint64(2)
+        sketch = lambda rows: np.frombuffer(b"".join(shingles.odd_sketch(np.sort(r)) for r in rows), np.uint64).reshape(len(rows), -1)
+        bits = np.bitwise_count(sketch(x[:, : both + only_a]) ^ sketch(np.delete(x, np.s_[both : both + only_a], axis=1))).sum(axis=1)
+        size = lambda n: np.full(len(x), both + n)
+        assert shingles.may_reach(bits, size(only_a), size(only_b), 75).all()
+
+
+def test_sketch_still_refuses_short_sets_that_share_little():
+    rng = np.random.default_rng(6)
+    for n in (10, 40, 400):
+        x = rng.integers(0, 2**63, (200, 2 * n - n // 2), dtype=np.uint64) * np.uint64(2)
+        for r in x:
+            bits = np.bitwise_count(np.frombuffer(shingles.odd_sketch(np.sort(r[:n])), np.uint8) ^ np.frombuffer(shingles.odd_sketch(np.sort(r[n - n // 2 :])), np.uint8)).sum()
+            assert not shingles.may_reach(np.array([bits]), np.array([n]), np.array([n]), 75)[0]
