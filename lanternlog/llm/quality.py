@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import settle, ship, table
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
@@ -120,12 +120,9 @@ def posterior(patterns: np.ndarray, share: float, right_good: np.ndarray, right_
     return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
-def judge(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Adds _counts, _votes (a struct of the rules' votes), _quality (posterior probability) and _good (at least `least`).
-
-    A null or empty text has no words: its length rule votes bad and all others abstain. An empty table is returned as it
-    is, with the added columns."""
-    counted = with_counts(docs, text, "_counts")
+def judge_counts(counted: DataFrame, least: float = 0.5) -> DataFrame:
+    """Adds _votes (a struct of the rules' votes), _quality (posterior probability) and _good (at least `least`) to a table
+    with _counts, which is read twice and should be a settled one."""
     rules = votes(F.col("_counts"))
     voted = counted.withColumn("_votes", F.struct(*(v.alias(k) for k, v in rules.items())))
     seen = voted.groupBy(*(F.col(f"_votes.{k}").alias(k) for k in rules)).count().collect()  # at most 3 ** rules rows
@@ -138,6 +135,16 @@ def judge(docs: DataFrame, text: str = "text", least: float = 0.5) -> DataFrame:
     return voted.withColumn("_quality", 1 / (1 + F.exp(-odds))).withColumn("_good", F.col("_quality") >= least)
 
 
+def judge(docs: DataFrame, text: str = "text", least: float = 0.5, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of every row (all, if not given) with _counts, _votes, _quality and _good.
+
+    The texts are counted once; counts and kept columns are settled. A null or empty text has no words: its length rule votes
+    bad and all others abstain. Repeated rows are judged alike and counted as often as they occur. Columns with the added names
+    are replaced. An empty table is returned as it is, with the added columns."""
+    counted = with_counts(docs, text, "_counts")
+    return judge_counts(settle(counted.select(*keep, "_counts") if keep else counted), least)
+
+
 def base_failed(c: Column) -> Column:
     return (c.n_words < 50) | (100 * c.n_repeat_words > 50 * c.n_words)
 
@@ -145,7 +152,7 @@ def base_failed(c: Column) -> Column:
 def op2_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts, whether it fails the base rules, and whether it is kept."""
     c = F.col("_counts")
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    return judge(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id",
         *(F.col(f"_counts.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
         base_failed(c).alias("base_failed"),
