@@ -25,75 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
-
-# Symbols of the first transducer.
-LETTER, NUMBER, OTHER, CUT2, CUT3, SPACE_END, SPACE, WHITE_END, WHITE, STOP = range(10)
-# Its states: nothing open, a run of letters, numbers or others, a space that the next run takes in, white space that
-# goes on, one or two letters of a contraction to come, and a piece that is complete.
-FREE, IN_LETTERS, IN_NUMBERS, IN_OTHERS, LEAD, IN_WHITE, ONE_LEFT, TWO_LEFT = range(8)
-STATES = 8
-
-
-def _piece_table() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, 1 where a piece starts) by state and symbol."""
-    nxt, start = np.zeros((STATES, 10), np.int8), np.ones((STATES, 10), np.int8)
-    for s in range(STATES):
-        for sym, run in ((LETTER, IN_LETTERS), (NUMBER, IN_NUMBERS), (OTHER, IN_OTHERS)):
-            nxt[s, sym], start[s, sym] = run, s not in (run, LEAD)
-        if s in (ONE_LEFT, TWO_LEFT):
-            nxt[s, LETTER], start[s, LETTER] = (FREE if s == ONE_LEFT else ONE_LEFT), 0
-        for sym, left in ((CUT2, ONE_LEFT), (CUT3, TWO_LEFT)):  # an apostrophe counts as one only where a piece starts
-            inside = s in (IN_OTHERS, LEAD)
-            nxt[s, sym], start[s, sym] = (IN_OTHERS if inside else left), not inside
-        nxt[s, SPACE_END] = LEAD
-        nxt[s, WHITE_END] = FREE
-        for sym in (SPACE, WHITE):
-            nxt[s, sym], start[s, sym] = IN_WHITE, s != IN_WHITE
-        nxt[s, STOP], start[s, STOP] = FREE, 0
-    return nxt, start
-
-
-NEXT, STARTS = _piece_table()
+from .common import ship, table
+from .pieces import blocks, class_table, split
 
 #: Compiled states above which a worker starts anew before its next block of texts.
 MOST_STATES = 100_000
 
 
-def compose(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Maps of states (one a row): first, then second."""
-    return np.take_along_axis(second, first.astype(np.intp), axis=1)
-
-
-def prefix_scan(maps: np.ndarray) -> np.ndarray:
-    """Row i becomes the composition of rows 0 to i, in log2(rows) rounds."""
-    out, step = maps.copy(), 1
-    while step < len(out):
-        out[step:] = compose(out[:-step], out[step:])
-        step *= 2
-    return out
-
-
-def piece_starts(symbols: np.ndarray, chunk: int = 256) -> np.ndarray:
-    """1 where a piece starts, for a row of symbols that begins in the free state."""
-    n = len(symbols)
-    rows = max(1, -(-n // chunk))
-    grid = np.full(rows * chunk, STOP, np.int8)
-    grid[:n] = symbols
-    grid = np.ascontiguousarray(grid.reshape(rows, chunk).T)
-    flat = NEXT.ravel()
-    maps = np.tile(np.arange(STATES, dtype=np.int8), (rows, 1))
-    for col in grid:
-        maps = flat[maps.astype(np.int16) * 10 + col[:, None]]
-    state = np.zeros(rows, np.int8)
-    state[1:] = prefix_scan(maps)[:-1, FREE]
-    out, starts = np.empty((chunk, rows), np.int8), STARTS.ravel()
-    for j, col in enumerate(grid):
-        at = state.astype(np.int16) * 10 + col
-        out[j], state = starts[at], flat[at]
-    return np.ascontiguousarray(out.T).ravel()[:n]
-
-
 def byte_letters() -> dict[str, int]:
     """The printable stand-ins of bytes in byte-level vocabularies."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -138,12 +76,7 @@ class Transducer:
         self.right_spine = lru_cache(1 << 16)(lambda t: self.spine(t, 1))
         self.restart()
         # Classes of characters as the library's own expressions tell them apart.
-        everything = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        self.classes = np.full(0x110000, OTHER, np.int8)
-        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (WHITE, r"\s+")):
-            for run, _ in pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(everything):
-                self.classes[np.frombuffer(run.encode("utf-32-le"), np.uint32)] = kind
-        self.classes[0xD800:0xE000] = STOP
+        self.classes = class_table(lambda pattern, text: [run for run, _ in pre_tokenizers.Split(Regex(pattern + "+"), "removed", invert=True).pre_tokenize_str(text)])
 
     def restart(self) -> None:
         """Forgets the compiled states; they come back on demand."""
@@ -238,44 +171,12 @@ class Transducer:
                     extra[i] += t.count(s)
                     t = t.replace(s, "\ud800")
             marked.append(t)
-        whole = "\ud800".join([*marked, ""])
         if not texts:
             return extra
-        data = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
-        chars = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = self.symbols(chars)
-        starts = np.flatnonzero(piece_starts(symbols))
-        width = np.ones(len(chars), np.int8)
-        for least in (0x80, 0x800, 0x10000):
-            width += chars >= least
-        offset = np.zeros(len(chars) + 1, np.int64)
-        np.cumsum(width, out=offset[1:])
-        # A piece ends where the next one or a stop begins.
-        stops = np.flatnonzero(symbols == STOP)
-        ends = np.minimum(np.append(starts[1:], len(chars)), stops[np.searchsorted(stops, starts)]) if len(starts) else starts
-        tokens = self.count_pieces(data, offset[starts], offset[ends] - offset[starts])
-        texts_end = np.cumsum([len(t) + 1 for t in marked])
-        owner = np.searchsorted(texts_end, starts, side="right")
+        data, begins, ends, owner = split(marked, self.classes)
+        tokens = self.count_pieces(data, begins, ends - begins)
         return extra + np.bincount(owner, weights=tokens, minlength=len(texts)).astype(np.int64)
 
-    def symbols(self, chars: np.ndarray) -> np.ndarray:
-        out = self.classes[chars]
-        after = np.append(chars[1:], 0xD800)
-        white = out == WHITE
-        solid_next = np.append(out[1:], STOP)
-        solid_next = (solid_next != WHITE) & (solid_next != STOP)
-        space = chars == 32
-        out = np.where(white, np.where(space, np.where(solid_next, SPACE_END, SPACE), np.where(solid_next, WHITE_END, WHITE)), out).astype(np.int8)
-        quote = np.flatnonzero(chars == 39)
-        if len(quote):
-            one = after[quote]
-            two = np.append(chars, [0xD800, 0xD800])[quote + 2]
-            is_in = lambda x, s: np.isin(x, [ord(c) for c in s])
-            out[quote[is_in(one, "stmd")]] = CUT2
-            long = (is_in(one, "r") & (two == ord("e"))) | (is_in(one, "v") & (two == ord("e"))) | (is_in(one, "l") & (two == ord("l")))
-            out[quote[long]] = CUT3
-        return out
-
 
 _compiled: dict[str, Transducer] = {}
 
@@ -287,21 +188,16 @@ def transducer(path: str) -> Transducer:
     return _compiled[path]
 
 
-def count_tokens(df: DataFrame, text: str, path: str, name: str = "n_tokens", block: int = 4_000_000) -> DataFrame:
-    """Adds the token count of a text column; null texts count as empty. Texts are taken together in blocks of about
-    `block` characters, which bounds a worker's memory; a longer text is a block of its own."""
+def count_tokens(df: DataFrame, text: str, path: str, name: str = "n_tokens", block: int = 2_000_000) -> DataFrame:
+    """Adds the token count of a text column, in place of a column of that name; null texts count as empty, an empty table
+    stays empty. Texts are taken together in blocks of about `block` characters, which bounds a worker's memory; a longer
+    text is a block of its own."""
+    ship(df.sparkSession)
 
     @F.pandas_udf(T.LongType())
     def counted(texts: pd.Series) -> pd.Series:
-        t, out, part, chars = transducer(path), [], [], 0
-        for x in texts:
-            if part and chars + len(x or "") > block:
-                out.append(t.count(part))
-                part, chars = [], 0
-            part.append(x)
-            chars += len(x or "")
-        out.append(t.count(part))
-        return pd.Series(np.concatenate(out))
+        t = transducer(path)
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *(t.count(part) for part in blocks(texts, block))]))
 
     return df.withColumn(name, counted(F.col(text)))
 
