@@ -56,28 +56,44 @@ SELECT doc, string_agg(piece, '') AS chars
 FROM (SELECT t.doc, v.piece FROM ids_in t JOIN vocab v ON v.id = t.id ORDER BY t.pos) GROUP BY doc ORDER BY doc
 """
 
-#: Distinct pieces that a worker keeps encoded before it starts anew.
-MOST_PIECES = 1_200_000
+#: Distinct pieces that a worker keeps encoded before it starts anew (about 50 bytes each), and bytes of new pieces that one
+#: run of the recursive query takes; a longer piece comes alone.
+MOST_PIECES, MOST_BYTES = 1_000_000, 300_000
+#: Characters of a block of texts, and ids that are decoded at once.
+BLOCK, IDS = 500_000, 100_000
+#: Memory of a worker's DuckDB, and what a byte of a longer piece adds to it while that piece is encoded.
+DUCKDB_MB, PIECE_BYTES = 128, 600
 
 
 class Hash:
     """Two independent 64-bit polynomial hashes of slices of a byte row, from running sums."""
 
+    #: Bytes whose sums run together.
+    CHUNK = 1 << 17
+
     def __init__(self, seed: int):
         rng = np.random.Generator(np.random.PCG64(seed))
         self.values = rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.base = int(rng.integers(1, 2**63)) * 2 + 1
-        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.tables = self.powers(2 * self.CHUNK)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        grow = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x % 2**64, np.uint64)]))
+        return grow(self.base), grow(pow(self.base, -1, 2**64))
 
     def slices(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if len(self.powers) <= len(data):
-            grow = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), x % 2**64, np.uint64)]))
-            self.powers, self.inverses = grow(self.base), grow(pow(self.base, -1, 2**64))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.values[data] * self.powers[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[begins]) * self.inverses[begins] + (ends - begins).astype(np.uint64) * self.values[0]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return h ^ (h >> np.uint64(32))
+        """Hashes of slices that don't overlap and stand in order. The sums run over one chunk of the data at a time."""
+        out = np.empty(len(begins), np.uint64)
+        cuts = np.flatnonzero(np.diff(begins // self.CHUNK, prepend=-1)).tolist() + [len(begins)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            lo, hi = int(begins[i]), int(ends[j - 1])
+            powers, inverses = self.tables if hi - lo < len(self.tables[0]) else self.powers(hi - lo)
+            sums = np.zeros(hi - lo + 1, np.uint64)
+            np.cumsum(self.values[data[lo:hi]] * powers[: hi - lo], out=sums[1:])
+            b, e = begins[i:j] - lo, ends[i:j] - lo
+            out[i:j] = (sums[e] - sums[b]) * inverses[b] + (e - b).astype(np.uint64) * self.values[0]
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(32))
 
 
 class Codec:
@@ -87,11 +103,10 @@ class Codec:
         import tiktoken
 
         with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
-        ids = self.ranks
+            ids = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
         rows = [(ids[t[:k]], ids[t[k:]], r) for t, r in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids]
         a, b, made = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})  # one thread: aggregates see their ordered input in order
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{DUCKDB_MB}MB"})  # one thread: aggregates see their ordered input in order
         self.fill("merges", {"both": a * 65536 + b, "made": made.astype(np.int32)})
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ids.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ids]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
@@ -113,11 +128,28 @@ class Codec:
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int32)
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def learn(self, row: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes pieces, given as one row of bytes, by the recursive query: where each one's ids stand, and how many."""
+    def learn(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces of data by the recursive query, MOST_BYTES at a time: where each one's ids stand, and how many."""
+        start, count = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        upto, i = np.cumsum(sizes), 0
+        while i < len(sizes):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + MOST_BYTES, side="right")))
+            start[i:j], count[i:j] = self._contract(data, begins[i:j], sizes[i:j])
+            i = j
+        return start, count
+
+    def _contract(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total = int(sizes.sum())
+        row = data[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
         w = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.fill("bytes_in", {"pos": np.arange(len(w), dtype=np.int32), "w": w, "id": self.byte[row]})
+        more = total > MOST_BYTES
+        if more:
+            self.db.execute(f"SET memory_limit = '{DUCKDB_MB + total * PIECE_BYTES // 1_000_000}MB'")
+        self.fill("bytes_in", {"pos": np.arange(total, dtype=np.int32), "w": w, "id": self.byte[row]})
         got = self.db.sql(CONTRACT).to_arrow_table()
+        if more:
+            self.db.execute("DROP TABLE bytes_in")
+            self.db.execute(f"SET memory_limit = '{DUCKDB_MB}MB'")
         counts = np.bincount(got["w"].to_numpy(), minlength=len(sizes))
         end = self.used + got.num_rows
         if end > len(self.ids):
@@ -140,9 +172,8 @@ class Codec:
         inside = place < len(self.hash)
         new[inside] = self.hash[place[inside]] != distinct[inside]
         if new.any():
-            b, n = begins[first[new]], ends[first[new]] - begins[first[new]]
-            row = data[np.repeat(b - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-            start, size = self.learn(row, n)
+            b = begins[first[new]]
+            start, size = self.learn(data, b, ends[first[new]] - b)
             self.hash = np.insert(self.hash, place[new], distinct[new])
             self.check = np.insert(self.check, place[new], check[first[new]])
             self.start = np.insert(self.start, place[new], start)
@@ -159,12 +190,21 @@ class Codec:
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """Bytes of each list of ids; ids outside the vocabulary give none."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        out = [b""] * len(ids)
-        if sizes.sum():
-            flat = np.concatenate(ids).astype(np.int64)
-            self.fill("ids_in", {"doc": np.repeat(np.arange(len(ids)), sizes), "pos": np.arange(len(flat)), "id": flat})
-            for doc, chars in self.db.execute(DECODE).fetchall():
-                out[doc] = (chars or "").encode("latin-1")
+        out, upto, i = [b""] * len(ids), np.cumsum(sizes), 0
+        while i < len(ids):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] - sizes[i] + IDS, side="right")))
+            if upto[j - 1] > upto[i] - sizes[i]:
+                flat = np.concatenate(ids[i:j]).astype(np.int64)
+                more = len(flat) > IDS
+                if more:
+                    self.db.execute(f"SET memory_limit = '{DUCKDB_MB + len(flat) * PIECE_BYTES // 1_000_000}MB'")
+                self.fill("ids_in", {"doc": np.repeat(np.arange(i, j), sizes[i:j]), "pos": np.arange(len(flat)), "id": flat})
+                for doc, chars in self.db.execute(DECODE).fetchall():
+                    out[doc] = (chars or "").encode("latin-1")
+                if more:
+                    self.db.execute("DROP TABLE ids_in")
+                    self.db.execute(f"SET memory_limit = '{DUCKDB_MB}MB'")
+            i = j
         return out
 
 
@@ -177,52 +217,55 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_texts(df: DataFrame, text: str, path: str, ids: str = "ids", block: int = 500_000) -> DataFrame:
-    """Adds the token ids (array of int) of a text column; a null text counts as empty, an empty one has no ids."""
+def encode_texts(df: DataFrame, text: str, path: str, ids: str = "ids") -> DataFrame:
+    """Adds the token ids (array of int) of a text column, in place of a column of that name; a null text counts as empty, an
+    empty one has no ids, an empty table stays empty."""
     ship(df.sparkSession)
 
     @F.pandas_udf("array<int>")
     def encoded(texts: pd.Series) -> pd.Series:
         c = codec(path)
-        return pd.Series([x.astype(np.int32) for part in blocks(texts, block) for x in c.encode(part)], dtype=object)
+        return pd.Series([x.astype(np.int32) for part in blocks(texts, BLOCK) for x in c.encode(part)], dtype=object)
 
     return df.withColumn(ids, encoded(F.col(text)))
 
 
-def decode_ids(df: DataFrame, ids: str, path: str, name: str = "decoded", block: int = 150_000) -> DataFrame:
-    """Adds the bytes of an id column; null or empty ids give no bytes."""
+def decode_ids(df: DataFrame, ids: str, path: str, name: str = "decoded") -> DataFrame:
+    """Adds the bytes of an id column, in place of a column of that name; null or empty ids give no bytes."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("binary")
     def decoded(lists: pd.Series) -> pd.Series:
-        c, out, part, n = codec(path), [], [], 0
-        for x in lists:
-            x = np.empty(0, np.int64) if x is None else np.asarray(x)
-            if part and n + len(x) > block:
-                out += c.decode(part)
-                part, n = [], 0
-            part.append(x)
-            n += len(x)
-        return pd.Series(out + c.decode(part), dtype=object)
+        return pd.Series(codec(path).decode([np.empty(0, np.int64) if x is None else np.asarray(x) for x in lists]), dtype=object)
 
     return df.withColumn(name, decoded(F.col(ids)))
 
 
-def id_digest(ids: str):
-    """Lowercase hex SHA-256 of ids as little-endian unsigned 32-bit integers."""
+def round_trips(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every row: its text is encoded once, its ids are decoded again.
+
+    The digests are lowercase hex SHA-256 of the ids as little-endian unsigned 32-bit integers and of the decoded bytes. A null
+    text counts as empty and has no ids; repeated rows give repeated results; other columns are left out; an empty table gives
+    an empty result. A worker holds a batch of ARROW_BYTES, a block of BLOCK characters and MOST_PIECES encoded pieces; only a
+    text longer than a batch takes memory in proportion to it."""
+    ship(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def digest(lists: pd.Series) -> pd.Series:
-        return pd.Series([hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest() for x in lists])
+    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def digests(texts: pd.Series) -> pd.DataFrame:
+        c, rows = codec(path), []
+        for part in blocks(texts, BLOCK):
+            ids = c.encode(part)
+            rows += [(len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(b).hexdigest()) for x, b in zip(ids, c.decode(ids), strict=True)]
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return digest(F.col(ids))
+    return docs.select(F.col(key), digests(F.col(text)).alias("_d")).select(key, "_d.*")
 
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
+    """round_trips of documents under the public byte-level vocabulary of 50,257 entries, whose path is looked up here."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    both = decode_ids(encode_texts(docs.select("doc_id", "text"), "text", path).drop("text"), "ids", path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return round_trips(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op4_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
