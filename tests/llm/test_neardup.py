@@ -66,21 +66,67 @@ def test_odd_documents(docs, no_docs):
     assert [by[i].component_id for i in (0, 1, 2, 3)] == [0, 0, 0, 3]
     assert all(by[i].n_shingles == 0 and by[i].component_id == i and by[i].kept for i in (4, 5, 6))
     assert (by[7].component_id, by[8].component_id, by[10].component_id) == (7, 7, 9)
-    assert sorted((r.component_id is None, r.kept) for r in rows if r.doc_id is None) == [(False, False), (True, True)]
+    assert sorted((r.component_id is None, r.kept, r.first) for r in rows if r.doc_id is None) == [(False, False, False), (True, True, True)]
+    assert {r.doc_id for r in rows if r.component_id == 0 and r.first} == {0}
     assert sum(r.kept for r in rows if r.doc_id == 3) == 3
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
-def test_blocks_find_what_pivots_miss(spark):
-    """In a bucket with three components all pairs that sketches leave possible come out, however the rows are dealt."""
+def test_blocks_join_what_pivots_miss(spark, monkeypatch):
+    """In a bucket with many components, dealt into several blocks, links give the components of all pairs and no more links
+    than rows leave a comparison."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
     rng = np.random.default_rng(3)
-    rows, sets = [], {}
+    rows, nodes, sets = [], [], {}
     for i in range(40):
-        base = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2)) if i % 2 == 0 else np.unique(np.concatenate([sets[i - 1][:290], rng.integers(0, 2**63, 10, dtype=np.uint64)]))
+        base = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64) * np.uint64(2)) if i % 4 == 0 else np.unique(np.concatenate([sets[i - 1][:290], rng.integers(0, 2**63, 10, dtype=np.uint64)]))
         sets[i] = base
-        rows.append((1, i, i if i > 20 else i % 2, len(base), bytearray(shingles.odd_sketch(base))))
-    got = {tuple(r) for r in neardup.block_pairs(spark.createDataFrame(rows, "key long, id long, component long, n long, sketch binary"), 75).collect()}
-    assert {(i - 1, i) for i in range(1, 40, 2)} == {p for p in got if shingles.similar(sets[p[0]], sets[p[1]])}
+        rows.append((1, i, i if i > 20 else i % 2, len(base)))
+        nodes.append((i, len(base), bytearray(shingles.odd_sketch(base))))
+    of = lambda schema, data: spark.createDataFrame(data, schema)
+
+    def linked(rows, nodes, sets):
+        nodes = of("node long, n long, sketch binary", nodes)
+        candidates = neardup.block_candidates(of("key long, node long, component long, n long", rows), nodes, 75)
+        return neardup.block_links(candidates, nodes, of("node long, set binary", sets), 75).collect()
+
+    got = linked(rows, nodes, [(i, bytearray(s.tobytes())) for i, s in sets.items()])
+    links = {(min(r), max(r)) for r in got}
+    assert all(shingles.similar(sets[a], sets[b]) for a, b in links)
+    same = [(i, c) for _, i, c, _ in rows]
+    start = [(x, y) for x, c in same for y, d in same if x < y and c == d]
+    pairs = [(a, b) for a in sets for b in sets if a < b and shingles.similar(sets[a], sets[b])]
+    assert groups([*start, *links], sets) == groups([*start, *pairs], sets)
+    dense = [(1, i, i, len(sets[0])) for i in range(40)]  # all equal: 780 similar pairs
+    monkeypatch.setattr(neardup, "BLOCK", 1024)
+    more = linked(dense, [(i, len(sets[0]), nodes[0][2]) for i in range(40)], [(i, bytearray(sets[0].tobytes())) for i in range(40)])
+    assert len(more) == 39
+
+
+def test_repeated_and_missing_keys_lose_no_link(spark):
+    rnd = random.Random(8)
+    text = lambda: [rnd.choice(WORDS) for _ in range(60)]
+    WORDS = [f"v{i}" for i in range(400)]
+    a, b, c = text(), text(), text()
+    j = " ".join
+    rows = [(5, j(a)), (5, j(b)), (6, j([*a, "x"])), (7, j([*b, "x"])), (1, j(["y", *b])), (None, j(c)), (9, j([*c[1:], "q"])), (8, j(["p", *c[:-1]])), (None, j(text())), (5, j(b))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id if r.component_id is not None else -1) for r in got)
+    assert found == sorted([(5, 5), (6, 5), (5, 1), (5, 1), (7, 1), (1, 1), (-1, 8), (9, 8), (8, 8), (-1, -1)])
+    assert sorted((r.doc_id, r.component_id) for r in got if r.first and r.doc_id is not None) == [(1, 1), (5, 5), (8, 8)]
+
+
+def test_recall_over_many_near_pairs(spark):
+    """Links at and just above the threshold are all found: 400 pairs of similarity 0.75 to 0.8."""
+    rnd = random.Random(12)
+    texts, want = [], []
+    for i in range(400):
+        words = [f"t{i}x{k}" for k in range(104)]  # 100 shingles; 7 words replaced at the end: 93 of 107 or 80 of 100 and so on
+        cut = rnd.choice((11, 12, 13, 14))
+        texts += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:-cut], *(f"u{i}x{k}" for k in range(cut))]))]
+        want.append(100 * (100 - cut) >= 75 * (100 + cut))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(400)] == want
 
 
 def test_sketch_never_refuses_similar_sets():
