@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lanternlog.llm.bpe import bpe_digests
 from lanternlog.llm.common import settle
 from lanternlog.llm.mixing import mix_sources, shuffled
-from lanternlog.llm.neardup import near_duplicates
+from lanternlog.llm.neardup import near_duplicates, row_hash
 from lanternlog.llm.quality import base_failed, judge
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,21 +21,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id. Rows that repeat it whole are dropped too; rows
-    without an id are told apart by their texts."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), "text_hash").distinct()
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"]), "left_semi")
-    return left.dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each near-duplicate group: that with the smallest id, or if none has an id, one of them. Rows that repeat
+    its id and text are dropped too. Texts without words are in no group and stay, once for each id. An empty table stays empty."""
+    first = near_duplicates(docs).where("first").select(F.col("row").alias("_row")).distinct()
+    return docs.join(first, row_hash(docs["doc_id"], docs["text"]) == first["_row"], "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources, each document as often as it is drawn, shuffled in its shard."""
+    """The mix of sources, each document as often as it is drawn, shuffled in its shard. A null source is one of its own; texts
+    that are null or without words are never drawn; an empty table gives an empty mix."""
     _, mixed = mix_sources(docs)
     return shuffled(mixed).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the mix's rows."""
+    """Token counts and digests of each row of the mix, a document that was drawn twice included twice. A null text counts as
+    empty: no ids, digests of no bytes. An empty mix gives an empty result."""
     return bpe_digests(docs)
 
 
