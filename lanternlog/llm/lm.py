@@ -13,6 +13,7 @@ of a document's words are joined with their counts by a shuffle.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
@@ -34,8 +35,10 @@ HIDDEN, WINDOW, LANES = 16, 24, 384
 ROUNDS, RATE, CLIP, SCALE = 3, 0.08, 1.0, 100.0
 #: Tokens whose word probabilities are worked out at once when texts are scored.
 SCORED = 8192
-#: Tokens up to which texts are gathered to be scored side by side, and windows after which training starts from a fresh state.
-GATHERED, FRESH_AFTER = 4_000_000, 40
+#: Tokens up to which texts are gathered to be scored side by side.
+GATHERED = 4_000_000
+#: Tokens that one model of a round learns from, and models of a round at most, beyond which each learns from more.
+LEARNED, MOST_MODELS = 2_000_000, 4096
 SEED = 5
 
 
@@ -94,7 +97,7 @@ class Net:
         """Small random weights, with biases that give every word its share of the counts."""
         net = cls()
         c = np.full(NET_WORDS, 0.1)
-        c[: len(counts)] = counts
+        c[: len(counts)] = np.maximum(counts, 0.1)
         by_class = c.reshape(CLASSES, CLASS_SIZE)
         net.p["bw"] = np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
         total = np.append(by_class.sum(1), max(rest, 1.0))
@@ -237,9 +240,7 @@ def train_partition(net: Net, batches: Iterator[pd.DataFrame]) -> tuple[np.ndarr
     def texts() -> Iterator[np.ndarray]:
         for batch in batches:
             for ids in batch["ids"]:
-                line = np.append(0, ids)  # the end's id, 0, also stands before a text
-                for at in range(0, len(ids), FRESH_AFTER * WINDOW):
-                    yield line[at : at + FRESH_AFTER * WINDOW + 1]
+                yield np.append(0, ids)  # the end's id, 0, also stands before a text
 
     h = np.zeros((LANES, HIDDEN), np.float32)
     for words, targets, live, on, fresh in lanes_of(texts(), LANES):
@@ -277,9 +278,12 @@ def score_texts(net: Net, texts: list[np.ndarray], lanes: int = 8192) -> np.ndar
     return out
 
 
-def train(encoded: DataFrame, counts: np.ndarray, rest: float, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights after the rounds. Each document trains in one round; weights of partitions are averaged in Spark, by chunks."""
+def train(encoded: DataFrame, counts: np.ndarray, rest: float, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights after the rounds. Each document trains in one round, with its state carried through all of it; the weights of a
+    round's models are averaged in Spark, by chunks. Round, model and order follow from a document's hash and the number of
+    training tokens, not from how the table is laid out."""
     weights = Net.start(counts, rest).flat()
+    models = min(MOST_MODELS, max(1, -(-tokens // (rounds * LEARNED))))
     for k in range(rounds):
         start = weights
 
@@ -289,55 +293,82 @@ def train(encoded: DataFrame, counts: np.ndarray, rest: float, rounds: int = ROU
                 parts = np.array_split(flat.astype(np.float64) * seen, 16)
                 yield pd.DataFrame({"part": range(16), "n": seen, "w": [list(p) for p in parts]})
 
-        share = encoded.where(~F.col("held")).where(F.pmod(F.xxhash64("row", F.lit(SEED)), F.lit(rounds)) == k)
-        sums = share.select("ids").mapInPandas(trained, "part int, n long, w array<double>").select("part", "n", F.posexplode("w").alias("i", "x"))
+        share = encoded.where(~F.col("held")).where(F.pmod(F.xxhash64("deal", F.lit(SEED)), F.lit(rounds)) == k)
+        dealt = share.select("deal", "ids").repartition(models, "deal").sortWithinPartitions("deal", "ids")
+        sums = dealt.select("ids").mapInPandas(trained, "part int, n long, w array<double>").select("part", "n", F.posexplode("w").alias("i", "x"))
         rows = sums.groupBy("part", "i").agg((F.sum("x") / F.sum("n")).alias("w")).groupBy("part").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("w")).orderBy("part").collect()
         if rows:
             weights = np.array([x.w for r in rows for x in r.w], np.float32)
     return weights
 
 
+def frequent_words(counts: DataFrame, most: int = HEAD - 1) -> list:
+    """Rows (word, c) of all words from a count on, at most `most` of them; a histogram of counts, whose size is fixed, tells from
+    which. Words of equal count stay together, so the choice doesn't hang on the layout."""
+    level = F.when(F.col("c") < 1024, F.col("c")).otherwise(1024 + F.floor((F.log2("c") - 10) * 64)).cast("long")
+    words = counts.where(F.col("word") != END).withColumn("level", level)
+    least, left = None, most
+    for r in sorted(words.groupBy("level").agg(F.count("*").alias("n")).collect(), reverse=True):
+        if r.n > left:
+            break
+        least, left = r.level, left - r.n
+    return words.where(F.col("level") >= least).select("word", "c").collect() if least is not None else []
+
+
+_numbered: dict[str, dict[bytes, int]] = {}
+
+
+def _numbers(broadcast: str, words: list[str]) -> dict[bytes, int]:
+    """Number of each broadcast word; one table is kept in a worker."""
+    if broadcast not in _numbered:
+        _numbered.clear()
+        _numbered[broadcast] = {w.encode(): i for i, w in enumerate(words)}
+    return _numbered[broadcast]
+
+
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     A null text is an empty one: its only token is the end. Rows whose key's checksum says so are held out of training (a
-    null key counts as the empty string); without training rows every word has the same smoothed share. Repeated rows are
-    scored, and trained on, as often as they occur; an empty table gives an empty result."""
+    null key counts as the empty string); without training rows nothing is learned and the smoothed shares of all words are
+    equal. Repeated rows are scored, and trained on, as often as they occur; other columns are left out; an empty table gives
+    an empty result."""
     spark = ship(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("held"))
     counts = settle(count_words(rows.where(~F.col("held")), "text"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     smooth = float(total + distinct + 1)
-    top = counts.where(F.col("word") != END).orderBy(F.col("c").desc(), "word").limit(HEAD - 1).collect()  # a fixed number of words
+    top = sorted(frequent_words(counts), key=lambda r: (-r.c, r.word))
     end = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     words = [END, *(r.word for r in top)]
     head = np.array([end, *(r.c for r in top)], np.int64)
-    ranked = spark.sparkContext.broadcast((words, head))
+    ranked, own = spark.sparkContext.broadcast((words, head)), str(uuid.uuid4())
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids array<int>, tail array<string>, base double, known long, beyond double")
+    def encode(texts: pd.Series) -> pd.DataFrame:
         words, head = ranked.value
-        number = {w.encode(): i for i, w in enumerate(words)}
+        number = _numbers(own, words)
         logs = np.log10((head + 1) / smooth)
         plus = np.log10(head + 1.0)
-        for batch in batches:
-            ids, tails, base, known, beyond = [], [], [], [], []
-            for t in batch["text"]:
-                tokens = words_of(t)
-                at = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
-                tail = at < 0
-                tails.append([tokens[i].decode() for i in np.flatnonzero(tail)])
-                inside = np.append(at[~tail], 0)
-                base.append(float(logs[inside].sum()))
-                known.append(int((head[inside] > 0).sum()))
-                beyond.append(float(plus[inside[inside >= NET_WORDS]].sum()))
-                at[tail] = NET_WORDS
-                ids.append(np.append(np.minimum(at, NET_WORDS), 0).astype(np.int32))
-            yield pd.DataFrame({"key": batch["key"], "held": batch["held"], "ids": ids, "tail": tails, "base": base, "known": known, "beyond": beyond})
+        ids, tails, base, known, beyond = [], [], [], [], []
+        for t in texts:
+            tokens = words_of(t)
+            at = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
+            tail = at < 0
+            tails.append([tokens[i].decode() for i in np.flatnonzero(tail)])
+            inside = np.append(at[~tail], 0)
+            base.append(float(logs[inside].sum()))
+            known.append(int((head[inside] > 0).sum()))
+            beyond.append(float(plus[inside[inside >= NET_WORDS]].sum()))
+            at[tail] = NET_WORDS
+            ids.append(np.append(np.minimum(at, NET_WORDS), 0).astype(np.int32))
+        return pd.DataFrame({"ids": ids, "tail": tails, "base": base, "known": known, "beyond": beyond})
 
     key_type = dict(rows.dtypes)["key"]
-    encoded = settle(rows.mapInPandas(encode, f"key {key_type}, held boolean, ids array<int>, tail array<string>, base double, known long, beyond double").withColumn("row", F.monotonically_increasing_id()))
+    named = rows.select(F.col("key").cast("string").alias("key"), "held", F.xxhash64("key", "text").alias("deal"), encode("text").alias("_e"))
+    encoded = settle(named.select("key", "held", "deal", "_e.*").withColumn("row", F.monotonically_increasing_id()))
     rest_counts = float(total - head[:NET_WORDS].sum())
-    weights = spark.sparkContext.broadcast(train(encoded, head[:NET_WORDS].astype(float), rest_counts))
+    weights = spark.sparkContext.broadcast(train(encoded, head[:NET_WORDS].astype(float), rest_counts, int(total)))
     # The words beyond the network share their class by count plus one; unseen ones together have the share of one more word.
     rest_mass = rest_counts + max(0, distinct - min(len(head), NET_WORDS)) + 1
 
@@ -361,13 +392,12 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if n:
             yield told(waiting)
 
-    scored = encoded.drop("tail").mapInPandas(score, f"row long, key {key_type}, held boolean, n long, base double, known long, lp double")
-    seen = encoded.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("f"))
-    found = seen.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    tail = found.groupBy("row").agg(F.sum(F.col("f") * F.log10(F.col("c") + 1.0)).alias("_plus"), F.sum("f").alias("_f"), F.sum(F.when(F.col("c") > 0, F.col("f")).otherwise(0)).alias("_known"))
+    scored = encoded.drop("tail", "deal").mapInPandas(score, "row long, key string, held boolean, n long, base double, known long, lp double")
+    found = encoded.select("row", F.explode("tail").alias("word")).join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    tail = found.groupBy("row").agg(F.sum(F.log10(F.col("c") + 1.0)).alias("_plus"), F.count("*").alias("_f"), F.count_if(F.col("c") > 0).alias("_known"))
     plus, n_tail = F.coalesce("_plus", F.lit(0.0)), F.coalesce("_f", F.lit(0))
     return scored.join(tail, "row", "left").select(
-        F.col("key").alias(key),
+        F.col("key").cast(key_type).alias(key),
         F.col("held").alias("held_out"),
         F.col("n").alias("n_tokens"),
         (F.col("known") + F.coalesce("_known", F.lit(0))).cast("long").alias("n_known"),

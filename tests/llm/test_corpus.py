@@ -127,6 +127,31 @@ def test_language_model(docs, no_docs):
     assert lm.score_documents(no_docs).count() == 0
 
 
+def test_language_model_without_training_rows(spark):
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2][:5]
+    rows = lm.score_documents(spark.createDataFrame([(i, "some words here") for i in held], "doc_id long, text string")).collect()
+    assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 for r in rows)
+    assert all(math.isfinite(r.score) for r in rows) and len({r.score for r in rows}) == 1
+
+
+def test_language_model_ignores_the_layout_and_beats_counts(spark):
+    rng = np.random.default_rng(5)
+    nouns, verbs = [f"n{i}" for i in range(40)], [f"v{i}" for i in range(40)]
+    texts = [" ".join(w for _ in range(40) for w in ("the", str(rng.choice(nouns)), str(rng.choice(verbs)))) for _ in range(600)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    first = {r.doc_id: r for r in lm.score_documents(df.repartition(2)).collect()}
+    again = {r.doc_id: r for r in lm.score_documents(df.repartition(5)).collect()}
+    assert all(first[i].score == pytest.approx(again[i].score, rel=1e-4) for i in first)
+    held = [r for r in first.values() if r.held_out]
+    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_frequent_words_keep_ties_together(spark):
+    counts = spark.createDataFrame([(f"w{i}", c) for i, c in enumerate([5000, 4000, 9, 9, 9, 2, 2, 1])] + [(lm.END, 7)], "word string, c long")
+    assert sorted(r.c for r in lm.frequent_words(counts, 6)) == [9, 9, 9, 4000, 5000]
+    assert len(lm.frequent_words(counts, 4)) == 2 and lm.frequent_words(counts.limit(0), 4) == []
+
+
 def test_language_model_gradients_and_sums():
     net = lm.Net.start(np.arange(lm.NET_WORDS, 0, -1.0), 10.0)
     rng = np.random.default_rng(1)
