@@ -1,9 +1,11 @@
 """URL filter by a path-template tree.
 
 Per host, paths grow into a tree of templates: a segment stays as it is where it holds a good share of its parent's URLs
-and becomes a wildcard where it varies. Sibling branches whose labelled shares don't differ by more than chance are merged
-into their wildcard. A template is rejected when the smoothed purity of its labelled URLs is low. Explicit rules for hosts
-and path prefixes come first and also supply the labels of the query below.
+and becomes a wildcard where it varies. From the leaves up, sibling branches of one shape are merged with the one of them
+that has most labels if what stands below them is spread alike (a chi-square test of the two) and their labelled shares
+don't differ by more than chance; a branch without labels so comes to share the labels of one like it. This is repeated
+until nothing merges. A template is rejected when the smoothed purity of its labelled URLs is low. Explicit rules for hosts and path
+prefixes come first and also supply the labels of the query below.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from .common import settle, table
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: A segment is constant from this share of its parent's URLs and this many of them on.
 LEAST_SHARE, LEAST_COUNT = 0.05, 2
-DEPTH = 4
-#: Branches merge where their labelled shares lie within so many standard errors of the pooled one.
+#: Branches merge where they lie within so many standard errors of what both together have.
 ALIKE = 1.96
 #: Presumed share of good URLs and how many labels it counts as; purity below which a template is rejected, and the share of
 #: its URLs that must be labelled bad.
@@ -51,43 +52,98 @@ def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], "left").drop("_salt")
 
 
-def grow_templates(paths: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds `template` to a table (host, path, n, ...): constant segments and wildcards, `**` beyond depth, and the path's
-    last character if it is a slash, or its extension, in place."""
-    segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    out = paths.withColumns({"_seg": segments, "template": F.lit("")})
-    for d in range(depth):
-        out = out.withColumn("_s", F.get("_seg", F.lit(d)))
-        by_child = out.where("_s IS NOT NULL").groupBy("host", "template", "_s").agg(F.sum("n").alias("_n"))
-        by_parent = by_child.groupBy("host", "template").agg(F.sum("_n").alias("_all"))
-        fixed = settle(by_child.join(by_parent, ["host", "template"]).where((F.col("_n") >= LEAST_COUNT) & (F.col("_n") >= LEAST_SHARE * F.col("_all"))).select("host", "template", "_s", F.lit(True).alias("_fixed")))
-        wild = F.concat(F.lit("*"), F.regexp_extract("_s", r"(\.[A-Za-z]{1,5})$", 1))
-        step = F.when(F.col("_s").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("_fixed"), F.col("_s")).otherwise(wild)))
-        out = _join_small(out, fixed, ["host", "template", "_s"]).withColumn("template", F.concat("template", step)).drop("_s", "_fixed")
-    tail = F.when(F.size("_seg") > depth, "/**").otherwise("")
-    slash = F.when(F.col("path").endswith("/"), "/").otherwise("")
-    return out.withColumn("template", F.concat("template", tail, slash)).drop("_seg")
+def _wild(segment: Column) -> Column:
+    """The wildcard of a segment keeps its extension."""
+    return F.concat(F.lit("*"), F.regexp_extract(segment, r"(\.[A-Za-z]{1,5})$", 1))
 
 
-def merge_branches(nodes: DataFrame) -> DataFrame:
-    """(host, template, node): templates whose labelled share is like that of their siblings go to the siblings' wildcard.
+def grow_templates(paths: DataFrame) -> DataFrame:
+    """Adds `template` to a table (host, path, n, ...) of distinct paths: constant segments, wildcards with their extension, and a
+    path's last slash.
 
-    Siblings share all but the last constant segment. A branch without labels gives no evidence and stays by itself."""
-    merged = F.regexp_replace("template", r"^(.*)/(?!\*)[^/*]+((?:/\*[^/]*)*/?)$", "$1/*$2")
+    Each round decides the next segment of the paths that still have one and share their template so far with others; a path
+    that is alone is finished at once, as all its segments are constant or none is. So rounds end with the deepest template
+    that different paths share."""
+    keep = [*paths.columns, "template"]
+    slash = F.when(F.col("path").endswith("/"), "/").otherwise("")
+    growing = settle(paths.withColumns({"template": F.lit(""), "_seg": F.filter(F.split("path", "/"), lambda s: s != "")}))
+    done, d = [], 0
+    while not growing.isEmpty():
+        cur = growing.withColumn("_s", F.get("_seg", F.lit(d)))
+        by_child = cur.where("_s IS NOT NULL").groupBy("host", "template", "_s").agg(F.sum("n").alias("_n"), F.count("*").alias("_p"))
+        by_parent = by_child.groupBy("host", "template").agg(F.sum("_n").alias("_all"), F.sum("_p").alias("_paths"))
+        told = settle(by_child.join(by_parent, ["host", "template"]).select("host", "template", "_s", ((F.col("_n") >= LEAST_COUNT) & (F.col("_n") >= LEAST_SHARE * F.col("_all"))).alias("_fixed"), (F.col("_paths") == 1).alias("_alone")))
+        left = F.expr(f"slice(_seg, {d + 2}, greatest(size(_seg) - {d + 1}, 0))")
+        rest = F.array_join(F.transform(left, lambda s: F.concat(F.lit("/"), F.when(F.col("_fixed"), s).otherwise(_wild(s)))), "")
+        step = F.when(F.col("_s").isNull(), "").otherwise(F.concat(F.lit("/"), F.when(F.col("_fixed"), F.col("_s")).otherwise(_wild(F.col("_s"))), F.when(F.col("_alone"), rest).otherwise("")))
+        ends = F.col("_s").isNull() | F.col("_alone")
+        grown = settle(_join_small(cur, told, ["host", "template", "_s"]).withColumn("template", F.concat("template", step)).withColumn("_ends", ends).drop("_s", "_fixed", "_alone"))
+        done.append(grown.where("_ends").withColumn("template", F.concat("template", slash)).select(*keep))
+        growing, d = grown.where("NOT _ends").drop("_ends"), d + 1
+    if not done:
+        return growing.select(*keep)
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
+def _shape(segment: Column) -> Column:
+    """Letters as a, digits as 0, runs as one."""
+    return F.regexp_replace(F.regexp_replace(segment, r"\p{L}+", "a"), r"[0-9]+", "0")
+
+
+def _merge_level(nodes: DataFrame, i: int) -> DataFrame:
+    """Nodes (host, template, parts, n, bad, good) with `merged`: whether part i becomes a wildcard."""
+    seg = F.get("parts", F.lit(i))
+    at = nodes.withColumns({"_seg": seg, "_up": F.slice("parts", 1, i), "_rest": F.expr(f"slice(parts, {i + 2}, greatest(size(parts) - {i + 1}, 0))"), "_shape": _shape(seg)})
+    constant = at.where("_seg <> '' AND NOT startswith(_seg, '*')")
+    up, own = ["host", "_up", "_shape"], ["host", "_up", "_shape", "_seg"]
     labelled = F.col("good") + F.col("bad")
-    pooled = nodes.withColumn("_up", merged).where(labelled > 0).groupBy("host", "_up").agg(F.sum("bad").alias("_bad"), F.sum(labelled).alias("_labelled"))
-    share = (F.col("_bad") + PRIOR_LABELS * (1 - PRIOR)) / (F.col("_labelled") + PRIOR_LABELS)
-    apart = F.abs(F.col("bad") - labelled * share) / F.sqrt(labelled * share * (1 - share))
-    joined = nodes.withColumn("_up", merged).join(pooled, ["host", "_up"], "left")
-    return joined.select("host", "template", F.when((labelled > 0) & (apart < ALIKE), F.col("_up")).otherwise(F.col("template")).alias("node"))
+    cells = constant.groupBy(*own, "_rest").agg(F.sum("n").alias("_o"))
+    branches = constant.groupBy(*own).agg(F.sum("n").alias("_n"), F.sum("bad").alias("_bad"), F.sum(labelled).alias("_labelled"), F.count_distinct("_rest").alias("_kinds"))
+    led = branches.groupBy(*up).agg(F.max(F.struct("_labelled", "_n", "_seg", "_bad", "_kinds")).alias("_lead"))
+    lead_cells = cells.join(led.select(*up, F.col("_lead._seg").alias("_seg")), own).select(*up, "_rest", F.col("_o").alias("_lead_o"))
+    # Chi-square of a branch and its leader; only the cells that the branch has add to the sum, others are in what is taken off.
+    both = cells.join(lead_cells, [*up, "_rest"], "left").groupBy(*own).agg(F.sum(F.col("_o") * F.col("_o") / (F.col("_o") + F.coalesce("_lead_o", F.lit(0)))).alias("_q"), F.count("_lead_o").alias("_common"))
+    joined = branches.join(led, up).where(F.col("_seg") != F.col("_lead._seg")).join(both, own)
+    whole, free = F.col("_n") + F.col("_lead._n"), F.col("_kinds") + F.col("_lead._kinds") - F.col("_common") - 1
+    chi = (F.col("_q") * whole / F.col("_n") - F.col("_n")) / (1 - F.col("_n") / whole)
+    most = free * F.pow(1 - 2 / (9 * free) + ALIKE * F.sqrt(2 / (9 * free)), F.lit(3.0))  # Wilson and Hilferty's approximation
+    n_labelled = F.col("_labelled") + F.col("_lead._labelled")
+    share = (F.col("_bad") + F.col("_lead._bad") + PRIOR_LABELS * (1 - PRIOR)) / (n_labelled + PRIOR_LABELS)
+    apart = F.abs(F.col("_bad") - F.col("_labelled") * share) >= ALIKE * F.sqrt(F.col("_labelled") * share * (1 - share))
+    alike = joined.where((free == 0) | (chi <= most)).where((F.col("_labelled") == 0) | ~apart)
+    alike = settle(alike.select(*up, F.explode(F.array("_seg", "_lead._seg")).alias("_seg")).distinct().withColumn("merged", F.lit(True)))
+    return at.join(alike, own, "left").withColumn("merged", F.coalesce("merged", F.lit(False)))
 
 
-def judge_templates(urls: DataFrame, label: str = "label", depth: int = DEPTH) -> DataFrame:
+def merge_branches(nodes: DataFrame) -> DataFrame:
+    """(host, template, node) of templates (host, template, n, bad, good): the template after like branches have merged.
+
+    Levels go from the deepest up, again until nothing merges; each works on sums of templates, never on rows of a group."""
+    out = settle(nodes.withColumn("parts", F.split("template", "/")))
+    changed = True
+    while changed:
+        changed = False
+        segments = out.select("host", "parts", F.posexplode("parts").alias("i", "seg")).where("i > 0 AND seg <> '' AND NOT startswith(seg, '*')")
+        siblings = segments.groupBy("i", "host", F.expr("slice(parts, 1, i)"), _shape(F.col("seg"))).agg(F.count_distinct("seg").alias("k")).where("k > 1")
+        for i in sorted((r.i for r in siblings.select("i").distinct().collect()), reverse=True):  # a number for each level of the tree
+            told = settle(_merge_level(out, i).drop("_up", "_rest", "_shape"))
+            if told.where("merged").isEmpty():
+                continue
+            changed = True
+            parts = F.when(F.col("merged"), F.transform("parts", lambda x, k: F.when(k == i, _wild(x)).otherwise(x))).otherwise(F.col("parts"))
+            out = settle(told.withColumn("parts", parts).drop("_seg", "merged"))
+    return out.select("host", "template", F.array_join("parts", "/").alias("node"))
+
+
+def judge_templates(urls: DataFrame, label: str = "label") -> DataFrame:
     """(host, path, template, purity, template_verdict) of every distinct host and path of a table with these columns and a
-    label: `block`, `allow` or null. An empty path has the empty template."""
+    label: `block`, `allow` or null. An empty path has the empty template. `template` is the merged one, whose purity decides."""
     is_bad, is_good = F.count_if(F.col(label) == "block"), F.count_if(F.col(label) == "allow")
     paths = settle(urls.groupBy("host", "path").agg(F.count("*").alias("n"), is_bad.alias("bad"), is_good.alias("good")))
-    grown = settle(grow_templates(paths, depth))
+    grown = settle(grow_templates(paths))
     sums = [F.sum(c).alias(c) for c in ("n", "bad", "good")]
     nodes = settle(grown.groupBy("host", "template").agg(*sums))
     merged = settle(merge_branches(nodes))
@@ -95,7 +151,7 @@ def judge_templates(urls: DataFrame, label: str = "label", depth: int = DEPTH) -
     rejected = (purity < LEAST_PURITY) & (F.col("bad") >= LEAST_BAD * F.col("n"))
     verdicts = nodes.join(merged, ["host", "template"]).groupBy("host", "node").agg(*sums).select("host", "node", purity.alias("purity"), F.when(rejected, "block").otherwise("allow").alias("template_verdict"))
     per_template = settle(merged.join(verdicts, ["host", "node"]).select("host", "template", "node", "purity", "template_verdict"))
-    return _join_small(grown.select("host", "path", "template"), per_template, ["host", "template"])
+    return _join_small(grown.select("host", "path", "template"), per_template, ["host", "template"]).drop("template").withColumnRenamed("node", "template")
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:

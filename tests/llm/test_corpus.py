@@ -212,6 +212,100 @@ def test_url_templates_block_what_is_labelled_bad(spark):
     assert got["/shop/33.html"] == ("/shop/*.html", "block") and got["/news/33"] == ("/news/*", "allow")
 
 
+def plain_tree(rows):
+    """The template tree in plain Python: (host, path, label) -> {(host, path): (template, purity, verdict)}."""
+    wild = lambda x: "*" + (re.search(r"\.[A-Za-z]{1,5}$", x) or [""])[0]
+    paths = {}
+    for h, p, label in rows:
+        n = paths.setdefault((h, p), [0, 0, 0])
+        n[0] += 1
+        n[1] += label == "block"
+        n[2] += label == "allow"
+    made = {k: [] for k in paths}
+    segs = {k: [x for x in k[1].split("/") if x] for k in paths}
+    for d in range(max(map(len, segs.values()))):
+        child, parent = Counter(), Counter()
+        for k, s in segs.items():
+            if len(s) > d:
+                child[k[0], tuple(made[k]), s[d]] += paths[k][0]
+                parent[k[0], tuple(made[k])] += paths[k][0]
+        new = {}
+        for k, s in segs.items():
+            if len(s) > d:
+                n, whole = child[k[0], tuple(made[k]), s[d]], parent[k[0], tuple(made[k])]
+                new[k] = [*made[k], s[d] if n >= urls.LEAST_COUNT and n >= urls.LEAST_SHARE * whole else wild(s[d])]
+        made |= new
+    template = {k: "".join("/" + x for x in made[k]) + ("/" if k[1].endswith("/") else "") for k in paths}
+    nodes = {}
+    for k, t in template.items():
+        at = nodes.setdefault((k[0], t), [0, 0, 0])
+        for i in range(3):
+            at[i] += paths[k][i]
+    parts = {k: k[1].split("/") for k in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for i in range(max(map(len, parts.values())) - 1, 0, -1):
+            groups = {}
+            for k, p in parts.items():
+                if len(p) > i and p[i] and not p[i].startswith("*"):
+                    shape = re.sub("[0-9]+", "0", re.sub(r"[^\W\d_]+", "a", p[i]))
+                    groups.setdefault((k[0], tuple(p[:i]), shape), {}).setdefault(p[i], []).append((tuple(p[i + 1 :]), nodes[k]))
+            for (h, up, shape), branches in groups.items():
+                told = {}
+                for seg, cells in branches.items():
+                    own = Counter()
+                    for r, n in cells:
+                        own[r] += n[0]
+                    told[seg] = (sum(n[1] + n[2] for _, n in cells), sum(own.values()), sum(n[1] for _, n in cells), own)
+                lead = max(told, key=lambda s: (*told[s][:2], s))
+                m0, n0, b0, own0 = told[lead]
+                alike = [lead]
+                for seg, (m, size, b, own) in told.items():
+                    if seg == lead:
+                        continue
+                    pooled, whole = own + own0, size + n0
+                    chi = sum((x[r] - k * pooled[r] / whole) ** 2 / (k * pooled[r] / whole) for x, k in ((own, size), (own0, n0)) for r in pooled)
+                    free, share = len(pooled) - 1, (b + b0 + urls.PRIOR_LABELS * (1 - urls.PRIOR)) / (m + m0 + urls.PRIOR_LABELS)
+                    fits = not free or chi <= free * (1 - 2 / (9 * free) + urls.ALIKE * math.sqrt(2 / (9 * free))) ** 3
+                    if fits and (not m or abs(b - m * share) < urls.ALIKE * math.sqrt(m * share * (1 - share))):
+                        alike.append(seg)
+                if len(alike) > 1:
+                    changed = True
+                    for k, p in parts.items():
+                        if k[0] == h and len(p) > i and tuple(p[:i]) == up and p[i] in alike:
+                            p[i] = wild(p[i])
+    sums = {}
+    for k, p in parts.items():
+        at = sums.setdefault((k[0], "/".join(p)), [0, 0, 0])
+        for i in range(3):
+            at[i] += nodes[k][i]
+    out = {}
+    for k, t in template.items():
+        node = "/".join(parts[k[0], t])
+        n, b, g = sums[k[0], node]
+        purity = (g + urls.PRIOR * urls.PRIOR_LABELS) / (g + b + urls.PRIOR_LABELS)
+        out[k] = (node, round(purity, 9), "block" if purity < urls.LEAST_PURITY and b >= urls.LEAST_BAD * n else "allow")
+    return out
+
+
+def test_url_tree_equals_plain_python_and_blocks_unlabelled_pages(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for h in ("a", "b", "c"):
+        for _ in range(250):
+            lang = str(rng.choice(["de", "en", "fr", "es"]))
+            path = f"/{lang}/{rng.integers(1000)}" + str(rng.choice(["", ".html", "/"]))
+            rows.append((h, path, "block" if lang == "de" and h != "c" else "allow" if lang == "fr" and h == "b" else None))
+        rows += [(h, f"/x/{k}/y/{k}/z/{rng.integers(3)}/{rng.integers(99)}.php", "block" if k == "q" else None) for k in ("q", "r", "q2") for _ in range(30)]
+        rows += [(h, "/one/" + "/".join(map(str, range(40))), None), (h, "", None), (h, "/", None), (h, "//p///q", "allow"), (h, "/p/q", None)]
+    got = {(r.host, r.path): (r.template, round(r.purity, 9), r.template_verdict) for r in urls.judge_templates(spark.createDataFrame(rows, "host string, path string, label string")).collect()}
+    assert got == plain_tree(rows)
+    unlabelled = {(h, p) for h, p, x in rows if x is None} - {(h, p) for h, p, x in rows if x}
+    assert sum(got[k][2] == "block" for k in unlabelled if k[0] == "a" and k[1].startswith("/en/")) > 20  # each template of /*/ by its own labels
+    assert {got[k][2] for k in unlabelled if k[0] == "c" and k[1].startswith("/en/")} == {"allow"}
+
+
 def test_queries_hold_their_contracts(spark, docs, tmp_path):
     docs.where("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
     folder, text = str(tmp_path), {r.doc_id: r.text or "" for r in docs.collect()}
