@@ -182,6 +182,44 @@ def test_page_lines():
     assert [a[i] for i in pages.common_lines(a, b)] == [2, 3, 5, 3]
 
 
+def test_broken_and_odd_markup():
+    content = lambda html: [t for t, s in pages.page_lines(html) if s == pages.CONTENT]
+    assert content("<article><p data-x=don't>One</p><p>Two</p></article>") == ["One", "Two"]
+    assert content("<article><p title='a > b' class=x>One</p><p title=\"it's\">Two") == ["One", "Two"]
+    assert content("<article><div class='related-work'>A</div><p id='comment-period'>B</p><b class='share-price'>C</b></article>") == ["A", "B", "C"]
+    assert content("<article><p>A</p><div class='share-buttons'>x</div><section id=comments><p>y</p></section><ul class='related posts'><li>z</ul></article>") == ["A"]
+    assert content("<article><p>A" + " b" * 200_000) == ["A" + " b" * 200_000]
+    assert content("<article><p>1 < 2 <p>&amp;amp; &#x41;&nbsp;&nbsp;x</") == ["1 < 2", "&amp; A x"]
+
+
+def test_common_lines_are_longest_and_bounded(monkeypatch):
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    for most in (1 << 26, 40):
+        monkeypatch.setattr(pages, "MOST_BITS", most)
+        for _ in range(150):
+            a, b = rng.integers(0, 6, rng.integers(0, 40)).tolist(), rng.integers(0, 6, rng.integers(0, 40)).tolist()
+            got = pages.common_lines(a, b)
+            places = iter(b)
+            assert len(got) == longest(a, b) and got == sorted(set(got)) and all(any(y == a[i] for y in places) for i in got)
+
+
+def test_copies_do_not_delete_each_other(spark):
+    page = lambda own, extra="": f"<body><div>Welcome to the site</div><p>{own}</p><div>Contact us</div>{extra}</body>"
+    long = "a long article that was published twice under neighbouring addresses of the same host and says the same each time " * 3
+    rows = [(1, "http://h/a/1?x=1", page(long)), (2, "https://h/a/1?x=2", page(long)), (3, "http://h/a/2", page(long, "<i>again</i>")), (4, "http://h/a/9", page("other"))]
+    got = {r.page_id: r.text for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] and long.strip() in got[1] and long.strip() in got[3] and got[4] == "other"
+
+
 def test_pages_without_article_lose_shared_lines(spark):
     page = lambda own: f"<body><div>Welcome to the site</div><p>{own}</p><div>Contact us</div></body>"
     rows = [(1, "http://h/a/1", page("first"), "x"), (2, "http://h/a/2", page("second"), "x"), (3, "http://g/a/1", page("third"), "x"), (4, None, None, "x"), (5, "bad", "", "x"), (1, "http://h/a/1", page("first"), "x")]
