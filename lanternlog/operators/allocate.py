@@ -7,20 +7,22 @@ from pyspark.sql import DataFrame
 
 
 def greedy_allocation(needs: DataFrame) -> DataFrame:
-    """(pool, priority, alias, want, got, ready) for needs (pool, priority, alias, want, have).
+    """(pool, row, priority, served) for needs (pool, row, priority, open, alias, want, have).
 
-    Inside a pool needs are served in the order of priority; needs of the same alias share its stock, `have`, and a need
-    takes its whole want or nothing. Each step depends on those before it, so a pool (a character's needs, some hundreds)
-    is one group; pools are independent."""
+    Inside a pool the open rows are served in the order of priority, then row. Needs of the same alias share its stock, `have`; a
+    row is served only if the stock that is left covers all its needs, which it then takes whole, and else takes nothing. Each
+    step depends on those before it, so a pool (one character's needs) is one group; pools are independent."""
 
     def serve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("priority", kind="stable")
         stock = pdf.groupby("alias")["have"].max().to_dict()
-        got = []
-        for alias, want in zip(pdf["alias"], pdf["want"], strict=True):
-            take = want if stock[alias] >= want else 0
-            stock[alias] -= take
-            got.append(take)
-        return pdf[["pool", "priority", "alias", "want"]].assign(got=got, ready=[g >= w for g, w in zip(got, pdf["want"], strict=True)])
+        out = []
+        for (priority, row), part in pdf.groupby(["priority", "row"], sort=True):
+            wants = part.groupby("alias")["want"].sum()
+            served = bool(part["open"].iloc[0]) and all(stock[a] >= w for a, w in wants.items())
+            if served:
+                for a, w in wants.items():
+                    stock[a] -= w
+            out.append((pdf["pool"].iloc[0], row, priority, served))
+        return pd.DataFrame(out, columns=["pool", "row", "priority", "served"])
 
-    return needs.groupBy("pool").applyInPandas(serve, "pool string, priority long, alias long, want long, got long, ready boolean")
+    return needs.groupBy("pool").applyInPandas(serve, "pool long, row long, priority long, served boolean")

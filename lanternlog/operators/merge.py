@@ -67,10 +67,13 @@ def floor_lookup(rows: DataFrame, brackets: DataFrame, keys: list[str], value: s
 def prefix_match(rows: DataFrame, guides: DataFrame, key: str, guide: str) -> DataFrame:
     """Adds the guide with an equal key, else the only one that starts with the row's key or that it starts with.
 
-    Prefixes meet by equality: each side also offers its first word, which every prefix match shares."""
-    head = lambda c: F.element_at(F.split(c, " "), 1)
-    exact = guides.select(F.col(guide).alias(key), F.col(guide).alias("_exact"))
-    names = rows.select(key).distinct()
-    near = names.withColumn("_head", head(key)).join(guides.select(F.col(guide).alias("_guide")).withColumn("_head", head("_guide")), "_head")
-    near = near.where(F.col("_guide").startswith(F.col(key)) | F.col(key).startswith(F.col("_guide"))).groupBy(key).agg(F.min("_guide").alias("_near"), F.count("*").alias("_n")).where("_n = 1")
+    Prefixes meet by equality: each name gives all its prefixes, and a key meets the guides that equal one of its prefixes and
+    those that have it as a prefix. An empty key or guide is no prefix of anything."""
+    exact = guides.select(F.col(guide).alias(key), F.col(guide).alias("_exact")).distinct()
+    names, known = rows.select(key).distinct(), guides.select(F.col(guide).alias("_guide")).distinct()
+    starts = lambda c: F.explode(F.expr(f"transform(sequence(1, greatest(char_length({c}), 1)), i -> left({c}, i))"))
+    longer = names.select(key, starts(key).alias("_guide")).join(known, "_guide")
+    shorter = known.select("_guide", starts("_guide").alias(key)).join(names, key)
+    near = longer.select(key, "_guide").union(shorter.select(key, "_guide")).where(f"{key} <> '' AND _guide <> ''").distinct()
+    near = near.groupBy(key).agg(F.min("_guide").alias("_near"), F.count("*").alias("_n")).where("_n = 1")
     return rows.join(exact, key, "left").join(near.drop("_n"), key, "left").withColumn("guide", F.coalesce("_exact", "_near")).drop("_exact", "_near")

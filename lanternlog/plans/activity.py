@@ -296,10 +296,10 @@ def a11_skill_levels(spark, sf_dir):
     return events(spark, sf_dir).where("event_type = 'signup'").groupBy("user_id", (F.col("k") % 3).alias("skill")).agg(F.max("k").alias("level"), F.max("t").alias("last_ts"))
 
 
-@query(f"WITH {EVENTS_SQL} SELECT user_id, event_id, CAST(ceil(event_id / 3.0) AS BIGINT) AS fight, cents FROM ev WHERE event_type = 'click' AND cents > 0 AND event_id % 2 = 0")
+@query(f"WITH {EVENTS_SQL} SELECT user_id, event_id, CAST(ceil(event_id / 3.0) AS BIGINT) AS fight, cents FROM ev WHERE event_type = 'click' AND cents > 0 AND k IS NOT NULL")
 def p2_filters(spark, sf_dir):
     """Equality, range and null filters that reach the scan."""
-    return events(spark, sf_dir).where((F.col("event_type") == "click") & (F.col("cents") > 0) & (F.col("event_id") % 2 == 0)).select("user_id", "event_id", F.ceil(F.col("event_id") / 3).cast("long").alias("fight"), "cents")
+    return events(spark, sf_dir).where((F.col("event_type") == "click") & (F.col("cents") > 0) & F.col("k").isNotNull()).select("user_id", "event_id", F.ceil(F.col("event_id") / 3).cast("long").alias("fight"), "cents")
 
 
 @query(f"""WITH {COUNTERS_SQL}, damage AS (SELECT s.user_id, s.session, e.k % 10 AS actor, sum(e.cents) AS total FROM sess s JOIN ev e USING (user_id, event_id) WHERE s.event_type = 'click' GROUP BY 1, 2, 3)

@@ -37,10 +37,10 @@ def w6_top5_sources(spark, sf_dir):
     return M.top_per_group(n, ["l_partkey"], [F.col("n").desc(), F.col("source")], 5)
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), '1') AND NOT starts_with(p_name, 'Personal')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ol') AND NOT starts_with(p_name, 'old')")
 def p3_loot_search(spark, sf_dir):
     """Case-insensitive substring search without a prefix."""
-    return table(spark, sf_dir, "part").where(F.lower("p_name").contains("1") & ~F.col("p_name").startswith("Personal")).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(F.lower("p_name").contains("ol") & ~F.col("p_name").startswith("old")).select("p_partkey", "p_name")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
@@ -84,11 +84,11 @@ def w8_last_word_cap(spark, sf_dir):
     return caps(spark, sf_dir).join(adj, "faction", "full").select("faction", F.coalesce(F.col("cap_us") >= F.col("adj_us"), F.col("cap_us").isNotNull()).alias("capped"))
 
 
-STANDING_SQL = f"{CAPS_SQL}, standing AS (SELECT c_custkey AS faction, {CENTS.format('c_acctbal')} % 4001 - 2000 AS value FROM customer WHERE c_custkey % 3 <> 0)"
+STANDING_SQL = f"{CAPS_SQL}, standing AS (SELECT c_custkey AS faction, {CENTS.format('c_acctbal')} % 4001 - 2000 AS value FROM customer)"
 
 
 def standings(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("faction"), (cents("c_acctbal") % 4001 - 2000).alias("value"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("faction"), (cents("c_acctbal") % 4001 - 2000).alias("value"))
 
 
 @query(f"WITH {STANDING_SQL} SELECT faction, net, caps, value, CAST(greatest(-2000, least(2000, coalesce(value, 0) + coalesce(net, 0))) AS BIGINT) AS estimate FROM roll FULL JOIN caps USING (faction) FULL JOIN standing USING (faction)")
@@ -272,12 +272,12 @@ def a29_listagg(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(p, "l_partkey").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), ", ").alias("brands"))
 
 
-@query("""WITH names AS (SELECT DISTINCT p_name AS key FROM part), guides AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS guide FROM part WHERE p_partkey % 2 = 0),
+@query("""WITH names AS (SELECT DISTINCT p_name AS key FROM part), guides AS (SELECT DISTINCT left(p_name, 3 + p_size % 4) AS guide FROM part),
   near AS (SELECT key, min(guide) AS guide, count(*) AS n FROM names JOIN guides ON starts_with(guide, key) OR starts_with(key, guide) GROUP BY 1)
   SELECT n.key, coalesce(g.guide, CASE WHEN x.n = 1 THEN x.guide END) AS guide FROM names n LEFT JOIN guides g ON g.guide = n.key LEFT JOIN near x ON x.key = n.key""")
 def j17_prefix_match(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    guides = part.where("p_partkey % 2 = 0").select(F.element_at(F.split("p_name", " "), 1).alias("guide")).distinct()
+    guides = part.select(F.expr("left(p_name, 3 + p_size % 4)").alias("guide")).distinct()
     return M.prefix_match(part.select(F.col("p_name").alias("key")).distinct(), guides.withColumnRenamed("guide", "g"), "key", "g")
 
 
@@ -323,9 +323,13 @@ def a23_class_pct(spark, sf_dir):
 
 @query()
 def w11_greedy_allocation(spark, sf_dir):
-    """Shared supply given out in the order of needs: rows of one class share a stock and go to one group."""
-    n = needs(spark, sf_dir)
-    return L.greedy_allocation(n.select(F.col("class").alias("pool"), F.col("need").alias("priority"), "alias", "want", "have"))
+    """Each customer's orders, the dearest first, draw on one stock of the customer: an order is served only if all its lines are
+    covered. The stock of a part is half of what the customer's orders want of it."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("pool"), F.row_number().over(W.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("long").alias("priority"), (F.col("o_orderstatus") != "F").alias("open"))
+    want = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("alias")).agg(F.sum("l_quantity").cast("long").alias("want"))
+    needs = o.join(want, "o_orderkey")
+    stock = needs.groupBy("pool", "alias").agg(F.expr("sum(want) div 2").alias("have"))
+    return L.greedy_allocation(needs.join(stock, ["pool", "alias"]).select("pool", F.col("o_orderkey").alias("row"), "priority", "open", "alias", "want", "have"))
 
 
 @query("SELECT l_partkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS BIGINT) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS r FROM lineitem GROUP BY 1")
@@ -350,11 +354,11 @@ def j22_full_via(spark, sf_dir):
     return log.join(ex, "k", "full").select("k", "at_us", F.when(F.col("at_us").isNotNull() & F.col("done"), "both").when(F.col("at_us").isNotNull(), "log").otherwise("export").alias("via"))
 
 
-@query(f"WITH {EARNED_SQL} SELECT c_custkey AS k, 'defined' AS origin FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT k, 'log' FROM log WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")
+@query(f"WITH {EARNED_SQL} SELECT c_custkey AS k, 'defined' AS origin FROM customer WHERE c_acctbal > 0 UNION ALL SELECT k, 'log' FROM log WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def j20_union_precedence(spark, sf_dir):
     """Definitions first; the log adds what they lack."""
     log, _ = earned(spark, sf_dir)
-    defs = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit("defined").alias("origin"))
+    defs = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.lit("defined").alias("origin"))
     return M.fallback(defs, log.select("k", F.lit("log").alias("origin")), ["k"])
 
 
@@ -390,12 +394,12 @@ def p13_category(spark, sf_dir):
 
 
 # Merges and set operators.
-@query("""WITH a AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 <> 0 THEN p_name END AS name FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, p_brand AS name, p_type AS url FROM part WHERE p_partkey % 2 = 0)
+@query("""WITH a AS (SELECT p_partkey AS k, CASE WHEN p_type <> 'SMALL' THEN p_name END AS name FROM part WHERE p_size > 15), b AS (SELECT p_partkey AS k, p_brand AS name, p_type AS url FROM part WHERE p_size < 35)
   SELECT k, coalesce(a.name, b.name) AS name, b.url, CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'wiki+tools' WHEN a.k IS NOT NULL THEN 'wiki' ELSE 'tools' END AS origin FROM a FULL JOIN b USING (k)""")
 def m4_two_source_merge(spark, sf_dir):
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    a = p.where(k % 3 != 0).select(k.alias("k"), F.when(k % 5 != 0, F.col("p_name")).alias("name"))
-    b = p.where(k % 2 == 0).select(k.alias("k"), F.col("p_brand").alias("name"), F.col("p_type").alias("url"))
+    a = p.where("p_size > 15").select(k.alias("k"), F.when(F.col("p_type") != "SMALL", F.col("p_name")).alias("name"))
+    b = p.where("p_size < 35").select(k.alias("k"), F.col("p_brand").alias("name"), F.col("p_type").alias("url"))
     return M.two_source_merge(a, b, "k", ["name"], ["url"], ("wiki", "tools"))
 
 
@@ -405,12 +409,12 @@ def m10_caps_fallback(spark, sf_dir):
     return M.fallback(p.where("p_size > 25").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("cap")), p.select(F.col("p_partkey").alias("k"), F.lit(25).alias("cap")), ["k"])
 
 
-@query("SELECT o_orderkey, rev FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS rev FROM orders) LEFT JOIN (SELECT o_orderkey AS k, epoch_us(o_orderdate) // 1000000 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS old FROM orders WHERE o_orderkey % 5 <> 0) ON k = o_orderkey WHERE k IS NULL OR old IS DISTINCT FROM rev")
+@query("SELECT o_orderkey, rev FROM (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS rev FROM orders) LEFT JOIN (SELECT o_orderkey AS k, epoch_us(o_orderdate) // 1000000 + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS old FROM orders WHERE o_orderstatus <> 'O') ON k = o_orderkey WHERE k IS NULL OR old IS DISTINCT FROM rev")
 def j24_changed_rows(spark, sf_dir):
     """Rows that are new or whose revision differs from the known one."""
-    cur = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(epoch_us("o_orderdate") / 1000000).cast("long").alias("rev"))
-    known = cur.where("o_orderkey % 5 <> 0").withColumn("rev", F.col("rev") + F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0))
-    return M.changed_rows(cur, known, "o_orderkey", "rev")
+    all_ = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.floor(epoch_us("o_orderdate") / 1000000).cast("long").alias("rev"))
+    known = all_.where("o_orderstatus <> 'O'").select("o_orderkey", (F.col("rev") + F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0)).alias("rev"))
+    return M.changed_rows(all_.select("o_orderkey", "rev"), known, "o_orderkey", "rev")
 
 
 @query("SELECT DISTINCT o_custkey AS k FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
@@ -430,11 +434,12 @@ def o5_nulls_last_sort(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") <= 40, F.col("p_size")).alias("size")).orderBy(F.col("size").desc_nulls_last(), "p_partkey").limit(50)
 
 
-@query("SELECT o_orderkey AS k, 'stored' AS origin FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, 'live' FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 <> 0")
+@query("SELECT o_orderkey AS k, 'stored' AS origin FROM orders WHERE o_orderstatus <> 'O' UNION ALL SELECT o_orderkey, 'live' FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus = 'O'")
 def j23_anti_union(spark, sf_dir):
     """Stored rows, and the live ones that are not stored yet."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    return M.fallback(o.where("k % 2 = 0").withColumn("origin", F.lit("stored")), o.where("k % 3 = 0").withColumn("origin", F.lit("live")), ["k"])
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus", "o_orderpriority")
+    stored, live = o.where("o_orderstatus <> 'O'"), o.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    return M.fallback(stored.select("k", F.lit("stored").alias("origin")), live.select("k", F.lit("live").alias("origin")), ["k"])
 
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS \"When\", o_orderkey AS \"Order\", CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS \"Done\" FROM orders")

@@ -24,8 +24,10 @@ def export_view(df: DataFrame, labels: dict[str, str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV parts with labels as header, CRLF line ends, minimal quoting and nulls as empty fields."""
-    df.write.mode("overwrite").options(header=True, lineSep="\r\n", nullValue="", emptyValue="", encoding="UTF-8").csv(path)
+    """CSV parts that begin with a byte-order mark, with labels as header, CRLF line ends, minimal quoting and nulls as empty
+    fields. The mark stands before the first label, which is where each part begins."""
+    first = df.columns[0]
+    df.withColumnRenamed(first, "\ufeff" + first).write.mode("overwrite").options(header=True, lineSep="\r\n", nullValue="", emptyValue="", encoding="UTF-8").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
