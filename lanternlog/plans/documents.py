@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.log import parse_events
+from ..sources.log import keep_members, parse_events
 from .inputs import cents, table
 from .registry import query
 
@@ -134,6 +134,19 @@ KINDS = (
     ("loot", "'You looted a Blade ' || l_partkey || ' from a rat''s corpse to create a Blade ' || l_partkey || ' +1'"),
     ("achievement", "'You have completed achievement: Deed ' || l_partkey"),
     ("craft_error", "'The result of this combine would produce an unusable item.'"),
+    ("depot_withdraw", "'You have taken ' || l_linenumber || ' Ore ' || l_partkey || ' from your personal depot.'"),
+    ("depot_consume", "'Consumed ' || l_linenumber || ' x Flask ' || l_partkey || ' (leaving ' || l_orderkey || ') from your personal depot.'"),
+    ("faction", "'Your faction standing with Folk ' || l_partkey || ' has been adjusted by -' || l_linenumber || '.'"),
+    ("faction_capped", "'Your faction standing with Folk ' || l_partkey || ' could not possibly get any better.'"),
+    ("craft", "'You have fashioned the items together to create something new: Tonic ' || l_partkey || '.'"),
+    ("craft", "'You lacked the skills to fashion Rolls ' || l_partkey || '.'"),
+    ("craft_capped", "'You can no longer advance your skill from making this item.'"),
+    ("coin", "'--You have looted ' || l_linenumber || ' gold and 3 silver from a dummy.--'"),
+    ("heal", "'Someone healed you for ' || l_partkey || ' hit points by Minor Healing.'"),
+    ("loot", "'You looted ' || l_linenumber || ' Silk ' || l_partkey || ' from a spider''s corpse and stored it in your tradeskill depot.'"),
+    ("damage", "'You slash a dummy for ' || l_partkey || ' points of damage. (Critical)'"),
+    ("miss", "'Bob tries to slash a rat ' || l_partkey || ', but misses!'"),
+    ("damage", "'A rat is burned by ' || CASE WHEN l_returnflag = 'R' THEN 'Bob' ELSE 'Stranger' END || chr(39) || 's thorns for ' || l_linenumber || ' points of non-melee damage.'"),
     (None, "'Someone says, ''You have completed achievement'''"),
 )
 LINE = f"{STAMP} || CASE l_orderkey % {len(KINDS)} " + " ".join(f"WHEN {i} THEN {said}" for i, (_, said) in enumerate(KINDS)) + " END"
@@ -149,8 +162,8 @@ def p1_gate_chain(spark, sf_dir):
     return parsed(spark, sf_dir).select("l_orderkey", "l_linenumber", "type")
 
 
-#: What tells the two kinds of loot apart.
-LOOT = {6: "copper IS NOT NULL", 7: "merged_into IS NOT NULL"}
+#: What tells lines of one type apart.
+LOOT = {6: "copper IS NOT NULL", 7: "merged_into IS NOT NULL", 14: "ok", 15: "NOT ok", 19: "copper IS NULL AND merged_into IS NULL", 20: "dmg_type = 'melee'"}
 
 
 def _event(name: str, kind: int, sql: str, columns: list[str]) -> None:
@@ -166,10 +179,42 @@ def _event(name: str, kind: int, sql: str, columns: list[str]) -> None:
 _event("e1_aa_gain", 0, "1 AS points, CAST(l_partkey AS INT) AS balance_after", ["points", "balance_after"])
 _event("e2_aa_spend", 1, "'Skill ' || l_partkey AS ability, l_linenumber AS points", ["ability", "points"])
 _event("e3_depot", 2, "'Ore ' || l_partkey AS item, CAST(l_linenumber AS BIGINT) AS qty", ["item", "qty"])
-_event("e4_upgrade", 3, "'Ring ' || l_partkey || ' +' || l_linenumber AS item, l_linenumber AS tier", ["item", "tier"])
-_event("e5_xp_bonus", 4, "l_linenumber + 0.5::DOUBLE AS pct", ["pct"])
-_event("e6_dot_taken", 5, "l_partkey AS amount, 'Swarm' AS spell, 'a rat' AS source", ["amount", "spell", "source"])
+_event("e3_depot_withdraw", 10, "'Ore ' || l_partkey AS item, CAST(l_linenumber AS BIGINT) AS qty", ["item", "qty"])
+_event("e4_upgrade", 3, "'Ring ' || l_partkey || ' +' || l_linenumber AS item, 'Ring ' || l_partkey AS base, l_linenumber AS tier", ["item", "base", "tier"])
+_event("e5_xp_bonus", 4, "l_linenumber + 0.5::DOUBLE AS pct, true AS bonus", ["pct", "bonus"])
+_event("e6_dot_taken", 5, "l_partkey AS amount, 'Swarm' AS spell, 'a rat' AS source, 'dot' AS dmg_type", ["amount", "spell", "source", "dmg_type"])
 _event("e7_loot_sold", 6, "'Skin ' || l_partkey AS item, CAST(l_linenumber AS BIGINT) AS qty, CAST(l_linenumber * 100 + 3 AS BIGINT) AS copper, 'a rat' AS source", ["item", "qty", "copper", "source"])
 _event("e8_loot_merged", 7, "'Blade ' || l_partkey AS item, CAST(1 AS BIGINT) AS qty, 'Blade ' || l_partkey || ' +1' AS merged_into", ["item", "qty", "merged_into"])
 _event("e9_achievement", 8, "'Deed ' || l_partkey AS name", ["name"])
 _event("e10_craft_error", 9, "'unusable_result' AS reason", ["reason"])
+_event("e11_melee_damage", 20, "l_partkey AS amount, 'a dummy' AS target, 'slash' AS verb, 'player' AS attacker", ["amount", "target", "verb", "attacker"])
+_event("e12_depot_consume", 11, "'Flask ' || l_partkey AS item, CAST(l_linenumber AS BIGINT) AS qty, l_orderkey AS left_qty", ["item", "qty", "left_qty"])
+_event("e12_faction", 12, "'Folk ' || l_partkey AS faction, CAST(-l_linenumber AS BIGINT) AS delta", ["faction", "delta"])
+_event("e12_faction_capped", 13, "'Folk ' || l_partkey AS faction, 'better' AS direction", ["faction", "direction"])
+_event("e12_craft_made", 14, "'Tonic ' || l_partkey AS item", ["item"])
+_event("e12_craft_failed", 15, "'Rolls ' || l_partkey AS item", ["item"])
+_event("e12_craft_capped", 16, "'craft_capped' AS type", ["type"])
+_event("e14_coin", 17, "CAST(l_linenumber * 100 + 30 AS BIGINT) AS copper, 'a dummy' AS source", ["copper", "source"])
+_event("e14_heal", 18, "l_partkey AS amount, 'Minor Healing' AS spell, 'Someone' AS source", ["amount", "spell", "source"])
+_event("e14_stored_loot", 19, "'Silk ' || l_partkey AS item, CAST(l_linenumber AS BIGINT) AS qty, 'a spider' AS source", ["item", "qty", "source"])
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % {len(KINDS)} = 21 THEN 'miss' ELSE 'damage' END AS type, 'Bob' AS attacker FROM lineitem WHERE l_orderkey % {len(KINDS)} = 21 OR (l_orderkey % {len(KINDS)} = 22 AND l_returnflag = 'R')")
+def e13_group_gate(spark, sf_dir):
+    """Misses and damage shields of others, for members of the group only."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(LINE).alias("line"))
+    events = keep_members(parse_events(lines), spark.createDataFrame([("Bob",), ("Ann",)], "name string"))
+    return events.where("ally AND type IS NOT NULL").select("l_orderkey", "l_linenumber", "type", "attacker")
+
+
+SECTIONED = "'intro ' || lang || chr(10) || '== ' || source || ' ==' || chr(10) || coalesce(text, '') || chr(10) || '=== Notes ===' || chr(10) || 'end'"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split({SECTIONED}, chr(10)) AS x FROM documents)),
+  h AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*(={{2,6}})\s*[^=].*?\s*={{2,6}}\s*$') THEN length(regexp_extract(line, '^\s*(=+)', 1)) END AS lv FROM l),
+  s AS (SELECT *, CAST(sum(CASE WHEN lv IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS section FROM h)
+  SELECT doc_id, section, coalesce(max(lv), 0) AS level, coalesce(max(CASE WHEN lv IS NOT NULL THEN trim(trim(trim(line), '=')) END), '') AS title, CAST(sum(CASE WHEN lv IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM s GROUP BY 1, 2""")
+def d5_heading_sections(spark, sf_dir):
+    """Sections by heading with their level, title and lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.sections(F.expr(SECTIONED))).alias("s"))
+    return d.select("doc_id", F.col("s.section").alias("section"), F.col("s.level").cast("long").alias("level"), F.col("s.title").alias("title"), F.size("s.lines").cast("long").alias("lines"))

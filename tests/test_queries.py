@@ -52,3 +52,35 @@ def test_event_queries_filter_by_parsed_type(spark, monkeypatch):
     monkeypatch.setattr(documents, "parsed", lambda spark, sf_dir: documents.parse_events(rows))
     shown = {name: [tuple(r) for r in QUERIES[name](spark, DATA).collect()] for name in ("e7_loot_sold", "e8_loot_merged", "e9_achievement", "e10_craft_error")}
     assert shown == {"e7_loot_sold": [(2, 1, "Skin 3", 2, 403, "a rat")], "e8_loot_merged": [(3, 1, "Blade 7", 1, "Blade 7 +1")], "e9_achievement": [(1, 1, "Deed 5")], "e10_craft_error": []}
+
+
+def test_allocation_serves_whole_rows_in_order(spark):
+    import random
+
+    from lanternlog.operators.allocate import greedy_allocation
+
+    rnd = random.Random(4)
+    needs, stock = [], {(p, a): rnd.randrange(12) for p in range(5) for a in range(6)}
+    for p in range(5):
+        for r in range(40):
+            open_ = rnd.random() < 0.8
+            needs += [(p, r, rnd.randrange(3) * 0 + r // 3, open_, a, rnd.randrange(1, 4), stock[p, a]) for a in rnd.sample(range(6), rnd.randrange(1, 4))]
+    left, want = dict(stock), {}
+    for p, pr, r in sorted({(n[0], n[2], n[1]) for n in needs}):
+        mine = [n for n in needs if n[:2] == (p, r)]
+        want[p, r] = mine[0][3] and all(left[p, n[4]] >= n[5] for n in mine)
+        for n in mine if want[p, r] else ():
+            left[p, n[4]] -= n[5]
+    rows = spark.createDataFrame(needs, "pool long, row long, priority long, open boolean, alias long, want long, have long")
+    assert {(r.pool, r.row): r.served for r in greedy_allocation(rows).collect()} == want and any(want.values()) and not all(want.values())
+
+
+def test_prefixes_match_as_plain_strings(spark):
+    from lanternlog.operators.merge import prefix_match
+
+    keys, guides = ["north", "no", "east hall", "west", "south", ""], ["northern ro", "east", "west", "western", "sou", "south gate", "eastern"]
+    of = lambda name, x: spark.createDataFrame([(v,) for v in x], f"{name} string")
+    got = {r.key: r.guide for r in prefix_match(of("key", keys), of("g", guides), "key", "g").collect()}
+    for k in keys:
+        near = [g for g in guides if k and (g.startswith(k) or k.startswith(g))]
+        assert got[k] == (k if k in guides else near[0] if len(near) == 1 else None), k

@@ -14,7 +14,7 @@ LINES = [
     ("You gain experience (with a bonus)! (1.25%)", "xp", {"pct": 1.25}),
     ("You have taken 40 damage from Stinging Swarm.", "damage_taken", {"amount": 40, "source": "Stinging Swarm"}),
     ("You have taken 40 damage from Stinging Swarm by a rat.", "damage_taken", {"amount": 40, "source": "a rat"}),
-    ("You looted 2 Skin from a ghoul's corpse and sold it for 1 gold, 3 silver and 6 copper.", "loot", {"qty": 2, "item": "Skin", "source": "a ghoul", "copper": 136}),
+    ("You looted 2 Skin from a ghoul's corpse and sold it for 2 gold and 8 copper.", "loot", {"qty": 2, "item": "Skin", "source": "a ghoul", "copper": 208}),
     ("You looted a Blade from a ghoul's corpse and sold it for free.", "loot", {"qty": 1, "copper": 0}),
     ("You looted a Blade from a ghoul's corpse to create a Blade +2", "loot", {"item": "Blade", "merged_into": "Blade +2"}),
     ("You have completed achievement: Long Walk", "achievement", {"name": "Long Walk"}),
@@ -24,7 +24,22 @@ LINES = [
     ("A ghoul slashes YOU for 4 points of damage.", "damage_taken", {"amount": 4, "verb": "slashes"}),
     ("You pierce a ghoul for 11 points of damage.", "damage", {"amount": 11, "target": "a ghoul"}),
     ("Zari has completed achievement: Long Walk", None, {}),
-    ("A crocodile has taken 1 damage from Disease Cloud by Kir.", None, {}),
+    ("An old toad has taken 3 damage from Gray Mist by Kir.", None, {}),
+    ("You have successfully merged two items together to create a new item: Old Ring II", "upgrade", {"item": "Old Ring II", "base": "Old Ring II", "tier": None}),
+    ("You looted a Blade from a ghoul's corpse and sold it for a song.", "loot", {"copper": 0}),
+    ("Your faction standing with The Old Folk has been adjusted by -5.", "faction", {"faction": "The Old Folk", "delta": -5}),
+    ("Your faction standing with The Old Folk could not possibly get any worse.", "faction_capped", {"direction": "worse"}),
+    ("You have fashioned the items together to create something new: Plum Tonic.", "craft", {"item": "Plum Tonic", "ok": True}),
+    ("You lacked the skills to fashion Plum Rolls.", "craft", {"item": "Plum Rolls", "ok": False}),
+    ("You can no longer advance your skill from making this item.", "craft_capped", {}),
+    ("Consumed 3 x Tea Leaf (leaving 9) from your personal depot.", "depot_consume", {"qty": 3, "item": "Tea Leaf", "left_qty": 9}),
+    ("--You have looted 5 gold and 3 silver from a ghoul.--", "coin", {"copper": 530, "source": "a ghoul"}),
+    ("--You have looted a Worn Coin from a ghoul.--", "loot", {"item": "Worn Coin", "source": "a ghoul", "qty": 1}),
+    ("Ann healed you for 50 hit points by Minor Balm.", "heal", {"amount": 50, "source": "Ann", "spell": "Minor Balm"}),
+    ("You gain party experience! (1.5%)", "xp", {"pct": 1.5, "bonus": False}),
+    ("Ann tries to slash a toad, but misses!", "miss", {"attacker": "Ann", "ally": True}),
+    ("A toad is burned by Ann's thorns for 7 points of non-melee damage.", "damage", {"attacker": "Ann", "dmg_type": "ds", "amount": 7}),
+    ("You slash a ghoul for 30 points of damage. (Critical)", "damage", {"amount": 30, "dmg_type": "melee"}),
     ("Kir says, 'combine'", None, {}),
 ]
 
@@ -38,6 +53,52 @@ def test_grammar(spark, tmp_path):
         assert str(r.ts) == "2026-07-31 18:38:02"
 
 
+def test_members_only(spark):
+    said = [(i, STAMP + t) for i, t in enumerate(("Ann tries to slash a toad, but misses!", "Zed tries to slash a toad, but misses!", "You have slain a toad!", "hello"))]
+    roster = spark.createDataFrame([("Ann",)], "name string")
+    got = {r.i: r.type for r in log.keep_members(log.parse_events(spark.createDataFrame(said, "i int, line string")), roster).collect()}
+    assert got == {0: "miss", 1: None, 2: "kill", 3: None}
+
+
+def test_offsets_resume_and_reset(spark, tmp_path):
+    import hashlib
+
+    at = tmp_path / "log.txt"
+    body = [STAMP + f"You have entered Place {i}." for i in range(400)]
+    raw = ("\r\n".join(body[:200]) + "\r\n\r\n" + "caf\u00e9\n").encode() + b"bad \xff byte\n" + STAMP.encode() + b"You have sl"
+    at.write_bytes(raw)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several splits
+    try:
+        lines = log.read_log(spark, str(at))
+        got = lines.orderBy("offset").collect()
+        want, pos = [], 0
+        for i, part in enumerate(raw.split(b"\n")):
+            text = part.decode("utf-8", "replace").removesuffix("\r")
+            if text:
+                want.append((i, pos, text, pos + len(part) < len(raw)))
+            pos += len(part) + 1
+        assert [(r.line_no, r.offset, r.line, r.whole) for r in got] == want
+        files = log.log_identity(spark, str(at))
+        assert files.first().head == hashlib.sha256(raw[:512]).hexdigest()
+        none = spark.createDataFrame([], "path string, head string, offset long")
+        points = log.resume_points(files, none)
+        assert log.new_lines(lines, points).count() == len(want) - 1 and str(log.first_times(lines).first().first_ts) == "2026-07-31 18:38:02"
+        marks = spark.createDataFrame([tuple(r) for r in log.next_checkpoints(lines, points).collect()], "path string, head string, offset long")
+        assert marks.first().offset == want[-1][1]  # the line being written waits
+        at.write_bytes(raw + b"ain a toad!\n")
+        again, files = log.read_log(spark, str(at)), log.log_identity(spark, str(at))
+        points = log.resume_points(files, marks)
+        assert [r.line for r in log.new_lines(again, points).collect()] == [STAMP + "You have slain a toad!"] and not points.first().reset
+        assert log.backfill_lines(again, points, ["Place 7.", "toad"]).count() == 1
+        at.write_bytes(raw[: len(raw) // 2])
+        points = log.resume_points(log.log_identity(spark, str(at)), marks)
+        assert points.first().reset and points.first().start == 0
+        at.write_bytes(b"x" + raw + raw)
+        assert log.resume_points(log.log_identity(spark, str(at)), marks).first().reset
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_snapshots(spark, tmp_path):
     text = "Location\tName\tID\tCount\tSlots\nFinger\tOld Ring +2\t5\t1\t2\nFinger-Slot1\tGem\t6\t1\t0\nKeyRing\tName\tID\nKeyRing\tOld Key\t9\n"
     (tmp_path / "X_y-Inventory.txt").write_bytes(b"\xff\xfe" + text.encode("utf-16-le"))
@@ -69,4 +130,4 @@ def test_sitemap_and_export(spark, tmp_path):
     df = spark.sql("select true as ok, timestamp'2026-01-02 03:04:05' as t, cast(null as string) as n")
     write_csv(export_view(df, {"ok": "Done", "t": "When", "n": "Note"}).coalesce(1), str(tmp_path / "out"))
     data = next((tmp_path / "out").glob("part-*")).read_bytes()
-    assert data == b"Done,When,Note\r\nyes,2026-01-02 03:04:05,\r\n"
+    assert data == b"\xef\xbb\xbfDone,When,Note\r\nyes,2026-01-02 03:04:05,\r\n"
