@@ -24,4 +24,4 @@ def query(sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import activity, documents, live, relations  # noqa: F401
+    from . import activity, documents, live, progress, relations  # noqa: F401
