@@ -95,12 +95,11 @@ def a25_session_totals(spark, sf_dir):
     return counters(sessions(spark, sf_dir)).agg(F.count("*").alias("sessions"), total("seconds"), total("hits"), total("coin"), F.max("seconds").alias("longest"))
 
 
-@query(f"WITH {COUNTERS_SQL} SELECT user_id, session, last_ts, (SELECT max(t) FROM ev) - last_ts <= 21600 AS is_current FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY session DESC) AS n FROM counted) WHERE n = 1")
+@query(f"WITH {COUNTERS_SQL} SELECT user_id, session, last_ts, (SELECT max(e.t) FROM ev e WHERE e.user_id = c.user_id) - last_ts <= 21600 AS is_current FROM counted c")
 def p17_current_session(spark, sf_dir):
-    """Each user's last session, and whether the log's end lies inside its gap."""
-    last = M.top_per_group(counters(sessions(spark, sf_dir)), ["user_id"], [F.col("session").desc()], 1)
-    end = events(spark, sf_dir).agg(F.max("t").alias("end"))
-    return last.join(F.broadcast(end)).select("user_id", "session", "last_ts", (F.col("end") - F.col("last_ts") <= GAP).alias("is_current"))
+    """Each session, and whether the end of its own character's log lies inside its gap."""
+    end = F.max("last_ts").over(W.partitionBy("user_id"))
+    return counters(sessions(spark, sf_dir)).select("user_id", "session", "last_ts", (end - F.col("last_ts") <= GAP).alias("is_current"))
 
 
 ZONES_SQL = (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import wiki
 from ..sources.log import keep_members, parse_events
 from .inputs import cents, table
 from .registry import query
@@ -23,10 +24,27 @@ def d5_sections(spark, sf_dir):
     return l.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"), F.max(F.char_length("line").cast("long")).alias("longest"))
 
 
-@query("SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS links FROM pages")
+LINKED = "concat('a [[', p_name, '|', p_type, ']] b [[File:', p_name, '.png]] [[ ', p_brand, ' ]][[', p_name, '#part]] [[', CASE WHEN p_size > 25 THEN p_type ELSE p_brand END, ']]')"
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN [p_name, p_brand_root, p_type] ELSE [p_name, p_brand_root] END AS links FROM (SELECT *, replace(p_brand, '#', ' ') AS p_brand_root FROM part)")
 def d15_links(spark, sf_dir):
-    """Distinct link targets of each page."""
-    return table(spark, sf_dir, "pages").select("page_id", F.array_sort(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("links"))
+    """Link targets of each page in order, once each, without those in a namespace."""
+    text = F.expr(LINKED.replace("p_brand", "replace(p_brand, '#', ' ')"))
+    return parts(spark, sf_dir).select("p_partkey", X.extract_links(text).alias("links"))
+
+
+ITEM = """concat('Lead {{', CASE WHEN p_type = 'SMALL' THEN 'Page' ELSE 'Itempage' END, '|itemname=[[', p_brand, '|', p_name, ']]|lucy_img_id=img', p_size, '.png|notes=of [[A|b]] {{c|d=e}}|statsblock=MAGIC ITEM  NO DROP<br>Slot: HEAD<br>',
+  CASE WHEN p_size > 25 THEN concat('AC: ', p_size, ' STR: +', p_size + 1, ' SV FIRE: -', p_size, '<br>') ELSE 'Haste: +36%<br>' END, 'WT: 2.5 Size: MEDIUM<br>Effect: ', p_name, ' IV (Combat)<br>Odd line|relatedquests=[[', p_type, ']]|focus_effect=', p_name, ' II}} end')"""
+
+
+@query("""SELECT p_partkey, p_name AS name, p_size AS icon, 'of [[A|b]] {{c|d=e}}' AS notes, [p_type] AS quests, 'MAGIC ITEM,NO DROP' AS flags, 'HEAD' AS slot, CASE WHEN p_size > 25 THEN p_size END AS ac, CASE WHEN p_size > 25 THEN p_size + 1 END AS str, CASE WHEN p_size > 25 THEN -p_size END AS fire,
+  CASE WHEN p_size <= 25 THEN 36 END AS haste, 'MEDIUM' AS size, 'proc ' || p_name || ' 4,focus ' || p_name || ' 2' AS effects, 'Odd line' AS misc FROM part WHERE p_type <> 'SMALL'""")
+def d4_item_pages(spark, sf_dir):
+    """Items out of pages that embed the item template, with their stats block and effects; other pages go."""
+    items = wiki.item_pages(parts(spark, sf_dir).select("p_partkey", F.expr(ITEM).alias("text")), "text")
+    told = F.transform("effects", lambda e: F.concat_ws(" ", e.type, e.family, e.tier))
+    return items.select("p_partkey", "name", "icon", "notes", "quests", F.array_join("stats.flags", ",").alias("flags"), "stats.slot", "stats.ac", F.col("stats.stats")["STR"].alias("str"), F.col("stats.resists")["FIRE"].alias("fire"), "stats.haste", "stats.size", F.array_join(told, ",").alias("effects"), F.array_join("stats.misc", ",").alias("misc"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS lines, len(regexp_extract_all(html, '<li>')) AS drops FROM pages")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..streaming import windows as S
 from ..streaming.sessions import run_available
 from .activity import COUNTERS_SQL
-from .inputs import GAP, epoch_us
+from .inputs import EVENTS_SQL, GAP, epoch_us
 from .registry import query
 
 
@@ -21,3 +22,17 @@ def event_stream(spark, sf_dir):
 def t1_stateful_stream(spark, sf_dir):
     """Sessions by keyed state over a stream, equal to those of the batch."""
     return run_available(event_stream(spark, sf_dir), GAP)
+
+
+@query(f"WITH {EVENTS_SQL} SELECT t // 86400 * 86400 AS start, count(*) AS n FROM ev GROUP BY 1")
+def t4_tumbling_windows(spark, sf_dir):
+    """Events of each day by a watermarked stream."""
+    at = event_stream(spark, sf_dir).withColumn("at", F.timestamp_seconds("t"))
+    return S.available_rows(S.window_counts(at, "at", "1 day", "2 hours", []), "update").groupBy("start").agg(F.max("n").alias("n"))
+
+
+@query(f"WITH {EVENTS_SQL} SELECT user_id, event_id, t FROM ev")
+def t11_drop_replays(spark, sf_dir):
+    """A stream that is fed twice keeps one row of each event."""
+    twice = event_stream(spark, sf_dir).union(event_stream(spark, sf_dir)).withColumn("at", F.timestamp_seconds("t"))
+    return S.available_rows(S.drop_replays(twice, ["user_id", "event_id"], "at", "1 day"), "append").select("user_id", "event_id", "t")

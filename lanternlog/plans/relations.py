@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..operators import activity as A
 from ..operators import allocate as L
 from ..operators import merge as M
+from ..sources.sinks import export_view
 from .inputs import cents, epoch_us, table
 from .registry import query
 
@@ -445,7 +446,30 @@ def j23_anti_union(spark, sf_dir):
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS \"When\", o_orderkey AS \"Order\", CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE 'no' END AS \"Done\" FROM orders")
 def k10_export_projection(spark, sf_dir):
     """The export view: labels as columns, times as text, flags as yes and no."""
-    return table(spark, sf_dir, "orders").select(F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("When"), F.col("o_orderkey").alias("Order"), F.when(F.col("o_orderstatus") == "F", "yes").otherwise("no").alias("Done"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), "o_orderkey", (F.col("o_orderstatus") == "F").alias("done"))
+    return export_view(o, {"ts": "When", "o_orderkey": "Order", "done": "Done"})
+
+
+@query("""WITH l AS (SELECT p_name, s_name, l_quantity, l_shipdate, p_size > 25 AS known FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
+  s AS (SELECT p_name, s_name, count(*) AS n FROM l GROUP BY 1, 2), top AS (SELECT p_name, s_name, n FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, s_name) AS r FROM s) WHERE r = 1)
+  SELECT p_name AS "Item", count(*) AS "Drops", CAST(sum(l_quantity) AS BIGINT) AS "Quantity", any_value(top.s_name) AS "Most from", any_value(top.n) AS "Times", strftime(min(l_shipdate), '%Y-%m-%d %H:%M:%S') AS "First", strftime(max(l_shipdate), '%Y-%m-%d %H:%M:%S') AS "Last",
+  CASE WHEN bool_or(known) THEN 'yes' ELSE 'no' END AS "In item DB" FROM l JOIN top USING (p_name) GROUP BY 1""")
+def k10_loot_view(spark, sf_dir):
+    """The loot view: drops of each item with the source that gave most; both counts come from one aggregate by item and source."""
+    part, supp = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("item"), (F.col("p_size") > 25).alias("known")), table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"))
+    by_source = li.join(part, li.l_partkey == part.p_partkey).join(supp, li.l_suppkey == supp.s_suppkey).groupBy("item", "s_name").agg(
+        F.count("*").alias("n"), F.sum("q").alias("qty"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.bool_or("known").alias("known"))
+    v = by_source.groupBy("item").agg(F.sum("n").alias("drops"), F.sum("qty").alias("qty"), F.min(F.struct((-F.col("n")).alias("n"), "s_name")).alias("top"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.bool_or("known").alias("known"))
+    v = v.withColumn("top_source", F.col("top.s_name")).withColumn("top_n", -F.col("top.n"))
+    return export_view(v, {"item": "Item", "drops": "Drops", "qty": "Quantity", "top_source": "Most from", "top_n": "Times", "first_ts": "First", "last_ts": "Last", "known": "In item DB"})
+
+
+@query(f"WITH {STANDING_SQL} SELECT faction AS \"Faction\", value AS \"Standing (file)\", {BANDS_SQL} AS \"Band\", 2000 - value AS \"To max\", net AS \"Net (log)\", n AS \"Changes\", gained AS \"Gained\", lost AS \"Lost\", CASE WHEN caps IS NULL THEN 'no' ELSE 'yes' END AS \"Capped\" FROM roll FULL JOIN caps USING (faction) FULL JOIN standing USING (faction)")
+def k10_factions_view(spark, sf_dir):
+    both = rollup(spark, sf_dir).join(caps(spark, sf_dir), "faction", "full").join(standings(spark, sf_dir), "faction", "full")
+    v = both.withColumn("label", X.standing_label(F.col("value"))).withColumn("to_max", 2000 - F.col("value")).withColumn("capped", F.col("caps").isNotNull())
+    return export_view(v, {"faction": "Faction", "value": "Standing (file)", "label": "Band", "to_max": "To max", "net": "Net (log)", "n": "Changes", "gained": "Gained", "lost": "Lost", "capped": "Capped"})
 
 
 @query("SELECT p_brand AS key, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1")

@@ -49,8 +49,13 @@ def apply_once(path: str):
 
 
 def stream_folder(spark) -> str:
-    """A new folder for a stream's checkpoint and output, under the session's shared checkpoint folder if it has one."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    """A new folder for a stream's checkpoint and output, under the session's shared checkpoint folder; only a local master may
+    lack one."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = tempfile.mkdtemp(prefix="stream-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4()}"
 
 
