@@ -47,6 +47,18 @@ def d4_item_pages(spark, sf_dir):
     return items.select("p_partkey", "name", "icon", "notes", "quests", F.array_join("stats.flags", ",").alias("flags"), "stats.slot", "stats.ac", F.col("stats.stats")["STR"].alias("str"), F.col("stats.resists")["FIRE"].alias("fire"), "stats.haste", "stats.size", F.array_join(told, ",").alias("effects"), F.array_join("stats.misc", ",").alias("misc"))
 
 
+TABLED = "concat('lead\\n{| class=x\\n! Name !! style=w | Size\\n|-\\n| ', p_name, ' || ', p_size, '\\n|-\\n| [[', p_type, '|t=u]]\\n| ', p_brand, CASE WHEN p_size > 25 THEN '\\n|}\\n{|\\n| a=b| last\\n|}' ELSE '' END)"
+
+
+@query("""SELECT p_partkey, CAST(0 AS BIGINT) AS nth, 'Name,Size' AS headers, p_name || ',' || p_size || ';[[' || p_type || '|t=u]],' || p_brand AS rows FROM part
+  UNION ALL SELECT p_partkey, 1, '', 'last' FROM part WHERE p_size > 25""")
+def d6_wikitables(spark, sf_dir):
+    """Headers and rows of each table of a page."""
+    t = parts(spark, sf_dir).select("p_partkey", F.posexplode(wiki.wikitables(F.expr(TABLED))).alias("nth", "t"))
+    rows = F.array_join(F.transform("t.rows", lambda r: F.array_join(r, ",")), ";")
+    return t.select("p_partkey", F.col("nth").cast("long").alias("nth"), F.array_join("t.headers", ",").alias("headers"), rows.alias("rows"))
+
+
 @query("SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS title, len(regexp_extract_all(html, '<p>')) AS lines, len(regexp_extract_all(html, '<li>')) AS drops FROM pages")
 def d13_html_items(spark, sf_dir):
     """Title, lines and list entries of an item page."""

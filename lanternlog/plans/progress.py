@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import merge as M
 from ..operators import policies as P
+from ..sources import snapshots as N
 from .inputs import EVENTS_SQL, epoch_us, events, table
 from .registry import query
 from .relations import STANDING_SQL, rollup, standings
@@ -303,3 +304,19 @@ def a33_recent_lists(spark, sf_dir):
     most = F.when(F.col("event_type") == "purchase", 15).when(F.col("event_type") == "view", 10).otherwise(5)
     rows = M.top_per_group(events(spark, sf_dir).select("user_id", "event_type", "event_id"), ["user_id", "event_type"], [F.col("event_id").desc()], 15)
     return rows.where(F.col("rank") <= most)
+
+
+@query("""SELECT p_name AS title, CASE WHEN bool_or(p_type = 'SMALL') THEN 'quest' WHEN bool_or(p_size > 25) THEN 'item' ELSE 'guide' END AS kind FROM part WHERE p_type = 'SMALL' OR p_size > 25 OR p_type = 'BRASS' GROUP BY 1""")
+def s20_worklist(spark, sf_dir):
+    """Pages to fetch: a page of several kinds is a quest before it is an item or a guide."""
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_name", "title")
+    return N.worklist(("quest", p.where("p_type = 'SMALL'")), ("item", p.where("p_size > 25")), ("guide", p.where("p_type = 'BRASS'")))
+
+
+@query("""WITH s AS (SELECT c_name AS name, c_mktsegment AS server, 0 AS src FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT upper(c_name), c_mktsegment, 1 FROM customer WHERE c_acctbal > 0 UNION ALL SELECT c_name, lower(c_mktsegment), 2 FROM customer WHERE c_acctbal < 7000)
+  SELECT arg_min(name, src) AS name, arg_min(server, src) AS server, list_sort(list(DISTINCT src)) AS has FROM s GROUP BY lower(name), lower(server)""")
+def s16_candidates(spark, sf_dir):
+    """Characters by settings, logs and exports in that order, with the sources that know each."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("server"), "c_acctbal")
+    logs, exports = c.where("c_acctbal > 0").withColumn("name", F.upper("name")), c.where("c_acctbal < 7000").withColumn("server", F.lower("server"))
+    return N.candidate_characters(c.where("c_acctbal > 5000"), logs, exports)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -96,3 +98,33 @@ def log_owner(name: Column) -> Column:
 def unseen_files(files: DataFrame, seen: DataFrame) -> DataFrame:
     """Files whose path and content hash are not among those seen."""
     return files.join(seen.select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
+def ini_characters(rows: DataFrame) -> DataFrame:
+    """(path, name, server) of the `[Characters]` section of settings files (path, line_no, line): values `name, server` with a name."""
+    head = F.nullif(F.regexp_extract("line", r"^\s*\[([^\]]+)\]\s*$", 1), F.lit(""))
+    w = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.withColumn("_section", F.last(head, ignorenulls=True).over(w)).where("_section = 'Characters' AND line RLIKE '^[^;#=:]+[=:]'")
+    fields = F.transform(F.split(F.regexp_replace("line", r"^[^=:]+[=:]", ""), ","), lambda x: F.trim(x))
+    return inside.withColumn("_f", fields).where("size(_f) >= 2 AND _f[0] <> ''").select("path", F.col("_f")[0].alias("name"), F.col("_f")[1].alias("server"))
+
+
+def candidate_characters(*sources: DataFrame) -> DataFrame:
+    """(name, server, has) of every character that a source (name, server) knows, the best source first: the spelling is that of
+    the first source that has it, and `has` lists the places of all that do."""
+    rows = [s.select("name", "server", F.lit(n).alias("_at")) for n, s in enumerate(sources)]
+    keys = [F.lower("name").alias("_name"), F.lower("server").alias("_server")]
+    out = reduce(DataFrame.unionByName, rows).groupBy(*keys).agg(F.min(F.struct("_at", "name", "server")).alias("_first"), F.array_sort(F.collect_set("_at")).alias("has"))
+    return out.select("_first.name", "_first.server", "has")
+
+
+def worklist(*kinds: tuple[str, DataFrame]) -> DataFrame:
+    """(title, kind) of pages to fetch, each once and under the first kind that names it."""
+    rows = [df.select("title", F.lit(n).alias("_at"), F.lit(kind).alias("kind")) for n, (kind, df) in enumerate(kinds)]
+    return reduce(DataFrame.unionByName, rows).groupBy("title").agg(F.min_by("kind", "_at").alias("kind"))
+
+
+def synced_or_bundled(synced: DataFrame, bundled: DataFrame, valid: Column) -> DataFrame:
+    """The valid synced rows, or all bundled ones where no synced row is valid."""
+    good = synced.where(valid)
+    return bundled if good.isEmpty() else good

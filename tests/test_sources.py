@@ -131,3 +131,14 @@ def test_sitemap_and_export(spark, tmp_path):
     write_csv(export_view(df, {"ok": "Done", "t": "When", "n": "Note"}).coalesce(1), str(tmp_path / "out"))
     data = next((tmp_path / "out").glob("part-*")).read_bytes()
     assert data == b"\xef\xbb\xbfDone,When,Note\r\nyes,2026-01-02 03:04:05,\r\n"
+
+
+def test_settings_and_fallback(spark):
+    from lanternlog.sources import snapshots
+
+    said = ["[Other]", "a=No, one", "[Characters]", "Char0 = Ann, north ,9", "; note = Bob, x", "c1=,east", "c2: Cid , east", "c3=solo", "[End]", "z=Zed, west"]
+    rows = spark.createDataFrame([("f", n, line) for n, line in enumerate(said)], "path string, line_no long, line string")
+    assert {(r.name, r.server) for r in snapshots.ini_characters(rows).collect()} == {("Ann", "north"), ("Cid", "east")}
+    synced, bundled = spark.createDataFrame([("", 1), ("x", 2)], "t string, n int"), spark.createDataFrame([("b", 3)], "t string, n int")
+    pick = lambda s: [r.t for r in snapshots.synced_or_bundled(s, bundled, s.t != "").collect()]
+    assert pick(synced) == ["x"] and pick(synced.where("n = 1")) == ["b"] and pick(synced.limit(0)) == ["b"]
