@@ -73,3 +73,34 @@ def containers(rows: DataFrame, host: list[str]) -> DataFrame:
     n = rows.groupBy(*host).agg(F.count("*").alias("_rows"), F.max("slots").alias("_slots"), F.count_if(~F.col("is_empty")).alias("used"))
     capacity = F.when(F.coalesce("_slots", F.lit(0)) > 0, F.col("_slots")).otherwise(F.col("_rows")).cast("long")
     return n.select(*host, capacity.alias("capacity"), "used", F.greatest(capacity - F.col("used"), F.lit(0)).alias("free"))
+
+
+def renamed_keys(stored: DataFrame, pages: DataFrame, key: str, name: str) -> DataFrame:
+    """Keys of stored rows whose name now belongs to another key: they and their children are purged."""
+    new = pages.select(F.col(name), F.col(key).alias("_key"))
+    return stored.select(key, name).join(new, name).where(F.col(key) != F.col("_key")).select(key).distinct()
+
+
+def upsert_pages(stored: DataFrame, pages: DataFrame, key: str, name: str) -> DataFrame:
+    """Stored rows after a batch of pages with distinct keys and names: a page replaces the row of its key and purges others of its
+    name. The batch counts as one step, so a page that gives its name to another in the same batch stays."""
+    gone = renamed_keys(stored, pages, key, name).union(pages.select(key)).distinct()
+    return stored.join(gone, key, "left_anti").unionByName(pages)
+
+
+def replace_children(children: DataFrame, fresh: DataFrame, stored: DataFrame, pages: DataFrame, key: str, name: str) -> DataFrame:
+    """Child rows after the same batch: those of its pages are replaced by fresh ones, those of purged rows go."""
+    gone = renamed_keys(stored, pages, key, name).union(pages.select(key)).distinct()
+    return children.join(gone, key, "left_anti").unionByName(fresh)
+
+
+def socket_candidates(items: DataFrame, sockets: DataFrame, owner: str, first: int = 12) -> DataFrame:
+    """Items (owner, needs_weapon, ...) with the number of their owner's open sockets (owner, seq, is_weapon) and the first of them;
+    an item that needs a weapon fits weapons only. Equal needs share one list, so no item meets every socket."""
+    w = W.partitionBy(owner).orderBy("seq")
+    ranked = sockets.withColumn("_all", F.row_number().over(w)).withColumn("_weapons", F.sum(F.col("is_weapon").cast("int")).over(w))
+    head = lambda fits, n: F.array_sort(F.collect_list(F.when(fits & (F.col(n) <= first), F.col("seq"))))
+    per = ranked.groupBy(owner).agg(F.count("*").alias("_n"), F.count_if("is_weapon").alias("_nw"), head(F.lit(True), "_all").alias("_first"), head(F.col("is_weapon"), "_weapons").alias("_firstw"))
+    pick = lambda weapon, other: F.when(F.col("needs_weapon"), F.col(weapon)).otherwise(F.col(other))
+    out = items.join(per, owner, "left").withColumn("n", F.coalesce(pick("_nw", "_n"), F.lit(0))).withColumn("first", F.coalesce(pick("_firstw", "_first"), F.array().cast(sockets.schema["seq"].dataType.simpleString().join(("array<", ">")))))
+    return out.drop("_n", "_nw", "_first", "_firstw")

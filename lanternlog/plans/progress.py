@@ -320,3 +320,48 @@ def s16_candidates(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("server"), "c_acctbal")
     logs, exports = c.where("c_acctbal > 0").withColumn("name", F.upper("name")), c.where("c_acctbal < 7000").withColumn("server", F.lower("server"))
     return N.candidate_characters(c.where("c_acctbal > 5000"), logs, exports)
+
+
+# Page roles: parts are stored quests; the batch gives parts of a kind new sizes, and takes over names under a new key.
+PAGES_SQL = """st AS (SELECT p_partkey AS id, concat(p_name, ' ', p_partkey) AS name, p_size AS size FROM part),
+  pg AS (SELECT id, name, size + 100 AS size FROM st WHERE size > 30 UNION ALL SELECT id + 1000000, name, size FROM st WHERE size < 15)"""
+
+
+def pages_batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    st = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"), F.col("p_size").alias("size"))
+    return st, st.where("size > 30").withColumn("size", F.col("size") + 100).union(st.where("size < 15").withColumn("id", F.col("id") + 1000000))
+
+
+@query(f"WITH {PAGES_SQL} SELECT * FROM pg UNION ALL SELECT * FROM st WHERE size BETWEEN 15 AND 30")
+def m5_page_upsert(spark, sf_dir):
+    return P.upsert_pages(*pages_batch(spark, sf_dir), "id", "name")
+
+
+@query(f"WITH {PAGES_SQL} SELECT id, 'fresh' AS step FROM pg UNION ALL SELECT l_partkey, l_returnflag FROM lineitem JOIN st ON id = l_partkey WHERE size BETWEEN 15 AND 30")
+def m5_child_replace(spark, sf_dir):
+    st, pg = pages_batch(spark, sf_dir)
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("step"))
+    return P.replace_children(steps, pg.select("id", F.lit("fresh").alias("step")), st, pg, "id", "name")
+
+
+@query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS seq, o_orderpriority = '2-HIGH' AS weapon FROM orders WHERE o_orderstatus <> 'P'),
+  i AS (SELECT o_custkey AS k, o_orderkey AS item, o_orderpriority = '1-URGENT' AS needs FROM orders)
+  SELECT item, count(seq) AS n, coalesce((list(seq ORDER BY seq) FILTER (WHERE seq IS NOT NULL))[1:12], []) AS first FROM i LEFT JOIN s ON i.k = s.k AND (weapon OR NOT needs) GROUP BY 1""")
+def j16_socket_candidates(spark, sf_dir):
+    """Open sockets that fit each item of a character: weapons only for one that needs a weapon."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderpriority", "o_orderstatus")
+    sockets = o.where("o_orderstatus <> 'P'").select("k", F.col("o_orderkey").alias("seq"), (F.col("o_orderpriority") == "2-HIGH").alias("is_weapon"))
+    items = o.select("k", F.col("o_orderkey").alias("item"), (F.col("o_orderpriority") == "1-URGENT").alias("needs_weapon"))
+    return P.socket_candidates(items, sockets, "k").select("item", "n", "first")
+
+
+@query("""SELECT l_orderkey, count(p_partkey) AS matched, count(*) - count(p_partkey) AS unmatched, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS any_slot,
+  concat_ws('; ', CASE WHEN count(*) > count(p_partkey) THEN (count(*) - count(p_partkey)) || ' worn without data' END, CASE WHEN bool_or(l_linestatus = 'O') THEN sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) || ' in any slot taken as worn' END, 'base stats only') AS caveats
+  FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON l_partkey = p_partkey GROUP BY 1""")
+def a17_match_caveats(spark, sf_dir):
+    """How far a snapshot's totals can be trusted, in numbers and words."""
+    known = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("hit"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus").join(known, "l_partkey", "left")
+    n = li.groupBy("l_orderkey").agg(F.count("hit").alias("matched"), F.count_if(F.expr("hit IS NULL")).alias("unmatched"), F.count_if(F.expr("l_linestatus = 'O'")).alias("any_slot"))
+    told = lambda c, words: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(words)))
+    return n.withColumn("caveats", F.concat_ws("; ", told("unmatched", " worn without data"), told("any_slot", " in any slot taken as worn"), F.lit("base stats only")))

@@ -128,3 +128,12 @@ def synced_or_bundled(synced: DataFrame, bundled: DataFrame, valid: Column) -> D
     """The valid synced rows, or all bundled ones where no synced row is valid."""
     good = synced.where(valid)
     return bundled if good.isEmpty() else good
+
+
+def due_files(files: DataFrame, seen: DataFrame, now: Column, settle: str = "2 seconds") -> DataFrame:
+    """Files to import: untouched for a while, and new or with another time or size and another content than those seen (path,
+    modified, size, sha256)."""
+    known = seen.select("path", F.col("modified").alias("_modified"), F.col("size").alias("_size"), F.col("sha256").alias("_sha"))
+    both = files.where(F.col("modified") <= now - F.expr(f"interval {settle}")).join(known, "path", "left")
+    touched = ~(F.col("modified").eqNullSafe(F.col("_modified")) & F.col("size").eqNullSafe(F.col("_size")))
+    return both.where(touched & ~F.col("sha256").eqNullSafe(F.col("_sha"))).drop("_modified", "_size", "_sha")

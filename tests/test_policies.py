@@ -63,3 +63,31 @@ def test_removed_owners_and_containers(spark):
     rows = spark.createDataFrame([(1, 2, False), (1, 2, False), (1, 2, False), (2, None, True), (2, None, False), (3, 0, True)], "host long, slots int, is_empty boolean")
     got = {r.host: (r.capacity, r.used, r.free) for r in P.containers(rows, ["host"]).collect()}
     assert got == {1: (2, 3, 0), 2: (2, 1, 1), 3: (1, 0, 1)}
+
+
+def test_pages_and_children(spark):
+    stored = spark.createDataFrame([(1, "a", 0), (2, "b", 0), (3, "c", 0)], "id long, name string, v int")
+    pages = spark.createDataFrame([(1, "A", 1), (9, "b", 1)], "id long, name string, v int")
+    assert {tuple(r) for r in P.upsert_pages(stored, pages, "id", "name").collect()} == {(1, "A", 1), (9, "b", 1), (3, "c", 0)}
+    kids = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, t string")
+    fresh = spark.createDataFrame([(9, "n")], "id long, t string")
+    assert {tuple(r) for r in P.replace_children(kids, fresh, stored, pages, "id", "name").collect()} == {(3, "z"), (9, "n")}
+
+
+def test_socket_candidates_against_all_pairs(spark):
+    rnd = random.Random(7)
+    sockets = [(rnd.randrange(3), s, rnd.random() < 0.4) for s in range(70)]
+    items = [(rnd.randrange(5), i, rnd.random() < 0.5) for i in range(40)]
+    out = P.socket_candidates(spark.createDataFrame(items, "k long, item long, needs_weapon boolean"), spark.createDataFrame(sockets, "k long, seq long, is_weapon boolean"), "k")
+    fits = {i: [s for q, s, weapon in sockets if q == k and (weapon or not needs)] for k, i, needs in items}
+    assert {r.item: (r.n, r["first"]) for r in out.collect()} == {i: (len(f), f[:12]) for i, f in fits.items()}
+
+
+def test_due_files(spark):
+    from lanternlog.sources.snapshots import due_files
+
+    at = lambda s: F.to_timestamp(F.lit(f"2026-01-01 00:00:{s:02d}"))
+    rows = lambda x: spark.createDataFrame(x, "path string, s int, size long, sha256 string").select("path", F.expr("timestamp'2026-01-01 00:00:00' + make_dt_interval(0, 0, 0, s)").alias("modified"), "size", "sha256")
+    files = rows([("new", 1, 5, "a"), ("hot", 9, 5, "a"), ("same", 1, 5, "a"), ("touched", 3, 5, "a"), ("other", 3, 6, "b")])
+    seen = rows([("same", 1, 5, "a"), ("touched", 1, 5, "a"), ("other", 1, 5, "a")])
+    assert {r.path for r in due_files(files, seen, at(10)).collect()} == {"new", "other"}
