@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import activity as A
+from ..operators import fights as B
 from ..operators import merge as M
+from ..operators import roster as R
 from .inputs import EVENTS_SQL, GAP, SESSIONS_SQL, epoch_us, events, table
 from .registry import query
 
@@ -309,3 +311,71 @@ def a35_fight_meters(spark, sf_dir):
     damage = s.where("event_type = 'click'").groupBy("user_id", "session", (F.col("k") % 10).alias("actor")).agg(F.sum("cents").alias("total"))
     length = s.groupBy("user_id", "session").agg(F.sum("active").alias("seconds"))
     return damage.join(length, ["user_id", "session"]).select("user_id", "session", "actor", "total", F.expr("cast(total * 10 div greatest(seconds * 10, 1) as bigint)").alias("dps"))
+
+
+# Combat roles: click = a blow of actor k % 3 at enemy k % 5, error = a blow from enemy k % 5, view = a heal, purchase = enemy k % 5 slain.
+COMBAT_SQL = EVENTS_SQL + f""",
+combat AS (SELECT user_id, event_id, t, CASE event_type WHEN 'click' THEN 'damage' WHEN 'error' THEN 'tanking' WHEN 'view' THEN 'heal' ELSE 'kill' END AS kind, k % 3 AS actor,
+    CASE WHEN event_type <> 'view' THEN k % 5 END AS enemy, cents, max(t) OVER (PARTITION BY user_id ORDER BY event_id) AS clock FROM ev WHERE event_type <> 'signup'),
+named AS (SELECT *, CASE WHEN lag(event_id) OVER e IS NULL OR lag(kind) OVER e = 'kill' OR clock - lag(clock) OVER e > {GAP} THEN 1 ELSE 0 END AS begins FROM combat WHERE enemy IS NOT NULL WINDOW e AS (PARTITION BY user_id, enemy ORDER BY event_id)),
+runs AS (SELECT *, sum(begins) OVER (PARTITION BY user_id, enemy ORDER BY event_id) AS run FROM named),
+engaged AS (SELECT user_id, enemy, run, min(event_id) FILTER (WHERE kind <> 'kill') AS first, min(clock) AS began, max(CASE WHEN kind = 'kill' THEN event_id END) AS slain, max(clock) AS last FROM runs GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE kind <> 'kill') > 0),
+chain AS (SELECT *, coalesce(max(slain) OVER b > first, false) OR coalesce(max(CASE WHEN slain IS NULL THEN last + {GAP} END) OVER b >= began, false) AS joins FROM engaged WINDOW b AS (PARTITION BY user_id ORDER BY first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+fights AS (SELECT *, max(CASE WHEN NOT joins THEN first END) OVER (PARTITION BY user_id ORDER BY first) AS fight FROM chain),
+ends AS (SELECT user_id, fight, max(slain) AS slain, max(CASE WHEN slain IS NULL THEN last + {GAP} END) AS until FROM fights GROUP BY 1, 2),
+blows AS (SELECT r.user_id, r.event_id, r.kind, r.actor, r.enemy, r.cents, r.clock, f.fight FROM runs r JOIN fights f USING (user_id, enemy, run)),
+heals AS (SELECT c.user_id, c.event_id, c.kind, c.actor, c.enemy, c.cents, c.clock, e.fight FROM combat c ASOF JOIN ends e ON c.user_id = e.user_id AND c.event_id > e.fight WHERE c.kind = 'heal' AND (coalesce(c.event_id < e.slain, false) OR coalesce(c.clock <= e.until, false))),
+fought AS (SELECT * FROM blows UNION ALL SELECT * FROM heals)"""
+
+
+def combat(spark, sf_dir):
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'damage' WHEN 'error' THEN 'tanking' WHEN 'view' THEN 'heal' WHEN 'purchase' THEN 'kill' END")
+    ev = events(spark, sf_dir).select(F.col("user_id").alias("character"), F.col("event_id").alias("line"), "t", kind.alias("kind"), (F.col("k") % 3).alias("actor"), F.expr("CASE WHEN event_type <> 'view' THEN k % 5 END").alias("enemy"), F.col("cents").alias("amount"))
+    return ev.where("kind IS NOT NULL")
+
+
+@query(f"""WITH {COMBAT_SQL} SELECT user_id AS character, fight, arg_min(enemy, event_id) AS name, min(clock) AS start, max(clock) AS last, max(clock) - min(clock) AS seconds, CAST(coalesce(sum(cents) FILTER (WHERE kind = 'damage'), 0) AS BIGINT) AS damage,
+  CAST(coalesce(sum(cents) FILTER (WHERE kind = 'heal'), 0) AS BIGINT) AS healing, CAST(coalesce(sum(cents) FILTER (WHERE kind = 'tanking'), 0) AS BIGINT) AS tanking FROM fought GROUP BY 1, 2""")
+def a35_fights(spark, sf_dir):
+    """Fights as chains of engagements, with what was dealt, healed and taken."""
+    return B.fight_rows(combat(spark, sf_dir), GAP).drop("dps")
+
+
+@query(f"WITH {COMBAT_SQL} SELECT user_id AS character, fight, kind AS meter, CASE WHEN kind = 'tanking' THEN enemy ELSE actor END AS actor, CAST(sum(cents) AS BIGINT) AS total, count(*) AS hits FROM fought WHERE kind <> 'kill' GROUP BY 1, 2, 3, 4")
+def a35_meters(spark, sf_dir):
+    """Damage and healing by actor and tanking by enemy in each fight."""
+    return B.fight_meters(combat(spark, sf_dir), GAP)
+
+
+# Roster roles: signup asks k % 4, purchase joins, view shows k % 4 as a member, error lets k % 4 go or, where k is 0, all; click is another's act.
+ROSTER_SQL = EVENTS_SQL + """,
+said AS (SELECT user_id, event_id, CASE event_type WHEN 'signup' THEN 'group_invite' WHEN 'purchase' THEN 'group_joined' WHEN 'view' THEN 'group_member_seen' WHEN 'error' THEN CASE WHEN k = 0 THEN 'group_disbanded' ELSE 'group_member_left' END ELSE 'act' END AS type, k % 4 AS name FROM ev),
+settled AS (SELECT *, coalesce(max(CASE WHEN type IN ('group_joined', 'group_disbanded') THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS since FROM said),
+joins AS (SELECT j.user_id, j.event_id, i.name FROM settled j ASOF JOIN (SELECT * FROM said WHERE type = 'group_invite') i ON i.user_id = j.user_id AND i.event_id < j.event_id WHERE j.type = 'group_joined' AND i.event_id > j.since),
+people AS (SELECT range AS name FROM range(4)),
+taken AS (SELECT user_id, event_id, name FROM joins UNION ALL SELECT user_id, event_id, name FROM said WHERE type = 'group_member_seen'),
+gone AS (SELECT user_id, event_id, name FROM said WHERE type = 'group_member_left' UNION ALL SELECT s.user_id, s.event_id, p.name FROM said s, people p WHERE s.type = 'group_disbanded'),
+moves AS (SELECT *, 'in' AS way FROM taken UNION ALL SELECT *, 'out' FROM gone UNION ALL SELECT user_id, event_id, name, 'act' FROM said WHERE type = 'act'),
+held AS (SELECT *, coalesce(max(CASE WHEN way = 'in' THEN event_id END) OVER b > coalesce(max(CASE WHEN way = 'out' THEN event_id END) OVER b, -1), false) AS was_in,
+    min(CASE WHEN way = 'out' THEN event_id END) OVER (PARTITION BY user_id, name ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until
+  FROM moves WINDOW b AS (PARTITION BY user_id, name ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+
+
+def roster_events(spark, sf_dir):
+    kind = F.expr("CASE event_type WHEN 'signup' THEN 'group_invite' WHEN 'purchase' THEN 'group_joined' WHEN 'view' THEN 'group_member_seen' WHEN 'error' THEN CASE WHEN k = 0 THEN 'group_disbanded' ELSE 'group_member_left' END ELSE 'act' END")
+    return events(spark, sf_dir).select(F.col("user_id").alias("character"), F.col("event_id").alias("line"), kind.alias("type"), (F.col("k") % 4).alias("name"))
+
+
+@query(f"WITH {ROSTER_SQL} SELECT user_id AS character, name, event_id AS since, until FROM held WHERE way = 'in' AND NOT was_in")
+def e15_roster_intervals(spark, sf_dir):
+    """From which line to which each person is in a character's group."""
+    return R.roster_intervals(roster_events(spark, sf_dir).where("type <> 'act'"))
+
+
+@query(f"WITH {ROSTER_SQL} SELECT user_id AS character, event_id AS line, name AS attacker FROM held WHERE way = 'act' AND was_in")
+def e13_members_as_of(spark, sf_dir):
+    """Others' acts that count: those of people who are in the group at that line."""
+    said = roster_events(spark, sf_dir)
+    acts = said.where("type = 'act'").withColumnRenamed("name", "attacker")
+    kept = R.keep_while_in(acts, R.roster_intervals(said.where("type <> 'act'")), F.lit(True))
+    return kept.where("type IS NOT NULL").select("character", "line", "attacker")
