@@ -24,14 +24,22 @@ def d5_sections(spark, sf_dir):
     return l.groupBy("doc_id").agg(F.count("*").alias("lines"), F.sum(F.char_length("line")).alias("chars"), F.max(F.char_length("line").cast("long")).alias("longest"))
 
 
-LINKED = "concat('a [[', p_name, '|', p_type, ']] b [[File:', p_name, '.png]] [[ ', p_brand, ' ]][[', p_name, '#part]] [[', CASE WHEN p_size > 25 THEN p_type ELSE p_brand END, ']]')"
+LINKED = "concat('a [[', p_name, '|', p_type, ']] b [[File:', p_name, '.png]] [[ ', p_brand, ' ]][[', p_name, '#part|]] [[open [[', CASE WHEN p_size > 25 THEN p_type ELSE p_name END, ']] [[a[b]] [[', p_brand)"
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN [p_name, p_brand_root, p_type] ELSE [p_name, p_brand_root] END AS links FROM (SELECT *, replace(p_brand, '#', ' ') AS p_brand_root FROM part)")
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN [p_name, p_brand, p_name || '#part', p_type] ELSE [p_name, p_brand, p_name || '#part'] END AS links FROM part")
 def d15_links(spark, sf_dir):
-    """Link targets of each page in order, once each, without those in a namespace."""
-    text = F.expr(LINKED.replace("p_brand", "replace(p_brand, '#', ' ')"))
-    return parts(spark, sf_dir).select("p_partkey", X.extract_links(text).alias("links"))
+    """Link targets of each page in order, once each and with their parts, without those in a namespace or unclosed."""
+    return parts(spark, sf_dir).select("p_partkey", X.extract_links(F.expr(LINKED)).alias("links"))
+
+
+MARKED = "concat('<!-- a > b --> ', '[[', p_name, '|]] [[', p_brand, '| <b>', p_type, '</b> ]]&nbsp;', chr(39), chr(39), chr(39), 'x', chr(39), chr(39), chr(39), ' {{era|', p_size, '}} i <3 you <br/>[[', p_name, '#part]] [[open')"
+
+
+@query("SELECT p_partkey, p_name || ' ' || p_type || ' x i <3 you ' || p_name || '#part [[open' AS said FROM part")
+def f12_strip_markup(spark, sf_dir):
+    """Plain text of marked-up text."""
+    return parts(spark, sf_dir).select("p_partkey", X.strip_markup(F.expr(MARKED)).alias("said"))
 
 
 ITEM = """concat('Lead {{', CASE WHEN p_type = 'SMALL' THEN 'Page' ELSE 'Itempage' END, '|itemname=[[', p_brand, '|', p_name, ']]|lucy_img_id=img', p_size, '.png|notes=of [[A|b]] {{c|d=e}}|statsblock=MAGIC ITEM  NO DROP<br>Slot: HEAD<br>',
@@ -66,10 +74,16 @@ def d13_html_items(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("title"), n("<p>").alias("lines"), n("<li>").alias("drops"))
 
 
-@query("""WITH p AS (SELECT page_id, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path FROM pages) SELECT page_id, CASE WHEN regexp_matches(path, '^/items?/[^/]+/?$') THEN 'item' WHEN regexp_matches(path, '^/zones?/[^/]+/?$') THEN 'zone'
-  WHEN regexp_matches(path, '^/(?:bis|best)[/-]') THEN 'bis' WHEN regexp_matches(path, '^/[a-z]{2}/[0-9]+(?:\\.html|/)?$') THEN 'category' WHEN regexp_matches(path, '^/?$') THEN 'index' ELSE 'other' END AS kind FROM p""")
+#: The same page under addresses of every kind, and the kind that each has.
+ADDRESSES = (("/items/{}", "item"), ("/items/a/{}/", "item"), ("/items/gear/", "index"), ("/items/", None), ("/zones/{}?x=/items/a/", "zone"), ("/bis-gear", "bis"), ("/best/{}", None), ("/worn-effects/#{}", "category"), ("/item/{}", None), ("/", None))
+
+
+@query("SELECT page_id, CASE page_id % 10 " + " ".join(f"WHEN {i} THEN {repr(k) if k else 'NULL'}" for i, (_, k) in enumerate(ADDRESSES)) + " END AS kind FROM pages")
 def p14_url_class(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", X.classify_url(F.col("url")).alias("kind"))
+    """Kind of each page, its own path put under every form of address."""
+    path = "CASE page_id % 10 " + " ".join(f"WHEN {i} THEN replace('{a}', '{{}}', 'p' || page_id)" for i, (a, _) in enumerate(ADDRESSES)) + " END"
+    url = F.concat(F.regexp_extract("url", "^[^:]+://[^/?#]+", 0), F.expr(path))
+    return table(spark, sf_dir, "pages").select("page_id", X.classify_url(url).alias("kind"))
 
 
 NAME = "'  ' || p_name || '`s  Ring' || CASE WHEN p_partkey % 3 = 0 THEN ' +' || (p_partkey % 7) WHEN p_partkey % 3 = 1 THEN ' (Exaltation)' ELSE '*' END"
@@ -110,10 +124,15 @@ def f7_roman_tier(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", X.effect_family(name).alias("family"), X.effect_tier(name).alias("tier"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 5 <> 4 THEN p_size END AS lo, CASE WHEN p_partkey % 5 IN (0, 1) THEN p_size + 5 WHEN p_partkey % 5 = 2 THEN p_size END AS hi FROM part")
+#: Texts that tell levels a and b, and what each tells.
+LEVELS = (("{a}-{b}", "a", "b"), ("Level {a} to {b} (raid)", "a", "b"), ("{a}", "a", "a"), ("from {a} + ({b})", "a", None), ("any", None, None), ("Level {a}, {b}", "a", "a"), ("{a} -{b}", "a", "b"))
+
+
+@query("SELECT p_partkey, " + ", ".join(f"CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {x[k].replace('a', 'p_size').replace('b', 'p_size + 5') if x[k] else 'NULL'}" for i, x in enumerate(LEVELS)) + f" END AS {name}" for k, name in ((1, "lo"), (2, "hi"))) + " FROM part")
 def f10_level_range(spark, sf_dir):
-    """Levels out of `5-10`, `5 to 10`, `5`, `5+` and text without any."""
-    s = F.expr("CASE p_partkey % 5 WHEN 0 THEN p_size || '-' || (p_size + 5) WHEN 1 THEN p_size || ' to ' || (p_size + 5) WHEN 2 THEN '' || p_size WHEN 3 THEN p_size || '+' ELSE 'any' END")
+    """Levels out of texts that hold them anywhere, or don't."""
+    said = lambda t: "'" + t.replace("{a}", "' || p_size || '").replace("{b}", "' || (p_size + 5) || '") + "'"
+    s = F.expr("CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN {said(t)}" for i, (t, *_) in enumerate(LEVELS)) + " END")
     lo, hi = X.parse_level(s)
     return parts(spark, sf_dir).select("p_partkey", lo.alias("lo"), hi.alias("hi"))
 
@@ -237,13 +256,15 @@ def e13_group_gate(spark, sf_dir):
     return events.where("ally AND type IS NOT NULL").select("l_orderkey", "l_linenumber", "type", "attacker")
 
 
-SECTIONED = "'intro ' || lang || chr(10) || '== ' || source || ' ==' || chr(10) || coalesce(text, '') || chr(10) || '=== Notes ===' || chr(10) || 'end'"
+SECTIONED = "'intro ' || lang || chr(10) || ' == ' || source || ' ==' || chr(10) || coalesce(text, '') || chr(10) || '=[[a|Top]]=' || chr(10) || 'x = y' || chr(10) || '== Two ===' || chr(10) || ' ' || chr(10) || '====' || chr(10) || '== ==' || chr(10) || ' ' || chr(10) || '=== Notes ===' || chr(10) || 'end'"
+_LEVELS = " ".join(f"WHEN regexp_matches(said, '^={{{k}}}.+={{{k}}}$') THEN {k}" for k in range(6, 0, -1))
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, string_split({SECTIONED}, chr(10)) AS x FROM documents)),
-  h AS (SELECT *, CASE WHEN regexp_matches(line, '^\s*(={{2,6}})\s*[^=].*?\s*={{2,6}}\s*$') THEN length(regexp_extract(line, '^\s*(=+)', 1)) END AS lv FROM l),
+  h AS (SELECT *, CASE {_LEVELS} END AS lv FROM (SELECT *, trim(line) AS said FROM l)),
   s AS (SELECT *, CAST(sum(CASE WHEN lv IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS INT) AS section FROM h)
-  SELECT doc_id, section, coalesce(max(lv), 0) AS level, coalesce(max(CASE WHEN lv IS NOT NULL THEN trim(trim(trim(line), '=')) END), '') AS title, CAST(sum(CASE WHEN lv IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM s GROUP BY 1, 2""")
+  SELECT doc_id, section, coalesce(max(lv), 0) AS level, max(CASE WHEN lv IS NULL THEN '' WHEN contains(said, '[[a|') THEN 'Top' ELSE trim(substr(said, lv + 1, length(said) - 2 * lv)) END) AS title, CAST(sum(CASE WHEN lv IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS lines FROM s
+  GROUP BY 1, 2 HAVING title <> '' OR bool_or(lv IS NULL AND said <> '')""")
 def d5_heading_sections(spark, sf_dir):
     """Sections by heading with their level, title and lines."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.sections(F.expr(SECTIONED))).alias("s"))

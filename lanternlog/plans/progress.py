@@ -113,6 +113,38 @@ def a19_host_containers(spark, sf_dir):
     return P.containers(li.join(o, "host"), ["host"])
 
 
+# Dump roles: an order is a character's file, whose bag holds the order's lines; what tells a bag from an item with sockets varies.
+DUMP_ROOT = "CASE o_orderkey % 4 WHEN 0 THEN 'General 1' WHEN 1 THEN 'Bank 7' WHEN 2 THEN 'SharedBank 2' ELSE 'Charm' END"
+DUMP_SLOTS = "CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE 8 END"
+DUMP_SQL = f"""hosts AS (SELECT o_orderkey AS host, {DUMP_ROOT} AS root, {DUMP_SLOTS} AS slots, count(*) AS shown, CAST(sum(CASE WHEN l_returnflag <> 'A' THEN 1 ELSE 0 END) AS BIGINT) AS used, bool_or(l_linenumber BETWEEN 3 AND 6) AS places FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+bags AS (SELECT host, CASE root WHEN 'General 1' THEN 'bags' WHEN 'Bank 7' THEN 'bank' WHEN 'SharedBank 2' THEN 'shared' ELSE 'worn' END AS section, CAST(CASE WHEN slots > 0 THEN slots ELSE shown END AS BIGINT) AS capacity, used FROM hosts WHERE slots = 8 OR places)"""
+
+
+def dumps(spark, sf_dir):
+    """Lines of an inventory dump for each order: a header, the bag, its places, and a section of keys with a header of its own."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(DUMP_ROOT).alias("root"), F.expr(DUMP_SLOTS).alias("slots"))
+    row = lambda n, said: F.struct(F.lit(n).cast("long").alias("line_no"), F.expr(said).alias("line"))
+    heads = o.select("o_orderkey", F.explode(F.array(row(0, r"'Location\tName\tID\tCount\tSlots'"), row(1, r"concat(root, '\tBag +', o_orderkey % 5, '\t', o_orderkey, '\t1\t', slots)"), row(100_000, r"'KeyRing\tName\tID'"), row(100_001, r"concat('KeyRing\tKey\t', o_orderkey)"), row(100_002, r"'KeyRing\tNo key\tnone'"))).alias("r"))
+    name = "CASE l_returnflag WHEN 'A' THEN 'Empty' WHEN 'N' THEN 'Gem (Exaltation)' ELSE 'Old Ring +2' END"
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"))
+    inner = table(spark, sf_dir, "lineitem").withColumn("nth", nth).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", F.struct((F.col("nth") + 1).cast("long").alias("line_no"), F.expr(rf"concat(root, '-Slot', l_linenumber, '\t', {name}, '\t', l_partkey, '\t', l_linenumber, '\t0')").alias("line")).alias("r"))
+    return heads.union(inner).select(F.col("o_orderkey").cast("string").alias("path"), "r.*")
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS path, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) + 1 AS seq, CAST(1 AS BIGINT) AS parent_seq, l_linenumber AS sub_slot, CASE l_returnflag WHEN 'A' THEN 'empty' WHEN 'N' THEN 'gem' ELSE 'old ring' END AS name_norm, CAST(l_linenumber AS BIGINT) AS count, l_returnflag = 'A' AS is_empty, l_returnflag = 'N' AS is_exaltation,
+  CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS upgrade_tier, o_orderkey % 4 = 3 AS is_equipped, o_orderkey % 3 = 2 OR bool_or(l_linenumber BETWEEN 3 AND 6) OVER (PARTITION BY l_orderkey) AS parent_is_container FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def s7_inventory_places(spark, sf_dir):
+    """Places inside a host out of dump lines, with their flags and whether the host is a bag by the evidence."""
+    items = N.inventory_rows(dumps(spark, sf_dir)).where("parent_seq IS NOT NULL")
+    return items.select("path", "seq", "parent_seq", "sub_slot", "name_norm", "count", "is_empty", "is_exaltation", "upgrade_tier", "is_equipped", "parent_is_container")
+
+
+@query(f"WITH {DUMP_SQL} SELECT section, count(*) AS containers, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(sum(used) AS BIGINT) AS used, CAST(sum(greatest(capacity - used, 0)) AS BIGINT) AS free FROM bags GROUP BY 1")
+def a19_section_space(spark, sf_dir):
+    """Capacity, used and free places of all bags by section."""
+    return N.section_space(N.containers(N.inventory_rows(dumps(spark, sf_dir))))
+
+
 DEED = "CASE p_size % 8 WHEN 0 THEN concat('Level ', p_size) WHEN 1 THEN concat('reach level ', p_size, ' now') WHEN 2 THEN concat(p_brand, ' Traveler') WHEN 3 THEN concat('Hunter of ', p_name) WHEN 4 THEN concat(p_name, '’s Combat Proficiency, Level ', p_size) WHEN 5 THEN concat('Baking (', p_size, ')') WHEN 6 THEN concat('Explorer of ', p_name) ELSE p_name END"
 
 

@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name, tolerant_fields
+from ..functions.text import normalize_name, section, skill_from_token, tolerant_fields
+from ..operators.activity import nearest_preceding_host
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, modified, size, sha256, text) of files; text is decoded by its byte-order mark, UTF-8 without one."""
+    """(path, name, modified, size, sha256, text) of files; text is decoded by its byte-order mark, UTF-8 without one. Bytes that
+    aren't UTF-8 become U+FFFD."""
     files = spark.read.format("binaryFile").load(path)
     c = F.col("content")
     mark = F.hex(F.substring(c, 1, 2))
-    text = F.when(mark.isin("FFFE", "FEFF"), F.decode(c, "UTF-16")).when(F.hex(F.substring(c, 1, 3)) == "EFBBBF", F.decode(F.substring(c, F.lit(4), F.length(c)), "UTF-8")).otherwise(F.decode(c, "UTF-8"))
+    body = F.when(F.hex(F.substring(c, 1, 3)) == "EFBBBF", F.substring(c, F.lit(4), F.length(c))).otherwise(c)
+    text = F.when(mark.isin("FFFE", "FEFF"), F.decode(c, "UTF-16")).otherwise(F.make_valid_utf8(body.cast("string")))
     return files.select("path", F.element_at(F.split("path", r"[\\/]"), -1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"), F.sha2(c, 256).alias("sha256"), text.alias("text"))
 
 
@@ -26,24 +29,98 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("path", split).select("path", F.col("pos").cast("long").alias("line_no"), F.col("col").alias("line"))
 
 
-def file_kind(name: Column, first_line: Column) -> Column:
-    """Kind of an export by its name, else by its first line."""
-    low = F.lower(name)
-    by_name = F.when(low.rlike(r"-inventory\.txt$"), "inventory").when(low.rlike(r"-achievements\.txt$"), "achievements").when(low.rlike(r"-factions?\.txt$"), "faction").when(low.rlike(r"recipes\.txt$"), "recipes")
-    by_text = F.when(first_line.startswith("Location\t"), "inventory").when(first_line.rlike(r"(?i)^id\tname\tstanding"), "faction").when(first_line.rlike(r"^[^\t:]+: [^\t]+$"), "achievements").when(first_line.rlike(r"^[0-9]+\t"), "recipes")
+#: What stands after owner and server in an export's name, by kind; recipes may name a skill.
+NAME_ENDS = (("inventory", "Inventory"), ("achievements", "Achievements"), ("faction", "(?:[A-Za-z]+-)?Factions?"), ("recipes", "(?:[A-Za-z ]+-)?Recipes"))
+
+
+def file_kind(name: Column, text: Column) -> Column:
+    """Kind of an export by its name, else by its first lines that aren't empty: an inventory's header; a group over an achievement's
+    status; a header that speaks of factions, standings or recipes; and without a header, numbers first and third for factions, a
+    number first for recipes. Null for anything else."""
+    by_name = F.lit(None).cast("string")
+    for kind, end in reversed(NAME_ENDS):
+        by_name = F.when(name.rlike(rf"(?i)^\w+_\w+-{end}\.txt$"), kind).otherwise(by_name)
+    said = F.filter(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.trim(x) != "")
+    head, second = F.coalesce(F.try_element_at(said, F.lit(1)), F.lit("")), F.coalesce(F.try_element_at(said, F.lit(2)), F.lit(""))
+    fields = F.filter(F.transform(F.split(F.trim(head), r"\t|\s{2,}"), lambda x: F.trim(x)), lambda x: x != "")
+    number = lambda k: F.coalesce(F.try_element_at(fields, F.lit(k)).rlike(r"^-?[0-9]+$"), F.lit(False))
+    by_text = (
+        F.when(head.startswith("Location\t"), "inventory")
+        .when(head.rlike(r"^[^\t:]+: [^\t]+$") & second.rlike(r"^[CIci](\t|$)"), "achievements")
+        .when(F.lower(head).rlike("faction|standing"), "faction")
+        .when(F.lower(head).contains("recipe"), "recipes")
+        .when(number(1) & number(3), "faction")
+        .when(number(1) & (F.size(fields) >= 2), "recipes")
+    )
     return F.coalesce(by_name, by_text)
 
 
+def file_skill(name: Column, skills: tuple[str, ...] = ()) -> Column:
+    """Skill that a recipe export's name gives; null for other files and where none is named."""
+    return skill_from_token(F.regexp_extract(name, r"(?i)^\w+_\w+-([A-Za-z ]+)-Recipes\.txt$", 1), skills)
+
+
+# The places of an inventory whose items are worn.
+WORN_ROOTS = (
+    "Any Slot", "Charm", "Ear", "Head", "Face", "Neck", "Shoulders", "Arms", "Back", "Wrist", "Range", "Hands",
+    "Primary", "Secondary", "Fingers", "Chest", "Legs", "Feet", "Waist", "Ammo", "Held",
+)
+#: Slots of an item that are sockets, and numbers that only a bag's places have.
+SOCKETS, BAG_PLACES = (0, 10), ((3, 6), (11, 1 << 30))
+
+
+def not_dumps(rows: DataFrame) -> DataFrame:
+    """Paths of files (path, line_no, line) whose first line isn't an inventory's header; inventory_rows leaves them out."""
+    return rows.where("line_no = 0").where(~F.col("line").startswith("Location\t")).select("path")
+
+
 def inventory_rows(rows: DataFrame) -> DataFrame:
-    """(path, seq, location, root, parent_location, name, name_norm, item_id, count, slots) of dump lines (path, line_no, line).
+    """Items of dump lines (path, line_no, line), one a row: path, seq (the line), location, root, parent_location, parent_seq, sub_slot,
+    name, name_norm, item_id, count, slots, is_empty, is_exaltation, upgrade_tier, is_equipped and parent_is_container.
 
-    A line has five fields, or three in a key-ring section (location, name, id); headers inside the file are skipped."""
+    A line has five fields, or three in a section of keys; headers inside the file and lines with other numbers are skipped. A
+    place inside another names it: the nearest line before with that location is its host, as paired places repeat. A host is a
+    bag if it has slots other than those of sockets, or a child whose number no socket has; else its children are sockets."""
     f = F.split("line", "\t")
     at = lambda k: F.trim(F.try_element_at(f, F.lit(k)))
-    parsed = rows.select("path", F.col("line_no").alias("seq"), at(1).alias("location"), at(2).alias("name"), F.expr("try_cast(trim(try_element_at(split(line, '\\t'), 3)) as long)").alias("item_id"), F.expr("try_cast(trim(try_element_at(split(line, '\\t'), 4)) as long)").alias("count"), F.expr("try_cast(trim(try_element_at(split(line, '\\t'), 5)) as long)").alias("slots"))
-    kept = parsed.where("location IS NOT NULL AND name IS NOT NULL AND location <> '' AND NOT (name = 'Name')")
-    parent = F.regexp_extract("location", r"^(.*)-Slot[0-9]+$", 1)
-    return kept.select("path", "seq", "location", F.regexp_extract("location", r"^([^-]+)", 1).alias("root"), F.when(parent != "", parent).alias("parent_location"), "name", normalize_name(F.col("name")).alias("name_norm"), "item_id", F.coalesce("count", F.lit(1)).alias("count"), "slots")
+    number = lambda k: at(k).try_cast("long")
+    wrong = lambda k: (F.coalesce(at(k), F.lit("")) != "") & number(k).isNull()
+    dumps = rows.join(not_dumps(rows), "path", "left_anti").where("line_no > 0")
+    kept = dumps.where(number(3).isNotNull() & ~wrong(4) & ~wrong(5))
+    of = lambda pattern, k=1: F.nullif(F.regexp_extract("location", pattern, k), F.lit(""))
+    items = kept.select("path", F.col("line_no").alias("seq"), at(1).alias("location"), at(2).alias("name"), number(3).alias("item_id"), F.coalesce(number(4), F.lit(1)).alias("count"), F.coalesce(number(5), F.lit(0)).alias("slots"))
+    items = items.withColumns({
+        "root": F.regexp_replace("location", r"(-(Slot|Depot)[0-9]+)+$", ""),
+        "parent_location": of(r"^(.*)-(?:Slot|Depot)[0-9]+$"),
+        "sub_slot": of(r"-Slot([0-9]+)$").cast("int"),
+        "name_norm": normalize_name(F.col("name")),
+        "is_empty": F.col("name") == "Empty",
+        "is_exaltation": F.col("name").endswith(" (Exaltation)"),
+        "upgrade_tier": F.coalesce(F.nullif(F.regexp_extract("name", r"\s\+([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0)),
+    })
+    items = items.withColumn("is_equipped", F.col("root").isin(*WORN_ROOTS))
+    hosted = nearest_preceding_host(items, ["path"], "seq", F.lit(True), F.col("location"), F.col("parent_location")).withColumnRenamed("host", "parent_seq")
+    place = reduce(lambda x, y: x | y, (F.col("sub_slot").between(a, b) for a, b in BAG_PLACES))
+    told = hosted.where("parent_seq IS NOT NULL").groupBy("path", F.col("parent_seq").alias("_host")).agg(F.max(F.coalesce(place, F.lit(False))).alias("_place"))
+    bags = told.join(items.select("path", F.col("seq").alias("_host"), F.col("slots").alias("_slots")), ["path", "_host"])
+    bags = bags.select("path", F.col("_host").alias("parent_seq"), (~F.col("_slots").isin(*SOCKETS) | F.col("_place")).alias("parent_is_container"))
+    return hosted.join(bags, ["path", "parent_seq"], "left")
+
+
+def containers(items: DataFrame) -> DataFrame:
+    """(path, seq, location, root, name, section, capacity, used, free, nested) of the bags among inventory_rows: a bag without a
+    number of slots holds as many places as it shows; an empty place is no bag."""
+    inside = items.where("parent_is_container").groupBy("path", F.col("parent_seq").alias("seq")).agg(F.count("*").alias("_shown"), F.count_if(~F.col("is_empty")).alias("used"))
+    hosts = items.where("NOT is_empty").select("path", "seq", "location", "root", "name", "slots", "is_equipped", F.col("parent_location").isNotNull().alias("nested"))
+    capacity = F.when(F.col("slots") > 0, F.col("slots")).otherwise(F.col("_shown"))
+    both = hosts.join(inside, ["path", "seq"]).withColumn("capacity", capacity)
+    free = F.greatest(F.lit(0), F.col("capacity") - F.col("used"))
+    return both.select("path", "seq", "location", "root", "name", section(F.col("root"), F.col("is_equipped")).alias("section"), "capacity", "used", free.alias("free"), "nested")
+
+
+def section_space(bags: DataFrame, *keys: str) -> DataFrame:
+    """(keys, section, containers, capacity, used, free) of containers summed up by section."""
+    return bags.groupBy(*keys, "section").agg(F.count("*").alias("containers"), *(F.sum(c).alias(c) for c in ("capacity", "used", "free")))
 
 
 def faction_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -107,6 +107,14 @@ def test_snapshots(spark, tmp_path):
     assert [(r.name_norm, r.parent_location, r["count"]) for r in rows] == [("old ring", None, 1), ("gem", "Finger", 1), ("old key", None, 1)]
     assert files.select(snapshots.file_kind(files["name"], files["text"])).first()[0] == "inventory"
 
+    kinds = {"Ann_x-Recipes.txt": "recipes", "Ann_x-Old Baking-Recipes.txt": "recipes", "Ann_x-WAR-Factions.txt": "faction", "a_b-Achievements.txt": "achievements", "Recipes.txt": None}
+    by_text = {"1\tThe Folk\t-20\t5": "faction", "ID  Name  StandingValue  PointsToMax": "faction", "\n12  Bread": "recipes", "Recipe list": "recipes", "World: East\nC\tWalk": "achievements", "World: East\nWalk": None, "words": None, "": None}
+    rows = spark.createDataFrame([(n, "") for n in kinds] + [("x.txt", t) for t in by_text], "name string, text string")
+    got = rows.select(snapshots.file_kind(rows["name"], rows["text"]), snapshots.file_skill(rows["name"])).collect()
+    assert [r[0] for r in got] == [*kinds.values(), *by_text.values()] and [r[1] for r in got][:3] == [None, "Old Baking", None]
+    (tmp_path / "odd.txt").write_bytes(b"caf\xe9 \xff\n\xef\xbf\xbd")
+    assert snapshots.read_files(spark, str(tmp_path / "odd.txt")).first().text == "caf� �\n�"
+
     def lines(text):
         return spark.createDataFrame([("p", i, x) for i, x in enumerate(text.split("\n"))], "path string, line_no long, line string")
 
@@ -142,3 +150,36 @@ def test_settings_and_fallback(spark):
     synced, bundled = spark.createDataFrame([("", 1), ("x", 2)], "t string, n int"), spark.createDataFrame([("b", 3)], "t string, n int")
     pick = lambda s: [r.t for r in snapshots.synced_or_bundled(s, bundled, s.t != "").collect()]
     assert pick(synced) == ["x"] and pick(synced.where("n = 1")) == ["b"] and pick(synced.limit(0)) == ["b"]
+
+
+def test_inventory_places(spark):
+    """Hosts are the nearest line before; a bag shows by its slots or by a number that no socket has."""
+    said = """Location\tName\tID\tCount\tSlots
+Ear\tOld Ring +2\t1\t1\t10
+Ear-Slot7\tGem (Exaltation)\t2\t1\t0
+Ear\tEmpty\t0\t0\t0
+Ear-Slot1\tEmpty\t0\t0\t0
+General 1\tSack\t3\t1\t4
+General 1-Slot1\tPouch*\t4\t1\t0
+General 1-Slot1-Slot1\tOre\t5\t20\t0
+General 1-Slot1-Slot12\tEmpty\t0\t0\t0
+General 1-Slot2\tEmpty\t0\t0\t0
+Bank1\tBox\t8\t1\t0
+Bank1-Slot3\tOre\t5\tmany\t0
+Bank1-Slot4\tOre\t5\t\t
+Personal-Depot3\tSilk\t9\t7
+KeyRing\tName\tID
+KeyRing\tOld Key\t6
+short\tline"""
+    lines = lambda path, text: [(path, i, x) for i, x in enumerate(text.split("\n"))]
+    rows = spark.createDataFrame(lines("a", said) + lines("b", "No header\nEar\tRing\t1\t1\t0"), "path string, line_no long, line string")
+    assert [r.path for r in snapshots.not_dumps(rows).collect()] == ["b"]
+    items = snapshots.inventory_rows(rows)
+    got = {r.seq: (r.root, r.parent_seq, r.sub_slot, r.is_empty, r.is_exaltation, r.upgrade_tier, r.is_equipped, r.parent_is_container) for r in items.collect()}
+    assert got[1] == ("Ear", None, None, False, False, 2, True, None) and got[2] == ("Ear", 1, 7, False, True, 0, True, False)
+    assert got[4] == ("Ear", 3, 1, True, False, 0, True, False) and got[8] == ("General 1", 6, 12, True, False, 0, False, True) and got[7][7] is True
+    assert got[12] == ("Bank1", 10, 4, False, False, 0, False, True) and 11 not in got and 14 not in got and 16 not in got
+    assert got[13] == ("Personal", None, None, False, False, 0, False, None) and got[15][0] == "KeyRing"
+    bags = snapshots.containers(items)
+    assert sorted((r.seq, r.section, r.capacity, r.used, r.free, r.nested) for r in bags.collect()) == [(5, "bags", 4, 1, 3, False), (6, "bags", 2, 1, 1, True), (10, "bank", 1, 1, 0, False)]
+    assert {(r.section, r.containers, r.free) for r in snapshots.section_space(bags).collect()} == {("bags", 2, 4), ("bank", 1, 0)}
