@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import wiki
-from ..sources.log import keep_members, parse_events
+from ..sources.log import FIELDS, keep_members, parse_events
 from .inputs import cents, table
 from .registry import query
 
@@ -201,14 +201,14 @@ KINDS = (
 LINE = f"{STAMP} || CASE l_orderkey % {len(KINDS)} " + " ".join(f"WHEN {i} THEN {said}" for i, (_, said) in enumerate(KINDS)) + " END"
 
 
-def parsed(spark, sf_dir):
-    return parse_events(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(LINE).alias("line")))
+def parsed(spark, sf_dir, types=None, fields=None):
+    return parse_events(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr(LINE).alias("line")), "line", types, fields)
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CASE l_orderkey % {len(KINDS)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, (k, _) in enumerate(KINDS) if k) + " END AS type FROM lineitem")
 def p1_gate_chain(spark, sf_dir):
     """Type of each line by the gates and patterns of the grammar."""
-    return parsed(spark, sf_dir).select("l_orderkey", "l_linenumber", "type")
+    return parsed(spark, sf_dir, fields=[]).select("l_orderkey", "l_linenumber", "type")
 
 
 #: What tells lines of one type apart.
@@ -219,7 +219,8 @@ def _event(name: str, kind: int, sql: str, columns: list[str]) -> None:
     """The lines that the grammar takes for an event, whatever they were built from."""
 
     def run(spark, sf_dir):
-        return parsed(spark, sf_dir).where(F.col("type") == KINDS[kind][0]).where(LOOT.get(kind, "true")).select("l_orderkey", "l_linenumber", *columns)
+        kinds, told = [KINDS[kind][0]], [f for f in FIELDS if f in columns or f in LOOT.get(kind, "")]
+        return parsed(spark, sf_dir, kinds, told).where(F.col("type").isin(kinds)).where(LOOT.get(kind, "true")).select("l_orderkey", "l_linenumber", *columns)
 
     run.__name__ = name
     query(f"SELECT l_orderkey, l_linenumber, {sql} FROM lineitem WHERE l_orderkey % {len(KINDS)} = {kind}")(run)
@@ -252,7 +253,7 @@ _event("e14_stored_loot", 19, "'Silk ' || l_partkey AS item, CAST(l_linenumber A
 def e13_group_gate(spark, sf_dir):
     """Misses and damage shields of others, for members of the group only."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(LINE).alias("line"))
-    events = keep_members(parse_events(lines), spark.createDataFrame([("Bob",), ("Ann",)], "name string"))
+    events = keep_members(parse_events(lines, fields=["attacker", "ally"]), spark.createDataFrame([("Bob",), ("Ann",)], "name string"))
     return events.where("ally AND type IS NOT NULL").select("l_orderkey", "l_linenumber", "type", "attacker")
 
 

@@ -8,9 +8,10 @@ marked inferred follow examples only. Lines that are no event have a null type.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -168,46 +169,95 @@ _INTS = {k for k, t in FIELDS.items() if t in ("int", "long")}
 _PRICE, _WORTH = re.compile(r"([0-9]+) (platinum|gold|silver|copper)"), dict(COINS)
 
 
-def event_of(line: str | None) -> dict | None:
-    """Type and fields of one line, or None if it is no event."""
-    m = re.match(r"\[[^\]]{24}\] (.*?)\s*$", line or "")
-    text = m[1] if m else ""
-    for kind, gate, pattern, slots, fixed in _COMPILED if text else ():
+#: Candidate rules by a text's first characters; those that share them share the list.
+_HEAD, _MOST_HEADS = 9, 20_000
+_starts = [(rule, re.split(r"[\[{]", said)[0][:_HEAD]) for rule, (_, said, _) in zip(_COMPILED, SAID, strict=True)]
+_candidates: dict[str, list] = {}
+
+
+def candidates(text: str) -> list:
+    """The rules, in order, whose fixed beginning agrees with a text's."""
+    head = text[:_HEAD]
+    found = _candidates.get(head)
+    if found is None:
+        if len(_candidates) >= _MOST_HEADS:
+            _candidates.clear()
+        found = _candidates[head] = [rule for rule, start in _starts if head.startswith(start) or start.startswith(head)]
+    return found
+
+
+def rule_of(text: str) -> tuple | None:
+    """(kind, slots, fixed fields, match) of the first rule that fits what a line says."""
+    for kind, gate, pattern, slots, fixed in candidates(text):
         if gate in text and (got := pattern.match(text)):
-            e = {"type": kind} | {k: v for k, v in zip(slots, got.groups(), strict=True) if v} | fixed
-            if "price" in e:  # a price that can't be read counts as none
-                e["copper"] = sum(int(n) * _WORTH[coin] for n, coin in _PRICE.findall(e.pop("price")))
-            for k in _INTS & e.keys():
-                e[k] = int(e[k])
-            if kind == "loot":
-                e.setdefault("qty", 1)
-            elif kind == "xp":
-                e["pct"] = float(e.get("pct", 0))
-            elif kind == "damage_taken":
-                e.setdefault("source", e.get("spell"))
-            elif kind == "upgrade":
-                tier = re.search(r"\s\+([0-9]+)$", e["item"])
-                e["base"], e["tier"] = re.sub(r"\s\+[0-9]+$", "", e["item"]), int(tier[1]) if tier else None
-            return e
+            return kind, slots, fixed, got
     return None
 
 
-def parse_events(lines: DataFrame, line: str = "line") -> DataFrame:
+_LINE = re.compile(r"\[[^\]]{24}\] (.*?)\s*$")
+
+
+def event_of(line: str | None) -> dict | None:
+    """Type and fields of one line, or None if it is no event."""
+    m = _LINE.match(line or "")
+    found = rule_of(m[1]) if m and m[1] else None
+    if not found:
+        return None
+    kind, slots, fixed, got = found
+    e = {"type": kind} | {k: v for k, v in zip(slots, got.groups(), strict=True) if v} | fixed
+    if "price" in e:  # a price that can't be read counts as none
+        e["copper"] = sum(int(n) * _WORTH[coin] for n, coin in _PRICE.findall(e.pop("price")))
+    for k in _INTS & e.keys():
+        e[k] = int(e[k])
+    if kind == "loot":
+        e.setdefault("qty", 1)
+    elif kind == "xp":
+        e["pct"] = float(e.get("pct", 0))
+    elif kind == "damage_taken":
+        e.setdefault("source", e.get("spell"))
+    elif kind == "upgrade":
+        tier = re.search(r"\s\+([0-9]+)$", e["item"])
+        e["base"], e["tier"] = re.sub(r"\s\+[0-9]+$", "", e["item"]), int(tier[1]) if tier else None
+    return e
+
+
+def _type_of(line: str | None) -> str | None:
+    m = _LINE.match(line or "")
+    found = rule_of(m[1]) if m and m[1] else None
+    return found and found[0]
+
+
+def gate_of(line: Column, types: list[str] | None = None) -> Column:
+    """Whether a line holds the longest fixed part of a rule, of all types or of some: what passes no gate is no such event."""
+    gates = sorted({gate for kind, gate, *_ in RULES if types is None or kind in types})
+    return F.coalesce(reduce(lambda x, y: x | y, (line.contains(g) for g in gates)), F.lit(False))
+
+
+def parse_events(lines: DataFrame, line: str = "line", types: list[str] | None = None, fields: list[str] | None = None) -> DataFrame:
     """Adds ts, type and the event fields to every line; type is null for chat, null lines and anything else that is no event.
     `ally` marks events of others, which count only for members of a group: see keep_members.
 
-    Lines come in Arrow batches: as column expressions, some forty templates with thirty fields outgrow what the planner copies
-    and compiles in reasonable time."""
-    kinds = {"type": "string"} | FIELDS
+    types and fields name what is wanted: other lines are left out, or other columns not made. Lines that pass no gate are told by
+    built-in expressions; the others come to the grammar in Arrow batches, since as column expressions some forty templates with
+    thirty fields outgrow what the planner compiles."""
+    kinds = {"type": "string"} | {k: t for k, t in FIELDS.items() if fields is None or k in fields}
+    null_type = {"string": object, "int": "Int32", "long": "Int64", "double": "Float64", "boolean": "boolean"}
+
+    @F.pandas_udf("string")
+    def typed(said: pd.Series) -> pd.Series:
+        return pd.Series([_type_of(x) for x in said], dtype=object)
 
     @F.pandas_udf(", ".join(f"{k} {t}" for k, t in kinds.items()))
     def parsed(said: pd.Series) -> pd.DataFrame:
         events = [event_of(x) or {} for x in said]
-        null_type = {"string": object, "int": "Int32", "long": "Int64", "double": "Float64", "boolean": "boolean"}
         return pd.DataFrame({k: pd.array([e.get(k) for e in events], dtype=null_type[t]) if t != "string" else [e.get(k) for e in events] for k, t in kinds.items()})
 
-    own = ("ts", *kinds)
-    return lines.select(*(c for c in lines.columns if c not in own), log_timestamp(F.col(line)).alias("ts"), parsed(F.col(line)).alias("_e")).select("*", "_e.*").drop("_e")
+    own = ("ts", "type", *FIELDS)
+    kept = [c for c in lines.columns if c not in own]
+    said = F.when(gate_of(F.col(line), types), F.col(line))
+    out = lines.select(*kept, log_timestamp(F.col(line)).alias("ts"), (typed if len(kinds) == 1 else parsed)(said).alias("_e"))
+    out = out.withColumnRenamed("_e", "type") if len(kinds) == 1 else out.select("*", "_e.*").drop("_e")
+    return out if types is None else out.where(F.col("type").isin(types))
 
 
 def keep_members(events: DataFrame, roster: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ def test_event_queries_filter_by_parsed_type(spark, monkeypatch):
 
     lines = [(1, 1, "You have completed achievement: Deed 5"), (2, 1, "You looted 2 Skin 3 from a rat's corpse and sold it for 4 gold and 3 copper."), (3, 1, "You looted a Blade 7 from a rat's corpse to create a Blade 7 +1"), (8, 1, "Someone says, 'You have completed achievement'")]
     rows = spark.createDataFrame([(o, n, 1, f"[Fri Jul 31 18:38:02 2026] {said}") for o, n, said in lines], "l_orderkey long, l_linenumber int, l_partkey long, line string")
-    monkeypatch.setattr(documents, "parsed", lambda spark, sf_dir: documents.parse_events(rows))
+    monkeypatch.setattr(documents, "parsed", lambda spark, sf_dir, *wanted: documents.parse_events(rows, "line", *wanted))
     shown = {name: [tuple(r) for r in QUERIES[name](spark, DATA).collect()] for name in ("e7_loot_sold", "e8_loot_merged", "e9_achievement", "e10_craft_error")}
     assert shown == {"e7_loot_sold": [(2, 1, "Skin 3", 2, 403, "a rat")], "e8_loot_merged": [(3, 1, "Blade 7", 1, "Blade 7 +1")], "e9_achievement": [(1, 1, "Deed 5")], "e10_craft_error": []}
 
