@@ -18,7 +18,7 @@ BITS = 20
 LOW = 1 << 32
 LANES = 64
 #: Ids of a segment and of a block; both are multiples of LANES.
-SEGMENT, BLOCK = 1 << 15, 1 << 18
+SEGMENT, BLOCK = 1 << 15, 1 << 16
 
 
 class Table:

@@ -13,6 +13,7 @@ import json
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,22 +27,50 @@ from . import rans
 from .common import shared_folder, ship, table
 from .tokencount import byte_letters
 
-#: Ids of a run: 16 blocks, about 6 MB of a file.
-RUN = 16 * rans.BLOCK
-#: Segments of text that a worker keeps encoded before it starts anew, and the longest that it keeps.
-MOST_SEGMENTS, LONGEST = 500_000, 64
-#: The pre-tokenizer's pieces where only ASCII characters and no apostrophes occur.
-ASCII_PIECES = re.compile(r" ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-_SPACE_BEFORE = re.compile(r" (?=\S)")
-_OTHER_SPACE = re.compile(r" (?!\S)")
+#: Ids of a run: 64 blocks, about 6 MB of a file.
+RUN = 64 * rans.BLOCK
+#: Pieces of text that a worker keeps encoded before it starts anew, words with their marks that it keeps beside them (about
+#: 200 bytes each), and the longest of either.
+MOST_PIECES, MOST_WORDS, LONGEST = 1_000_000, 1_000_000, 64
+#: The pre-tokenizer's pieces in texts of ASCII characters and Latin letters without an apostrophe.
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
+PLAIN = re.compile(rf"[\x00-&(-\x7f{_LATIN}]*")
+PIECES = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[^\t-\r 0-9{_LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+SPACE_BEFORE, OTHER_SPACE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
+
+
+class Pieces(dict):
+    """Ids of pieces as the library's model gives them; a piece that isn't kept yet is encoded when it is asked for."""
+
+    def __init__(self, model):
+        self.tokenize, self.letters = model.tokenize, {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", [t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+        if len(piece) <= LONGEST:
+            self[piece] = ids
+        return ids
+
+
+class Words(dict):
+    """Ids of what stands between two spaces of a plain text, the first space included, out of its pieces."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(" " + word)))
+        if len(word) <= LONGEST and len(self) < MOST_WORDS:
+            self[word] = ids
+        return ids
 
 
 class LibraryIds:
     """Ids of texts as the tokenizers library gives them without added special tokens.
 
-    A byte-level BPE file starts a piece at every space before something solid, so the segments between such places are encoded
-    alone and kept; a worker asks the library's model for new ones only. Texts under any other kind of file go to the library
-    whole, as do segments that aren't plain ASCII."""
+    Under a byte-level BPE file a piece starts at every space before something solid. What stands between such places is cut
+    into the pre-tokenizer's pieces where it is plain, and the library's model encodes the pieces that aren't kept; where it isn't,
+    the library encodes it alone. Texts with special strings, or under any other kind of file, go to it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,38 +81,33 @@ class LibraryIds:
         before, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
         self.special = [t["content"] for t in added]
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or " " in t["content"] for t in added)
-        self.by_segment = plain and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
-        self.letters = {b: c for c, b in byte_letters().items()}
-        self.kept: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.by_piece = plain and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
+        self.pieces = Pieces(self.tokenizer.model)
+        self.words = Words(self.pieces)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def segment(self, text: str) -> bytes:
-        if not text.isascii() or "'" in text or len(text) > LONGEST:
-            return self.whole(text)
-        found = ASCII_PIECES.findall(text)
-        for p in found:
-            if p not in self.pieces:
-                self.pieces[p] = np.array([t.id for t in self.tokenizer.model.tokenize(p.translate(self.letters))], "<u4").tobytes()
-        return b"".join(map(self.pieces.__getitem__, found))
+    def plain(self, text: str) -> bytes | None:
+        """Ids of a plain text; a piece starts at every space before something solid."""
+        if not PLAIN.fullmatch(text):
+            return None
+        first, *rest = SPACE_BEFORE.split(text) if OTHER_SPACE.search(text) else text.split(" ")
+        return b"".join([*map(self.pieces.__getitem__, PIECES.findall(first)), *map(self.words.__getitem__, rest)])
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers; a null text counts as empty."""
         if not text:
             return b""
-        if not self.by_segment or any(s in text for s in self.special):
+        if not self.by_piece or any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = _SPACE_BEFORE.split(text) if _OTHER_SPACE.search(text) else text.split(" ")
-        kept, out = self.kept, []
-        for s in set(rest).difference(kept):
-            if len(s) < LONGEST:
-                kept[s] = self.segment(" " + s)
-        if len(kept) > MOST_SEGMENTS or len(self.pieces) > MOST_SEGMENTS:
-            self.kept, self.pieces = {}, {}
-        out = [kept[s] if s in kept else self.whole(" " + s) for s in rest] if max(map(len, rest), default=0) >= LONGEST else map(kept.__getitem__, rest)
-        return b"".join([self.segment(first), *out]) if first else b"".join(out)
+        if len(self.pieces) > MOST_PIECES:
+            self.pieces.clear()
+            self.words.clear()
+        if (ids := self.plain(text)) is not None:
+            return ids
+        first, *rest = SPACE_BEFORE.split(text)
+        return b"".join(self.whole(s) if (ids := self.plain(s)) is None else ids for s in (first, *(" " + s for s in rest)))
 
 
 _encoders: dict[str, LibraryIds] = {}
@@ -119,7 +143,7 @@ def write_ids(df: DataFrame, path: str, key: str, column: str, ids: Callable[[pd
 
     Rows are dealt to files by ranges of key and content, so that rows of a repeated key spread too; equal keys are ordered by
     the content's hash, and wholly equal rows are interchangeable. A task holds one run of ids at a time, and the ids of the row
-    that it reads. Ids must be below 2^20. A row without ids is listed and takes no place; an empty table gives no files' rows.
+    that it reads; only a row with more ids than a run crosses runs. Ids must be below 2^20. A row without ids is listed and takes no place; an empty table gives no files' rows.
     Only the two columns are read, so that others may have any name."""
     spark = ship(df.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -142,6 +166,8 @@ def write_ids(df: DataFrame, path: str, key: str, column: str, ids: Callable[[pd
         for batch in batches:
             for k, known, x in zip(batch["key"].tolist(), batch["known"], ids(batch["body"]), strict=True):
                 at = 0
+                if size and size + len(x) > run:
+                    yield flush()
                 while True:
                     take = min(len(x) - at, run - size)
                     held.append(x[at : at + take])
@@ -191,11 +217,11 @@ def read_ids(spark: SparkSession, path: str, digest: bool = False, segment: int
             out.append(crc)
         return pd.Series(out, dtype="int64")
 
-    found = runs.mapInPandas(pieces, shown)
     last = "ids_crc32" if digest else "ids"
-    whole = found.where("n_ids = n_total").select("part", "key", "at", "n_total", last)
+    whole = runs.mapInPandas(pieces, shown).where("n_ids = n_total").select("part", "key", "at", "n_total", last)
     start = (F.col("at") - F.col("before")).alias("at")
-    split = found.where("n_ids < n_total and n_ids > 0").groupBy("part", "key", start, "n_total").agg(F.sort_array(F.collect_list(F.struct("before", "n_ids", last))).alias("_pieces"))
+    crossing = runs.where(F.exists("docs", lambda d: d["n_ids"] < d["n_total"]))
+    split = crossing.mapInPandas(pieces, shown).where("n_ids < n_total and n_ids > 0").groupBy("part", "key", start, "n_total").agg(F.sort_array(F.collect_list(F.struct("before", "n_ids", last))).alias("_pieces"))
     joined = join_crc32("_pieces") if digest else F.flatten(F.col("_pieces.ids"))
     both = whole.union(split.select("part", "key", "at", "n_total", joined.alias(last)))
     before, starts = 0, []

@@ -56,16 +56,16 @@ def test_checksums_join():
         assert rans.join_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
 
 
-def test_segments_give_the_library_s_ids():
+def test_pieces_give_the_library_s_ids():
     lib, own = Tokenizer.from_file(JSON), LibraryIds(JSON)
-    texts = [*random_texts(), "a  b", "a \n b", "x\n <|endoftext|>  y", " \x1c a", "a \x85 b", "it's 'sabc we'll", "w " * 300, "é é  é", "Q" * 300, "a " + "Q" * 300 + " b", " ", "  ", " a", "a ", "3 4a ! b!c"]
+    texts = [*random_texts(), "a  b", "a \n b", "x\n <|endoftext|>  y", " \x1c a", "a \x85 b", "it's 'sabc we'll", "w " * 300, "é é  é", "Q" * 300, "a " + "Q" * 300 + " b", " ", "  ", " a", "a ", "3 4a ! b!c", "\0\0 a'b \0 c", "ªº µm ×÷ ÀÿŁɏ ɐ"]
     rnd = random.Random(3)
     texts += ["".join(rnd.choice("ab1!'\n \t\x1cé") for _ in range(rnd.randrange(40))) for _ in range(3000)]
     for t in texts:
         assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, repr(t)
-    assert own.by_segment and own.encode(None) == b""
+    assert own.by_piece and own.encode(None) == b""
     words = LibraryIds(P.path("word_bpe_49k.json"))
-    assert not words.by_segment and np.frombuffer(words.encode("Some text, here"), "<u4").tolist() == words.tokenizer.encode("Some text, here", add_special_tokens=False).ids
+    assert not words.by_piece and np.frombuffer(words.encode("Some text, here"), "<u4").tolist() == words.tokenizer.encode("Some text, here", add_special_tokens=False).ids
 
 
 def test_files_of_odd_documents(spark, docs, no_docs, tmp_path):
