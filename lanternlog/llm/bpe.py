@@ -61,6 +61,8 @@ FROM (SELECT t.doc, v.piece FROM ids_in t JOIN vocab v ON v.id = t.id ORDER BY t
 MOST_PIECES, MOST_BYTES = 1_000_000, 300_000
 #: Characters of a block of texts, and ids that are decoded at once.
 BLOCK, IDS = 500_000, 100_000
+#: A piece of more bytes is encoded in chunks of STEP bytes that share OVERLAP bytes with the next one.
+LONG, STEP, OVERLAP = 512, 256, 96
 #: Memory of a worker's DuckDB, and what a byte of a longer piece adds to it while that piece is encoded.
 DUCKDB_MB, PIECE_BYTES = 128, 600
 
@@ -110,6 +112,8 @@ class Codec:
         self.fill("merges", {"both": a * 65536 + b, "made": made.astype(np.int32)})
         self.db.register("vocab_in", pa.table({"id": pa.array(list(ids.values()), pa.int32()), "piece": [t.decode("latin-1") for t in ids]}))
         self.db.execute("CREATE TABLE vocab AS SELECT * FROM vocab_in")
+        self.length = np.zeros(max(ids.values()) + 1, np.int64)
+        self.length[list(ids.values())] = [len(t) for t in ids]
         self.byte = np.array([ids[bytes((x,))] for x in range(256)], np.int32)
         byte_ranks = {bytes((x,)): x for x in range(256)}
         runs = lambda pattern, text: [(e := tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=byte_ranks, special_tokens={})).decode_bytes(e.encode_ordinary(text)).decode()]
@@ -129,7 +133,16 @@ class Codec:
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
 
     def learn(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes pieces of data by the recursive query, MOST_BYTES at a time: where each one's ids stand, and how many."""
+        """Encodes pieces of data by the recursive query: where each one's ids stand, and how many."""
+        start, count = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+        long = sizes > LONG
+        start[~long], count[~long] = self._learn(data, begins[~long], sizes[~long])
+        for i in np.flatnonzero(long):
+            start[i], count[i] = self._stitch(data[begins[i] : begins[i] + sizes[i]])
+        return start, count
+
+    def _learn(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces MOST_BYTES at a time."""
         start, count = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
         upto, i = np.cumsum(sizes), 0
         while i < len(sizes):
@@ -138,6 +151,43 @@ class Codec:
             i = j
         return start, count
 
+    def _stitch(self, raw: np.ndarray) -> tuple[int, int]:
+        """Encodes a long piece by overlapping chunks, which contract side by side.
+
+        Tokens are the encoding of their text exactly if every two neighbours are that of theirs. So where two chunks have a token
+        in common, the tokens of the first up to it and those of the second after it are the encoding of both. Should an overlap
+        have none, as in long runs of one character, the piece is encoded as a whole."""
+        n, kept = len(raw), self.used
+        begins = np.arange(0, max(1, n - OVERLAP), STEP)
+        sizes = np.minimum(begins + STEP + OVERLAP, n) - begins
+        start, count = self._learn(raw, begins, sizes)
+        parts: list[np.ndarray] = []
+        for at, s, c in zip(begins, start, count, strict=True):
+            ids = self.ids[s : s + c].copy()
+            ends = at + np.cumsum(self.length[ids])
+            if parts:
+                same = np.intersect1d((last_ends - self.length[last]) * (n + 1) + last_ends, (ends - self.length[ids]) * (n + 1) + ends)
+                if not len(same):
+                    self.used = kept
+                    start, count = self._learn(raw, np.zeros(1, np.int64), np.full(1, n))
+                    return int(start[0]), int(count[0])
+                cut = same[0] % (n + 1)  # where the first common token ends
+                parts[-1] = parts[-1][: int(np.searchsorted(part_ends, cut, side="right"))]
+                ids, ends = ids[ends > cut], ends[ends > cut]
+            parts.append(ids)
+            part_ends, last, last_ends = ends, ids, ends
+        flat = np.concatenate(parts)
+        self.used = kept
+        self._room(len(flat))
+        self.ids[kept : kept + len(flat)] = flat
+        self.used = kept + len(flat)
+        return kept, len(flat)
+
+    def _room(self, more: int) -> None:
+        end = self.used + more
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(max(end - len(self.ids), len(self.ids)), np.uint32)])
+
     def _contract(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = int(sizes.sum())
         row = data[np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)]
@@ -152,8 +202,7 @@ class Codec:
             self.db.execute(f"SET memory_limit = '{DUCKDB_MB}MB'")
         counts = np.bincount(got["w"].to_numpy(), minlength=len(sizes))
         end = self.used + got.num_rows
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty(max(end - len(self.ids), len(self.ids)), np.uint32)])
+        self._room(got.num_rows)
         self.ids[self.used : end] = got["id"].to_numpy()
         start = self.used + np.cumsum(counts) - counts
         self.used = end

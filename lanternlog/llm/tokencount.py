@@ -28,8 +28,10 @@ from pyspark.sql import types as T
 from .common import ship, table
 from .pieces import blocks, class_table, split
 
-#: Compiled states above which a worker starts anew before its next block of texts.
+#: Compiled states above which a worker starts anew, keeping those that it is in.
 MOST_STATES = 100_000
+#: Pieces of more bytes are read in chunks of STEP bytes, each after WARM bytes before it.
+LONG, STEP, WARM = 2048, 1024, 128
 
 
 def byte_letters() -> dict[str, int]:
@@ -137,16 +139,19 @@ class Transducer:
                 self.change = np.concatenate([self.change, np.zeros_like(self.change)])
         self.move[state, byte], self.change[state, byte] = k, count
 
-    def count_pieces(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Tokens of each piece of data. Pieces are lanes, the longest first, that read a byte in each step."""
-        if len(self.keys) > MOST_STATES:
-            self.restart()
+    def run(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray, warm: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Reads slices of data from their states, one byte of each in a step, the longest first: (tokens added after the first
+        `warm` bytes, states there, states at the end), states as numbers in seen."""
         order = np.argsort(-sizes, kind="stable")
-        begins, sizes = begins[order], sizes[order]
-        state, total = np.zeros(len(order), np.int32), np.zeros(len(order), np.int32)
-        live = len(order)
+        begins, sizes, warm, state = begins[order], sizes[order], warm[order], state[order].copy()
+        total, then = np.zeros(len(order), np.int32), state.copy()
+        live, warmed = len(order), bool(warm.any())
         for j in range(int(sizes[0]) if live else 0):
             live = live - int(np.searchsorted(sizes[:live][::-1], j, side="right"))
+            if len(self.keys) > MOST_STATES:
+                state, then = self.renumber(state, then)
+            if warmed:
+                then[:live] = np.where(warm[:live] == j, state[:live], then[:live])
             byte = data[begins[:live] + j]
             at = state[:live].astype(np.int64) * 256 + byte
             nxt = self.move.ravel()[at]
@@ -154,11 +159,54 @@ class Transducer:
                 for x in np.unique(at[new]):
                     self.compile(int(x) >> 8, int(x) & 255)
                 nxt = self.move.ravel()[at]
-            total[:live] += self.change.ravel()[at]
+            change = self.change.ravel()[at]
+            total[:live] += np.where(warm[:live] <= j, change, 0) if warmed else change
             state[:live] = nxt
-        out = np.empty_like(total)
-        out[order] = total
-        return out
+        back = np.argsort(order)
+        return total[back], then[back], state[back]
+
+    def renumber(self, *states: np.ndarray) -> list[np.ndarray]:
+        """Forgets the compiled states but for those given, which get new numbers."""
+        used = np.unique(np.concatenate(states))
+        keys = [self.keys[k] for k in used]
+        self.restart()
+        for key in keys:
+            if key not in self.number:
+                self.number[key] = len(self.keys)
+                self.keys.append(key)
+        while len(self.move) < len(self.keys):
+            self.move = np.concatenate([self.move, np.full_like(self.move, -1)])
+            self.change = np.concatenate([self.change, np.zeros_like(self.change)])
+        new = np.array([self.number[key] for key in keys], np.int32)
+        return [new[np.searchsorted(used, s)] for s in states]
+
+    def count_pieces(self, data: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of each piece of data. A long piece is cut into chunks; each is read from the start state a little before it
+        begins, which the bytes between bring to the state of the whole piece nearly always. Where the state in which a chunk
+        ends isn't that in which the next one began, that one is read again from it."""
+        cuts = [np.arange(0, n, STEP) if n > LONG else np.zeros(1, np.int64) for n in sizes.tolist()] if (sizes > LONG).any() else None
+        none = np.zeros(len(sizes), np.int32)
+        if cuts is None:
+            return self.run(data, begins, sizes, none, none)[0]
+        owner = np.repeat(np.arange(len(sizes)), [len(c) for c in cuts])
+        at = np.concatenate(cuts)
+        warm = np.minimum(at, WARM)
+        length = np.where(sizes[owner] > LONG, np.minimum(STEP, sizes[owner] - at), sizes[owner])
+        first = begins[owner] + at - warm
+        total, then, end = self.run(data, first, warm + length, warm, np.zeros(len(at), np.int32))
+        then_keys, end_keys = [self.keys[k] for k in then], [self.keys[k] for k in end]
+        for k in range(1, len(at)):
+            if at[k] and then_keys[k] != end_keys[k - 1]:
+                key, one = end_keys[k - 1], slice(k, k + 1)
+                if key not in self.number:
+                    self.number[key] = len(self.keys)
+                    self.keys.append(key)
+                    if len(self.keys) > len(self.move):
+                        self.move = np.concatenate([self.move, np.full_like(self.move, -1)])
+                        self.change = np.concatenate([self.change, np.zeros_like(self.change)])
+                again, _, last = self.run(data, begins[owner[one]] + at[one], length[one], np.zeros(1, np.int32), np.array([self.number[key]], np.int32))
+                total[k], end_keys[k] = again[0], self.keys[last[0]]
+        return np.bincount(owner, weights=total, minlength=len(sizes)).astype(np.int32)
 
     def count(self, texts: Iterable[str | None]) -> np.ndarray:
         """Token counts of texts; a null text counts as empty. Special strings count one and part the text."""

@@ -53,3 +53,36 @@ def test_decoding_nulls(spark):
     df = spark.sql("select cast(null as array<int>) ids union all select array(64, 999999)")
     assert sorted(bytes(r.decoded) for r in decode_ids(df, "ids", RANKS).collect()) == sorted([b"", bytes(codec(RANKS).decode([[64]])[0])])
     assert df.select(F.size("ids")).count() == 2
+
+
+def long_pieces():
+    rnd = random.Random(12)
+    letters = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    dna = "".join(rnd.choice("ACGT") for _ in range(30_000))
+    coded = base64.b64encode(rnd.randbytes(1_500_000)).decode()
+    return {"letters": letters, "dna": dna, "run": "x" * 70_000, "marks": "=-" * 20_000, "wide": "漢字é" * 3000, "mixed": "the" * 400 + letters[:3000] + "x" * 4000 + dna[:3000], "edge": letters[:2049], "base64": coded}
+
+
+def test_long_pieces_are_cut_and_joined():
+    """Words without a space: chunks contract side by side, and give what the libraries give for the whole."""
+    import resource
+    import time
+
+    lib, tok, own, counts = library(), Tokenizer.from_file(JSON), codec(RANKS), transducer(JSON)
+    began, before = time.monotonic(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for name, text in long_pieces().items():
+        want = lib.encode_ordinary(text)
+        if name != "base64":
+            assert own.encode([text])[0].tolist() == want, name
+        assert counts.count([text, text[:5000]]).tolist() == [len(want), len(tok.encode(text[:5000], add_special_tokens=False).ids)], name
+    assert time.monotonic() - began < 240 and (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 1200
+
+
+def test_many_states_are_forgotten_within_a_block(monkeypatch):
+    from lanternlog.llm import tokencount
+
+    monkeypatch.setattr(tokencount, "MOST_STATES", 300)
+    text = long_pieces()["letters"][:20_000]
+    small = tokencount.Transducer(JSON)
+    assert small.count([text, text[:3000] + " " + text[3000:4000]]).tolist() == [len(Tokenizer.from_file(JSON).encode(t, add_special_tokens=False).ids) for t in (text, text[:3000] + " " + text[3000:4000])]
+    assert len(small.keys) < 3000
