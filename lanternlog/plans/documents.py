@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import pages, wiki
 from ..functions import text as X
-from ..functions import wiki
 from ..sources.log import FIELDS, keep_members, parse_events
 from .inputs import cents, table
 from .registry import query
@@ -270,3 +270,90 @@ def d5_heading_sections(spark, sf_dir):
     """Sections by heading with their level, title and lines."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.sections(F.expr(SECTIONED))).alias("s"))
     return d.select("doc_id", F.col("s.section").alias("section"), F.col("s.level").cast("long").alias("level"), F.col("s.title").alias("title"), F.size("s.lines").cast("long").alias("lines"))
+
+
+# Pages composed from columns by Spark; the SQL tells what each shape must give.
+DEEDS = """concat('lead\\n|}\\n{| class=t\\n! <span title="Expand or collapse Group ', p_brand, '">\\n|-\\n|\\n', IF(p_size % 2 = 0, '{|\\n! title="Expand or collapse Inner"\\n|-\\n|\\n', ''),
+  '{| id=x\\n! title="Expand or collapse ', IF(p_size % 5 = 0, 'Race Unlock — ', ''), p_name, '"\\n<div>', p_size, ' Points</div>\\n|-\\n|\\n\\'\\'\\'Do ', p_type, '\\'\\'\\'\\n\\'\\'\\'Requirements\\'\\'\\'\\n<ul><li>☐ Get [[', p_brand, '|it]]</li>',
+  CASE p_size % 3 WHEN 0 THEN '<li>Walk</li>' WHEN 1 THEN '</ul>\\'\\'\\'Notes\\'\\'\\'<ul><li>Slow</li>' ELSE '<li>needs an unlock token</li>' END, '</ul>\\n|}\\n', IF(p_size % 2 = 0, '|}\\n', ''), '{|\\n! title="Expand or collapse None"\\n|}\\n|}\\n== Template ==\\n{|\\n! title="Expand or collapse Copy"\\n1 Point\\n|}')"""
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Race Unlock — ' ELSE '' END || p_name AS name, 'Group ' || p_brand AS grp, CASE WHEN p_size % 2 = 0 THEN 'Inner' ELSE 'Group ' || p_brand END AS sub, p_size AS points, 'Do ' || p_type AS said,
+  CASE WHEN p_size % 3 = 0 THEN 'Get it<' || p_brand || ',Walk' ELSE 'Get it<' || p_brand END AS reqs, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN 'Slow' ELSE 'needs an unlock token' END AS notes, CASE WHEN p_size % 5 = 0 THEN p_name END AS unlocks FROM part""")
+def d11_achievements(spark, sf_dir):
+    """Achievements in tables of one or two levels, with their groups, requirements, notes and what they unlock."""
+    rows = pages.achievements(parts(spark, sf_dir).select("p_partkey", F.expr(DEEDS).alias("text")), "text")
+    reqs = F.array_join(F.transform("reqs", lambda r: F.concat_ws("<", r.text, r.link)), ",")
+    return rows.select("p_partkey", "name", F.col("group").alias("grp"), "sub", "points", F.col("desc").alias("said"), reqs.alias("reqs"), F.array_join("notes", ",").alias("notes"), F.col("unlock.name").alias("unlocks"))
+
+
+QUESTED = """concat('{{Era}}\\n<!-- * not this -->\\n', IF(p_size % 4 = 0, '', concat('{| class="questTopTable"\\n! \\'\\'\\' Start Zone: \\'\\'\\'\\n| [[', p_type, '|Old ', p_type, ']]\\n|-\\n! Giver:\\n| [[', p_brand, ']]\\n|-\\n! Minimum Level:\\n| Level ', p_size, IF(p_size % 2 = 0, '+', ''), '\\n|-\\n! Classes\\n| ', IF(p_size % 3 = 0, 'All', 'Bard, Monk/Bard and none'), '\\n|}\\n')),
+  '== Rewards ==\\n* [[Prize]]\\n== Checklist ==\\n', IF(p_size % 5 = 0, '', concat('* Ask [[', p_brand, ']]\\n=== Part ', p_size, ' ===\\n# Find the [[', p_name, '|thing]]\\n')), '*\\n== Walkthrough ==\\nOne goes to the old place of ', p_name, '\\nshort\\n: a long line that someone speaks to you\\nHe says, \\'and this is what he says to you\\'\\n')"""
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 <> 0 THEN 'Old ' || p_type END AS start_zone, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS giver, CASE WHEN p_size % 4 <> 0 THEN p_size END AS level_min, CASE WHEN p_size % 4 <> 0 AND p_size % 2 <> 0 THEN p_size END AS level_max,
+  CASE WHEN p_size % 4 = 0 THEN '' WHEN p_size % 3 = 0 THEN 'All' ELSE 'Bard,Monk' END AS classes, CASE WHEN p_size % 5 = 0 THEN 'One goes to the old place of ' || p_name ELSE 'Ask ' || p_brand || ';Part ' || p_size || ' — Find the thing' END AS steps,
+  'Prize' || CASE WHEN p_size % 5 = 0 THEN '' WHEN p_size % 4 = 0 THEN ',' || p_brand || ',' || p_name ELSE ',' || p_name END AS mentions FROM part""")
+def d7_quests(spark, sf_dir):
+    """Quest pages with and without a top table, with steps or, where there are none, prose."""
+    q = pages.quests(parts(spark, sf_dir).select("p_partkey", F.expr(QUESTED).alias("text")), "text")
+    return q.select("p_partkey", "start_zone", "giver", "level_min", "level_max", F.array_join("classes", ",").alias("classes"), F.array_join("steps", ";").alias("steps"), F.array_join("mentions", ",").alias("mentions"))
+
+
+TESTED = """concat('== Tests ==\\n=== [[', p_type, ']] Tests ===\\n', IF(p_size % 2 = 0, concat('\\'\\'\\'Quest Giver:\\'\\'\\' [[', p_brand, '|x]]\\n'), ''), '{| class=q\\n|-\\n! Reward || Quest\\n|-\\n| ', IF(p_size % 3 = 0, concat('{{:', p_name, '}}'), concat('[[', p_name, ']]')), '\\n| \\'\\'\\'Test\\'\\'\\' of ', p_partkey, '\\n| word\\n| <li>[[Rune]]</li>\\n| <ul><li>\\'\\'\\'{{SkyNoDrop|[[Gem (', p_size, ')|Gem]]}}\\'\\'\\' (', p_size, '-SL)</li>\\n<li>[[Leaf]]</li></ul>\\n|-\\n| few\\n| cells\\n|}\\n== After ==\\n=== [[Bard]] Tests ===\\n{|\\n|-\\n| [[a]]\\n| b\\n| c\\n| [[d]]\\n| [[e]]\\n|}')"""
+
+
+@query("""SELECT p_partkey, p_type AS cls, CASE WHEN p_size % 2 = 0 THEN p_brand END AS giver, 'test-of-' || p_partkey AS key, p_name AS reward, 'Rune' AS runes, 'Gem (' || p_size || ')<' || p_size || '-SL!,Leaf' AS items FROM part""")
+def d12_class_tests(spark, sf_dir):
+    """Class tests out of the section of their name, with what each needs, from where, and whether it can be traded."""
+    rows = pages.class_tests(parts(spark, sf_dir).select("p_partkey", F.expr(TESTED).alias("text")), "text", "Tests")
+    needs = lambda c: F.array_join(F.transform(c, lambda n: F.concat(F.concat_ws("<", n["name"], n.src), F.when(n.no_drop, "!").otherwise(""))), ",")
+    return rows.select("p_partkey", "cls", "giver", "key", "reward", needs("runes").alias("runes"), needs("items").alias("items"))
+
+
+@query("SELECT p_partkey, CASE WHEN (SELECT count(*) >= 60 AND count(*) = count(DISTINCT p_partkey) FROM part) THEN 'synced' ELSE 'bundled' END AS origin FROM part")
+def d12_whole_or_bundled(spark, sf_dir):
+    """The synced tests, as all of them are whole; the bundled ones otherwise."""
+    rows = pages.class_tests(parts(spark, sf_dir).select("p_partkey", F.expr(TESTED).alias("text")), "text", "Tests").withColumn("origin", F.lit("synced"))
+    classes = tuple(r[0] for r in rows.select("cls").distinct().collect())  # as many as there are part types
+    return pages.whole_tests(rows, rows.withColumn("origin", F.lit("bundled")), classes).select("p_partkey", "origin")
+
+
+CARD = """concat('<main><nav><ul><li>Home</li></ul></nav><h1>', p_name, '</h1><aside class="x tooltip-card"><p class="tooltip-title"><img src=a>', p_brand, '</p><p class="tooltip-flags">', IF(p_size % 2 = 0, 'MAGIC ITEM · NO DROP', ''), '</p><ul class="tooltip-lines"><li>Slot: <b>HEAD</b></li><li>Skill: Blunt Atk Delay: ', p_size, '</li>',
+  CASE p_size % 3 WHEN 0 THEN concat('<li>AC: ', p_size, '</li>') WHEN 1 THEN concat('<li>STR: +', p_size, ' HP: 5 SV FIRE: -2</li>') ELSE concat('<li>Effect: ', p_name, ' IV (Combat, Casting Time: Instant) at Level 9</li>') END, '<li>Drops From: ', p_type, ': a rat, the &lt;lord&gt;</li><li>Odd</li></ul></aside><section id="all-results"><br><table>', IF(p_size % 4 = 0, '', concat('<tr><td>', p_name, ' – <i>of</i> ', p_type, '</td></tr>')), '<tr><td>', p_brand, '<ul><li>in</li></ul></td></tr></table></section><li>after</li></main>')"""
+
+
+@query("""SELECT p_partkey, p_name AS name, CASE WHEN p_size % 2 = 0 THEN 'MAGIC ITEM,NO DROP' ELSE '' END AS flags, p_size % 2 = 0 AS no_drop, 'HEAD' AS slot, 'Blunt' AS skill, p_size AS delay, CASE WHEN p_size % 3 = 0 THEN p_size END AS ac, CASE WHEN p_size % 3 = 1 THEN p_size END AS str, CASE WHEN p_size % 3 = 1 THEN 5 END AS hp, CASE WHEN p_size % 3 = 1 THEN -2 END AS fire,
+  CASE WHEN p_size % 3 = 2 THEN 'proc ' || p_name || ' 4' ELSE '' END AS effects, p_type || '<a rat,' || p_type || '<the <lord>' AS drops, 4 AS attributes FROM part""")
+def d13_tooltips(spark, sf_dir):
+    """Items out of the tooltip cards of HTML pages."""
+    t = pages.tooltips(parts(spark, sf_dir).select("p_partkey", F.expr(CARD).alias("html")), "html")
+    told = F.array_join(F.transform("effects", lambda e: F.concat_ws(" ", e.type, e.family, e.tier)), ",")
+    return t.select("p_partkey", "name", F.array_join("flags", ",").alias("flags"), "no_drop", "slot", "skill", "delay", "ac", F.col("stats")["STR"].alias("str"), "hp", F.col("resists")["FIRE"].alias("fire"), told.alias("effects"), F.array_join(F.transform("drops", lambda d: F.concat_ws("<", d.zone, d.mob)), ",").alias("drops"), "attributes")
+
+
+@query("""SELECT p_partkey, 0 AS pos, p_name AS name, 'of ' || p_type AS description FROM part WHERE p_size % 4 <> 0
+  UNION ALL SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE 1 END, p_brand || 'in', NULL FROM part""")
+def d14_result_rows(spark, sf_dir):
+    """Rows of the result lists of HTML pages, the outermost only."""
+    return pages.result_rows(parts(spark, sf_dir).select("p_partkey", F.expr(CARD).alias("html")), "html").select("p_partkey", "pos", "name", "description")
+
+
+CAPPED = "concat('lead\\n===Strength (STR)===\\n*Max (hard-cap): ', p_size, '\\n', IF(p_size % 2 = 0, concat('*Soft-cap: ', p_size + 1, '\\n'), ''), '== Notes ==\\nSoft-cap: 9\\n')"
+
+
+@query("SELECT p_partkey, 'str' AS stat, p_size AS cap FROM part UNION ALL SELECT p_partkey, 'str_soft', p_size + 1 FROM part WHERE p_size % 2 = 0")
+def d9_stat_caps(spark, sf_dir):
+    """Hard and soft caps of the stats that a page's headings name."""
+    s = parts(spark, sf_dir).select("p_partkey", F.explode(X.sections(F.expr(CAPPED))).alias("s")).select("p_partkey", "s.title", "s.lines")
+    return pages.stat_caps(s)
+
+
+GUIDED = "concat('{|\\n! [[Zone]] !! Lvl Range !! 5 !! Note\\n|-\\n| [[', p_name, '|Old ', p_name, ']] || ', p_size, IF(p_size % 2 = 0, concat(' - ', p_size + 9), ''), ' || ', CASE p_size % 3 WHEN 0 THEN '[[File:GoldCircle.png|20px]]' WHEN 1 THEN '[[file:Odd.png]]' ELSE '' END, ' || {{#vardefine:zem|', p_size, '}}\\n|}\\n{|\\n! Name\\n|-\\n| x\\n|}')"
+
+
+@query("SELECT p_partkey, 'Old ' || p_name AS zone, p_size AS level_min, CASE WHEN p_size % 2 = 0 THEN p_size + 9 ELSE p_size END AS level_max, p_size AS zem, CASE p_size % 3 WHEN 0 THEN 'inefficient' WHEN 1 THEN 'Odd' END AS rating FROM part")
+def d8_zone_ratings(spark, sf_dir):
+    """Zones of guide tables with their levels and what their icons mean."""
+    t = parts(spark, sf_dir).select("p_partkey", F.explode(wiki.wikitables(F.expr(GUIDED))).alias("t")).select("p_partkey", "t.headers", "t.rows")
+    return pages.zone_ratings(t).select("p_partkey", "zone", "level_min", "level_max", "zem", F.col("ratings")["5"].alias("rating"))
