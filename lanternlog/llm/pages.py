@@ -36,14 +36,19 @@ BOILERPLATE_ROLE = "navigation banner contentinfo complementary search dialog al
 BOILERPLATE_NAME = (
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar "
     "footer header masthead cookie cookies consent notice notices notification alert popup modal overlay newsletter subscribe signup login share sharing social "
-    "related recommended comment comments commentlist respond disqus reply replies pagination pager widget toolbar skip"
+    "related recommended comment comments commentlist respond disqus reply replies pagination pager widget toolbar skip teaser teasers"
 ).split()
+#: First words of names that tell how a page is laid out, and of what: has-sidebar stands on what is beside the sidebar.
+LAYOUT_NAME = "has no with without is not js hide show sticky fixed".split()
 #: Words that may stand beside those in a name without giving it another meaning: share-buttons, but not share-price.
-NEUTRAL_NAME = "area bar block body box button buttons container content form group holder icons inner item items left links list main outer panel posts right section text thread top bottom wrap wrapper".split()
+NEUTRAL_NAME = "area bar block body box button buttons container content form group holder icons inner item items left links list main outer panel posts right section slot stories articles text thread tools top bottom unit wrap wrapper".split()
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*+)(?:>|$)|<[!?/][^>]*(?:>|$)|[^<]+|<", re.S)
-ATTR = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_BLOCK, _VOID, _RAW, _BOILER, _ROLE, _NAME, _NEUTRAL = map(frozenset, (BLOCK, VOID, RAW_TEXT, BOILERPLATE, BOILERPLATE_ROLE, BOILERPLATE_NAME, NEUTRAL_NAME))
+VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)")
+HIDDEN, UNSEEN = re.compile(r"(?i)(?:^|[\s/])hidden(?=[\s/]|$)"), re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+(?:[xX][0-9]+)?")
+ATTR = re.compile(r"(?i)(?:^|[\s\"'/])(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_BLOCK, _VOID, _RAW, _BOILER, _ROLE, _NAME, _NEUTRAL, _LAYOUT = map(frozenset, (BLOCK, VOID, RAW_TEXT, BOILERPLATE, BOILERPLATE_ROLE, BOILERPLATE_NAME, NEUTRAL_NAME, LAYOUT_NAME))
 #: An unclosed one ends where the next of these begins.
 _CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
 _SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main body blockquote td th aside nav footer header form".split())
@@ -51,21 +56,35 @@ _SCOPES = frozenset("ul ol dl table tbody thead tfoot div section article main b
 CONTENT, OPEN, DROPPED = 2, 1, 0
 
 
+def _names_boilerplate(name: str, in_article: bool) -> bool:
+    """Whether a class or id says so: by its last word that isn't neutral or a number, which tells what a thing is. So
+    `related-posts`, `site-footer`, `entry-comments`, `cookieConsent` and `ad-300x250` do; `related-work` and `share-price` don't, nor
+    does `has-sidebar`. Inside an article a header is its own unless it is the site's or the page's."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or words[0] in _LAYOUT:
+        return False
+    told = [w for w in words if w not in _NEUTRAL and not w[0].isdigit()]
+    return bool(told) and told[-1] in _NAME and not (in_article and told[-1] == "header" and not {"site", "page", "global"} & set(told))
+
+
 def _is_boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
-    """By element, role or name. A name counts if all its words are those of boilerplate, or neutral beside one: `related` and
-    `related-posts` do, `related-work` doesn't."""
+    """By element, role or name, or because it isn't shown."""
     if tag in _BOILER or tag == "header" and not in_article:
         return True
-    if tag in ("html", "body", "article", "main"):
+    if tag in ("html", "body", "main"):
         return False
+    if "idden" in attrs.lower() and HIDDEN.search(VALUE.sub(" ", attrs)):
+        return True
     for name, a, b, c in ATTR.findall(attrs):
-        for one in (a or b or c).lower().split():
-            words = [w for w in re.split(r"[_-]+", one) if w]
-            if name.lower() == "role":
-                if one in _ROLE:
-                    return True
-            elif any(w in _NAME and not (in_article and w == "header") for w in words) and all(w in _NAME or w in _NEUTRAL or w.isdigit() for w in words):
+        said = a or b or c
+        if name.lower() == "role":
+            if tag != "article" and any(one in _ROLE for one in said.lower().split()):
+                return True
+        elif name.lower() == "style":
+            if UNSEEN.search(said):
                 return True
+        elif any(_names_boilerplate(one, in_article) for one in said.split()):
+            return True
     return False
 
 

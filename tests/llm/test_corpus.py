@@ -220,6 +220,22 @@ def test_copies_do_not_delete_each_other(spark):
     assert got[1] == got[2] and long.strip() in got[1] and long.strip() in got[3] and got[4] == "other"
 
 
+def test_names_tell_by_what_a_thing_is():
+    gone = "site-footer page-header post-comments entry-comments user-comments commentSection cookieConsent google-ad ad-300x250 ad-slot global-nav share-tools site-notice related-posts related-articles teaser comment-body SITE_FOOTER sidebar".split()
+    kept = "related-work share-price has-sidebar no-comments entry-header article-header header ad-hoc commentary navy footerless menu-engineering content main-text author post-123 js-nav 300x250 a".split()
+    text = lambda body: [t for t, s in pages.page_lines(f"<body><article><p>one</p>{body}<p>two</p></article></body>") if s == pages.CONTENT]
+    for name in gone:
+        assert text(f'<div class="x {name}"><p>in</p></div>') == ["one", "two"], name
+    for name in kept:
+        assert text(f'<div class="x {name}"><p>in</p></div>') == ["one", "in", "two"], name
+    for attrs in ("hidden", "hidden=''", "HIDDEN=until-found", 'style="color:red; display : none"', "class=a hidden id=b", "style='visibility:hidden'"):
+        assert text(f"<div {attrs}><p>in</p></div>") == ["one", "two"], attrs
+    for attrs in ("data-hidden=1", 'title="hidden away"', 'style="display:block"', "class=hiddenly", "title='a > hidden'"):
+        assert text(f"<div {attrs}><p>in</p></div>") == ["one", "in", "two"], attrs
+    two = "<main><article><p>Story</p></article><article class='teaser'><p>Other story</p></article><article class='comment'><p>Nice</p></article></main>"
+    assert [t for t, s in pages.page_lines(two) if s == pages.CONTENT] == ["Story"]
+
+
 def test_pages_without_article_lose_shared_lines(spark):
     page = lambda own: f"<body><div>Welcome to the site</div><p>{own}</p><div>Contact us</div></body>"
     rows = [(1, "http://h/a/1", page("first"), "x"), (2, "http://h/a/2", page("second"), "x"), (3, "http://g/a/1", page("third"), "x"), (4, None, None, "x"), (5, "bad", "", "x"), (1, "http://h/a/1", page("first"), "x")]
