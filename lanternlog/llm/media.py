@@ -117,6 +117,37 @@ def header(data: bytes, at: int) -> tuple[int, int, int, int, int, int] | None:
     return (version, layer, kbit, hz, size, before) if size > before else None
 
 
+def protected(data: bytes, at: int, layer: int, before: int) -> bytes | None:
+    """What a frame's checksum covers besides the header's last two bytes: side information in layer III, the bit allocation in
+    layer I; null for layer II, whose extent depends on tables of allocations that aren't kept here."""
+    if layer == 3:
+        return data[at + 6 : at + before]
+    if layer == 1:
+        mode, bound = data[at + 3] >> 6, 4 * ((data[at + 3] >> 4 & 3) + 1)
+        return data[at + 6 : at + 6 + (16 if mode == 3 else (32 + bound) // 2 if mode == 1 else 32)]
+    return None
+
+
+def table_of(data: bytes, at: int, before: int, size: int) -> dict | None:
+    """The table of a variable-bitrate stream's first frame, if it holds one: its kind, the frames and bytes that it tells, null
+    where it doesn't, and the bytes after the frame's begin at which its seek points stand."""
+    if (kind := data[at + before : at + before + 4]) in (b"Xing", b"Info"):
+        flags, place, told = int.from_bytes(data[at + before + 4 : at + before + 8], "big"), at + before + 8, []
+        for flag in (1, 2):
+            told.append(int.from_bytes(data[place : place + 4], "big") if flags & flag else None)
+            place += 4 if flags & flag else 0
+        marks = data[place : place + 100] if flags & 4 and place + 100 <= at + size else b""
+        return {"kind": kind.decode().lower(), "frames": told[0], "bytes": told[1], "seek": [m * told[1] // 256 for m in marks] if told[1] is not None else []}
+    if data[at + 36 : at + 40] == b"VBRI" and size >= 62:
+        n_bytes, frames, entries, scale, width, _ = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
+        seek, upto = [], 0
+        for k in range(entries if 62 + entries * width <= size and width else 0):
+            seek.append(upto)
+            upto += scale * int.from_bytes(data[at + 62 + k * width : at + 62 + (k + 1) * width], "big")
+        return {"kind": "vbri", "frames": frames, "bytes": n_bytes, "seek": seek}
+    return None
+
+
 def _samples(version: int, layer: int) -> int:
     return 384 if layer == 1 else 1152 if layer == 2 or version == 3 else 576
 
@@ -140,19 +171,19 @@ def parse(data: bytes | None) -> dict:
     data = bytes(data or b"")
     start, end, found = tags(data)
     at, offsets, bad, checked, skipped, samples, kbits, first = start, [], 0, 0, 0, 0, {}, None
-    bodies, table_frames, synced = [], None, False
+    bodies, told, synced = [], None, False
     while at + 4 <= end:
         h = header(data, at)
         # A header counts if the frame is whole and either follows a frame or has a header, or the end, right after it.
         if h and at + h[4] <= end and (first is None or h[:2] == first[:2] and h[3] == first[3]) and (synced or at + h[4] == end or header(data, at + h[4])):
             version, layer, kbit, hz, size, before = h
             first = first or h
-            if not data[at + 1] & 1 and layer == 3:
+            if not data[at + 1] & 1 and (covered := protected(data, at, layer, before)) is not None:
                 checked += 1
-                bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + before]) != int.from_bytes(data[at + 4 : at + 6], "big")
-            if not offsets and table_frames is None and data[at + before : at + before + 4] in (b"Xing", b"Info"):
-                flags = int.from_bytes(data[at + before + 4 : at + before + 8], "big")
-                table_frames = int.from_bytes(data[at + before + 8 : at + before + 12], "big") if flags & 1 else -1
+                bad += crc16(data[at + 2 : at + 4] + covered) != int.from_bytes(data[at + 4 : at + 6], "big")
+            table = table_of(data, at, before, size) if not offsets and told is None else None
+            if table:
+                told = table
             else:
                 offsets.append(at)
                 samples += _samples(version, layer)
@@ -178,7 +209,10 @@ def parse(data: bytes | None) -> dict:
         "samples": samples,
         "seconds": samples / first[3] if first else 0.0,
         "bitrates": ",".join(f"{k}x{n}" for k, n in sorted(kbits.items())),
-        "table_frames": table_frames,
+        "table_kind": told and told["kind"],
+        "table_frames": told and (-1 if told["frames"] is None else told["frames"]),
+        "table_bytes": told and told["bytes"],
+        "table_seek": told["seek"] if told else [],
         "checked_frames": checked,
         "bad_checksums": bad,
         "skipped_bytes": skipped,
@@ -189,7 +223,7 @@ def parse(data: bytes | None) -> dict:
     }
 
 
-PARSED = "version string, layer int, sample_rate int, frames long, samples long, seconds double, bitrates string, table_frames long, checked_frames long, bad_checksums long, skipped_bytes long, tag_frames int, offsets array<long>, payload binary, payload_intact boolean"
+PARSED = "version string, layer int, sample_rate int, frames long, samples long, seconds double, bitrates string, table_kind string, table_frames long, table_bytes long, table_seek array<long>, checked_frames long, bad_checksums long, skipped_bytes long, tag_frames int, offsets array<long>, payload binary, payload_intact boolean"
 
 
 def store_payload(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
@@ -215,7 +249,8 @@ def probe_media(df: DataFrame, media: str = "media", parsed: str = "parsed") ->
 
 
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's padded text stored in MPEG frames, read back, with digests and stream features."""
+    """Every document's padded text stored in MPEG frames, read back, with digests, stream features, the exact duration and the
+    byte at which each frame begins. An empty table gives an empty result; only doc_id and text are read."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_b"))
     n = F.octet_length("_b")
     padded = docs.select(
@@ -237,4 +272,6 @@ def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
             "mpeg%s/layer%s %sHz frames=%s samples=%s kbit=%s table=%s checksums=%s/%s skipped=%s intact=%s last=%s",
             p.version, p.layer, p.sample_rate, p.frames, p.samples, p.bitrates, p.table_frames, p.checked_frames - p.bad_checksums, p.checked_frames, p.skipped_bytes, p.payload_intact, F.coalesce(F.try_element_at(p.offsets, F.lit(-1)), F.lit(-1)),
         ).alias("feature"),
+        p.seconds.alias("seconds"),
+        p.offsets.alias("offsets"),
     )

@@ -116,6 +116,36 @@ def test_media_round_trip_and_damage():
     assert media.parse(None)["frames"] == media.parse(b"noise")["frames"] == 0
 
 
+def test_media_tables_and_layers():
+    import struct
+
+    data = media.encode(b"x" * 9000)
+    got = media.parse(data)
+    frames = got["offsets"]
+    assert got["table_kind"] == "xing" and got["table_frames"] == len(frames) and got["seconds"] == got["samples"] / got["sample_rate"]
+    start = media.tags(data)[0]
+    assert got["table_bytes"] == len(data) - start and len(got["table_seek"]) == 100
+    assert all(abs(start + m - frames[min(len(frames) - 1, i * len(frames) // 100)]) <= got["table_bytes"] / 256 + 1 for i, m in enumerate(got["table_seek"]))
+    # A table of the other kind, in the first frame's body: frames, bytes and sizes of the stretches between seek points.
+    size = media.header(data, start)[4]
+    table = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 0, 7777, 42, 3, 2, 2, 1) + struct.pack(">HHH", 100, 50, 25)
+    vbri = data[: start + 6] + bytes(30) + table + bytes(size - 36 - len(table)) + data[start + size :]
+    other = media.parse(vbri)
+    assert (other["table_kind"], other["table_frames"], other["table_bytes"], other["table_seek"]) == ("vbri", 42, 7777, [0, 200, 300]) and other["frames"] == got["frames"]
+    # Layer I, whose checksum covers the bit allocation: plain stereo, joint stereo and mono.
+    for mode, covered in ((0x00, 32), (0x50, (32 + 8) // 2), (0xC0, 16)):
+        head = bytes((0xFF, 0xFE, 0x40, mode))
+        n = media.header(head + bytes(200), 0)[4]
+        body = bytes(range(n - 6))
+        frame = head + media.crc16(head[2:] + body[:covered]).to_bytes(2, "big") + body
+        good = media.parse(frame * 3)
+        assert (good["layer"], good["frames"], good["checked_frames"], good["bad_checksums"], good["samples"]) == (1, 3, 3, 0, 3 * 384)
+        wrong = bytearray(frame * 3)
+        wrong[6 + covered - 1] ^= 1
+        wrong[n + 6 + covered] ^= 1  # beyond what is covered
+        assert media.parse(bytes(wrong))["bad_checksums"] == 1
+
+
 def test_language_model(docs, no_docs):
     rows = lm.score_documents(docs).collect()
     tokens = [([*WORD.findall((r.text or "").translate({c: c + 32 for c in range(65, 91)})), "\n"], zlib.crc32(str(r.doc_id if r.doc_id is not None else "").encode()) % 7 == 2) for r in docs.collect()]
