@@ -10,6 +10,7 @@ from ..operators import activity as A
 from ..operators import fights as B
 from ..operators import merge as M
 from ..operators import roster as R
+from ..sources.sinks import export_named
 from .inputs import EVENTS_SQL, GAP, SESSIONS_SQL, epoch_us, events, table
 from .registry import query
 
@@ -266,7 +267,8 @@ def k3_additive_merge(spark, sf_dir):
 def a34_share_of_total(spark, sf_dir):
     """Each user's count as a share of the largest, by kind."""
     n = events(spark, sf_dir).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    return n.withColumn("most", F.max("n").over(W.partitionBy("event_type"))).select("event_type", "user_id", "n", F.expr("100 * n div most").alias("share"))
+    most = n.groupBy("event_type").agg(F.max("n").alias("most"))  # a row for each kind, met before the counts are dealt by kind
+    return n.join(most, "event_type").select("event_type", "user_id", "n", F.expr("100 * n div most").alias("share"))
 
 
 @query(f"""WITH {EVENTS_SQL}, r AS (SELECT event_type, event_id, t, row_number() OVER (PARTITION BY event_type ORDER BY t DESC, event_id DESC) AS n FROM ev)
@@ -341,6 +343,14 @@ def a35_fights(spark, sf_dir):
     return B.fight_rows(combat(spark, sf_dir), GAP).drop("dps")
 
 
+@query(f"""WITH {COMBAT_SQL} SELECT min(clock) AS "Start", CAST(arg_min(enemy, event_id) AS VARCHAR) AS "Fight", max(clock) - min(clock) AS "Duration s", round(coalesce(sum(cents) FILTER (WHERE kind = 'damage'), 0) / greatest(max(clock) - min(clock), 0.1), 1)::DOUBLE AS "DPS", CAST(coalesce(sum(cents) FILTER (WHERE kind = 'damage'), 0) AS BIGINT) AS "Damage",
+  CAST(coalesce(sum(cents) FILTER (WHERE kind = 'heal'), 0) AS BIGINT) AS "Healing", CAST(coalesce(sum(cents) FILTER (WHERE kind = 'tanking'), 0) AS BIGINT) AS "Taken", NULL AS "XP %", NULL AS "Coin (copper)" FROM fought GROUP BY user_id, fight""")
+def k10_fights_view(spark, sf_dir):
+    """The view of fights under its labels; what the role has nothing for is empty."""
+    rows = B.fight_rows(combat(spark, sf_dir), GAP)
+    return export_named(rows.select("start", F.col("name").cast("string").alias("name"), F.col("seconds").alias("duration"), "dps", F.col("damage").alias("total_damage"), F.col("healing").alias("total_healing"), F.col("tanking").alias("total_tanking")), "fights")
+
+
 @query(f"WITH {COMBAT_SQL} SELECT user_id AS character, fight, kind AS meter, CASE WHEN kind = 'tanking' THEN enemy ELSE actor END AS actor, CAST(sum(cents) AS BIGINT) AS total, count(*) AS hits FROM fought WHERE kind <> 'kill' GROUP BY 1, 2, 3, 4")
 def a35_meters(spark, sf_dir):
     """Damage and healing by actor and tanking by enemy in each fight."""

@@ -35,6 +35,13 @@ def t4_tumbling_windows(spark, sf_dir):
     return S.available_rows(S.window_counts(at, "at", "1 day", "2 hours", []), "update").groupBy("start").agg(F.max("n").alias("n"))
 
 
+@query(f"WITH {EVENTS_SQL} SELECT (t // 21600 - b) * 21600 AS start, count(*) AS n FROM ev, range(4) r(b) GROUP BY 1")
+def t4_sliding_windows(spark, sf_dir):
+    """Events of each day that begins every six hours, by a watermarked stream."""
+    at = event_stream(spark, sf_dir).withColumn("at", F.timestamp_seconds("t"))
+    return S.available_rows(S.window_counts(at, "at", "1 day", "2 hours", [], "6 hours"), "update").groupBy("start").agg(F.max("n").alias("n"))
+
+
 @query(f"WITH {EVENTS_SQL} SELECT user_id, event_id, t FROM ev")
 def t11_drop_replays(spark, sf_dir):
     """A stream that is fed twice keeps one row of each event."""

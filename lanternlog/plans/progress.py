@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import merge as M
 from ..operators import policies as P
 from ..sources import snapshots as N
+from ..sources.sinks import export_named
 from .inputs import EVENTS_SQL, epoch_us, events, table
 from .registry import query
 from .relations import STANDING_SQL, rollup, standings
@@ -139,6 +140,17 @@ def s7_inventory_places(spark, sf_dir):
     return items.select("path", "seq", "parent_seq", "sub_slot", "name_norm", "count", "is_empty", "is_exaltation", "upgrade_tier", "is_equipped", "parent_is_container")
 
 
+@query(f"""SELECT concat({DUMP_ROOT}, '-Slot', l_linenumber) AS "Location", CASE l_returnflag WHEN 'A' THEN 'Empty' WHEN 'N' THEN 'Gem (Exaltation)' ELSE 'Old Ring +2' END AS "Item", CAST(l_linenumber AS BIGINT) AS "Count", l_partkey AS "ID", CASE o_orderkey % 4 WHEN 0 THEN 'bags' WHEN 1 THEN 'bank' WHEN 2 THEN 'shared' ELSE 'worn' END AS "Section",
+  'Bag +' || (o_orderkey % 5) AS "In / on", CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS "Tier", CASE WHEN l_returnflag = 'N' THEN 'yes' ELSE 'no' END AS "Exaltation", CASE WHEN o_orderkey % 4 = 3 THEN 'yes' ELSE 'no' END AS "Worn", CASE WHEN l_returnflag = 'N' THEN 'yes' ELSE 'no' END AS "In item DB" FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
+def k10_inventory_view(spark, sf_dir):
+    """The view of what stands inside hosts, with the host's name, under its labels."""
+    items = N.inventory_rows(dumps(spark, sf_dir))
+    hosts = items.where("parent_seq IS NULL").select("path", F.col("seq").alias("parent_seq"), F.col("name").alias("host_name"))
+    inside = items.where("parent_seq IS NOT NULL").join(hosts, ["path", "parent_seq"])
+    shown = inside.withColumns({"section": X.section(F.col("root"), F.col("is_equipped")), "in_item_db": F.col("name_norm").isin("gem")})
+    return export_named(shown, "inventory")
+
+
 @query(f"WITH {DUMP_SQL} SELECT section, count(*) AS containers, CAST(sum(capacity) AS BIGINT) AS capacity, CAST(sum(used) AS BIGINT) AS used, CAST(sum(greatest(capacity - used, 0)) AS BIGINT) AS free FROM bags GROUP BY 1")
 def a19_section_space(spark, sf_dir):
     """Capacity, used and free places of all bags by section."""

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .sessions import apply_once, stream_folder
 
 
-def window_counts(events: DataFrame, at: str, width: str, late: str, by: list[str]) -> DataFrame:
-    """(start, by, n): events in each tumbling window of event time. Rows later than the watermark are dropped, as their window's
+def window_counts(events: DataFrame, at: str, width: str, late: str, by: list[str], slide: str | None = None) -> DataFrame:
+    """(start, by, n): events in each window of event time; windows tumble, or begin every `slide` and overlap. Rows later than the watermark are dropped, as their window's
     state is gone by then; a watermark that a batch raises does so two batches later. Use it in update mode and keep the largest n of each window."""
-    n = events.withWatermark(at, late).groupBy(F.window(at, width).alias("w"), *by).agg(F.count("*").alias("n"))
+    n = events.withWatermark(at, late).groupBy(F.window(at, width, slide).alias("w"), *by).agg(F.count("*").alias("n"))
     return n.select(F.unix_timestamp("w.start").alias("start"), *by, "n")
 
 

@@ -183,3 +183,23 @@ short\tline"""
     bags = snapshots.containers(items)
     assert sorted((r.seq, r.section, r.capacity, r.used, r.free, r.nested) for r in bags.collect()) == [(5, "bags", 4, 1, 3, False), (6, "bags", 2, 1, 1, True), (10, "bank", 1, 1, 0, False)]
     assert {(r.section, r.containers, r.free) for r in snapshots.section_space(bags).collect()} == {("bags", 2, 4), ("bank", 1, 0)}
+
+
+def test_sinks_replace_and_json(spark, tmp_path):
+    """Replaced partitions are those that have rows now; JSON keeps nulls out and types apart."""
+    import json
+
+    from lanternlog.sources.sinks import VIEWS, export_named, replace_partitions, write_json
+
+    rows = lambda *x: spark.createDataFrame(list(x), "who string, n long")
+    read = lambda: sorted((r.who, r.n) for r in spark.read.parquet(f"{tmp_path}/t").collect())
+    replace_partitions(rows(("a", 1), ("a", 2), ("b", 3)), f"{tmp_path}/t", ["who"])
+    replace_partitions(rows(("a", 9)), f"{tmp_path}/t", ["who"])
+    assert read() == [("a", 9), ("b", 3)]
+    replace_partitions(rows(), f"{tmp_path}/t", ["who"])
+    assert read() == [("a", 9), ("b", 3)]
+    write_json(rows(("é\n", 1), (None, 2)).coalesce(1), f"{tmp_path}/j")
+    said = [json.loads(x) for f in (tmp_path / "j").glob("part-*") for x in f.read_text("utf-8").splitlines()]
+    assert sorted(said, key=lambda r: r["n"]) == [{"who": "é\n", "n": 1}, {"n": 2}]
+    view = export_named(spark.sql("select 'Ring' as item, timestamp'2026-01-02 03:04:05' as ts, 5 as other"), "merges")
+    assert view.columns == ["When", "Result", "Tier"] and tuple(view.first()) == ("2026-01-02 03:04:05", "Ring", None) and len(VIEWS) == 12
