@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..workers import reach
+
 SCHEMA = "path string, offset long, next long, line string, reset boolean"
 IDENTITY_BYTES = 512
 #: Bytes of a task's range, of a read inside it, and of a row batch that it hands over.
@@ -211,12 +213,12 @@ class LogTail(DataSource):
 
 def tail(spark, path: str, split: int = SPLIT):
     """The stream of a log file or folder."""
-    spark.dataSource.register(LogTail)
+    reach(spark).dataSource.register(LogTail)
     return spark.readStream.format("log_tail").option("path", path).option("split", split).load()
 
 
 def landed(spark, path: str, below: dict[str, int] | None = None, split: int = SPLIT):
     """The same rows of what stands in the files now; below: only those before the given byte of each file named."""
-    spark.dataSource.register(LogTail)
+    reach(spark).dataSource.register(LogTail)
     reader = spark.read.format("log_tail").option("path", path).option("split", split)
     return (reader if below is None else reader.option("below", json.dumps(below))).load()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..workers import reach
+
 #: Event rows: character, the line's order, seconds, what it is (craft, notice or skill), its item or skill.
 EVENTS = "user_id long, event_id long, t long, kind string, item long, skill long"
 LINKED = "user_id long, event_id long, capped boolean, voter long, voted_item long"
@@ -17,7 +19,7 @@ OPEN = "user_id long, craft_item long, craft_t long, notice_t long, wait_skill l
 
 def keep_state_in_files(spark: SparkSession) -> None:
     """State of several values needs the store that keeps it in files rather than in the JVM's heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    reach(spark).conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def in_order(batches: Iterator[pd.DataFrame], order: str = "event_id") -> pd.DataFrame:
