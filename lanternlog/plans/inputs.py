@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import reach
+
 #: Gap that parts sessions in the queries over `events`, whose users act every few hours.
 GAP = 21600
 #: Event types by role.
@@ -12,7 +14,7 @@ ROLE = {"view": "zone", "click": "damage", "purchase": "loot", "signup": "skill"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def epoch_us(ts: str) -> Column:

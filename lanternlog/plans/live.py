@@ -16,7 +16,7 @@ from .registry import query
 
 
 def event_stream(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    schema = table(spark, sf_dir, "events").schema
     folder = sf_dir.rstrip("/")
     files = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")
     return files.select("user_id", "event_id", F.floor(epoch_us("ts") / 1000000).cast("long").alias("t"))
