@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -372,20 +372,28 @@ PAGES_SQL = """st AS (SELECT p_partkey AS id, concat(p_name, ' ', p_partkey) AS
 
 
 def pages_batch(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    st = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_partkey").alias("name"), F.col("p_size").alias("size"))
-    return st, st.where("size > 30").withColumn("size", F.col("size") + 100).union(st.where("size < 15").withColumn("id", F.col("id") + 1000000))
+    """Stored pages and the batch, under keys that tell new pages from stored ones: a new page's number may be that of a stored one."""
+    key = lambda new: F.struct(F.lit(new).alias("new"), F.col("p_partkey").alias("id")).alias("key")
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("name"), F.col("p_size").alias("size"))
+    st = parts.select(key(False), "name", "size")
+    return st, st.where("size > 30").withColumn("size", F.col("size") + 100).union(parts.where("size < 15").select(key(True), "name", "size"))
+
+
+def page_id() -> Column:
+    """The number that is shown for a page's key."""
+    return F.when(F.col("key.new"), F.col("key.id") + 1000000).otherwise(F.col("key.id")).alias("id")
 
 
 @query(f"WITH {PAGES_SQL} SELECT * FROM pg UNION ALL SELECT * FROM st WHERE size BETWEEN 15 AND 30")
 def m5_page_upsert(spark, sf_dir):
-    return P.upsert_pages(*pages_batch(spark, sf_dir), "id", "name")
+    return P.upsert_pages(*pages_batch(spark, sf_dir), "key", "name").select(page_id(), "name", "size")
 
 
 @query(f"WITH {PAGES_SQL} SELECT id, 'fresh' AS step FROM pg UNION ALL SELECT l_partkey, l_returnflag FROM lineitem JOIN st ON id = l_partkey WHERE size BETWEEN 15 AND 30")
 def m5_child_replace(spark, sf_dir):
     st, pg = pages_batch(spark, sf_dir)
-    steps = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("step"))
-    return P.replace_children(steps, pg.select("id", F.lit("fresh").alias("step")), st, pg, "id", "name")
+    steps = table(spark, sf_dir, "lineitem").select(F.struct(F.lit(False).alias("new"), F.col("l_partkey").alias("id")).alias("key"), F.col("l_returnflag").alias("step"))
+    return P.replace_children(steps, pg.select("key", F.lit("fresh").alias("step")), st, pg, "key", "name").select(page_id(), "step")
 
 
 @query("""WITH s AS (SELECT o_custkey AS k, o_orderkey AS seq, o_orderpriority = '2-HIGH' AS weapon FROM orders WHERE o_orderstatus <> 'P'),

@@ -84,3 +84,15 @@ def test_prefixes_match_as_plain_strings(spark):
     for k in keys:
         near = [g for g in guides if k and (g.startswith(k) or k.startswith(g))]
         assert got[k] == (k if k in guides else near[0] if len(near) == 1 else None), k
+
+
+@pytest.mark.parametrize("name", ["m5_child_replace", "m5_page_upsert"])
+def test_new_page_under_a_stored_number(spark, tmp_path, name):
+    """Parts whose numbers lie 1,000,000 apart: a new page gets the number of a stored one, which stays."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT CAST(k + d AS BIGINT) AS p_partkey, 'p' AS p_name, CAST(CASE d WHEN 0 THEN 10 ELSE 10 + 10 * k END AS INT) AS p_size FROM range(4) a(k), (VALUES (0), (1000000)) b(d)")
+    con.execute("CREATE TABLE lineitem AS SELECT p_partkey AS l_partkey, 'A' AS l_returnflag FROM part")
+    for t in ("part", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())
