@@ -327,10 +327,10 @@ def w11_greedy_allocation(spark, sf_dir):
     """Each customer's orders, the dearest first, draw on one stock of the customer: an order is served only if all its lines are
     covered. The stock of a part is half of what the customer's orders want of it."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("pool"), F.row_number().over(W.partitionBy("o_custkey").orderBy(F.col("o_totalprice").desc(), "o_orderkey")).cast("long").alias("priority"), (F.col("o_orderstatus") != "F").alias("open"))
-    want = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("alias")).agg(F.sum("l_quantity").cast("long").alias("want"))
-    needs = o.join(want, "o_orderkey")
-    stock = needs.groupBy("pool", "alias").agg(F.expr("sum(want) div 2").alias("have"))
-    return L.greedy_allocation(needs.join(stock, ["pool", "alias"]).select("pool", F.col("o_orderkey").alias("row"), "priority", "open", "alias", "want", "have"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("alias"), "l_quantity")
+    want = lines.repartition("o_orderkey").groupBy("o_orderkey", "alias").agg(F.sum("l_quantity").cast("long").alias("want"))
+    needs = o.join(want, "o_orderkey").select("pool", F.col("o_orderkey").alias("row"), "priority", "open", "alias", "want").repartition("pool")
+    return L.greedy_allocation(needs.withColumn("have", F.expr("sum(want) OVER (PARTITION BY pool, alias) div 2")))
 
 
 @query("SELECT l_partkey, CAST(sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN l_returnflag = 'N' THEN l_quantity ELSE 0 END) AS BIGINT) AS n, CAST(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT) AS r FROM lineitem GROUP BY 1")

@@ -107,3 +107,18 @@ def test_session_window_at_its_bounds(spark, tmp_path):
     df = QUERIES["t2_session_window"](spark, str(tmp_path))
     expected = sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL['t2_session_window']})").fetchall())
     assert len(expected) == 7 and sorted(tuple(r) for r in df.collect()) == expected
+
+
+def test_allocation_streams_a_pool_over_batches(spark):
+    """One pool's rows come in several batches, and a task holds what is left of the stock only; missing numbers serve no one."""
+    from lanternlog.operators import allocate
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        needs = spark.range(60).selectExpr("CAST(NULL AS LONG) AS pool", "id AS row", "60 - id AS priority", "true AS open", "id % 2 AS alias", "1L AS want", "CASE id % 2 WHEN 0 THEN 20L END AS have")
+        out = allocate.greedy_allocation(needs)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.row: r.served for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {i: i % 2 == 0 and i >= 20 for i in range(60)}
