@@ -87,14 +87,17 @@ def depot_estimate(events: DataFrame, keys: list[str], order: str, deposited: Co
     )
 
 
-def nearest_preceding_host(rows: DataFrame, keys: list[str], order: str, is_host: Column, host_location: Column, child_location: Column) -> DataFrame:
-    """Adds host: the order of the nearest row before it that stands at the location a row names as its parent."""
-    located = rows.withColumn("_at", F.when(is_host, host_location)).withColumn("_of", child_location)
-    hosts = located.where(F.col("_at").isNotNull()).select(*keys, F.col("_at").alias("_where"), F.col(order).alias("_seq"), F.col(order).alias("_host"), F.lit(None).cast("long").alias("_child"))
-    children = located.where(F.col("_of").isNotNull()).select(*keys, F.col("_of").alias("_where"), F.col(order).alias("_seq"), F.lit(None).cast("long").alias("_host"), F.col(order).alias("_child"))
-    w = W.partitionBy(*keys, "_where").orderBy("_seq", F.col("_child").isNull()).rowsBetween(W.unboundedPreceding, -1)
-    found = hosts.unionByName(children).withColumn("host", F.last("_host", ignorenulls=True).over(w)).where("_child IS NOT NULL")
-    return located.join(found.select(*keys, F.col("_child").alias(order), "host"), [*keys, order], "left").drop("_at", "_of")
+def nearest_preceding_host(rows: DataFrame, keys: list[str], order: str, is_host: Column, host_location: Column, child_location: Column, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Adds host: the order of the nearest row before it that stands at the location a row names as its parent; columns `carried`
+    of that row come with it as host_<name>. A row stands as a child and, where it may be one, as a host under one window, so
+    nothing is joined, and rows that are dealt by their keys already stay where they are."""
+    child = F.struct(F.lit(True).alias("child"), child_location.alias("where"))
+    host = F.struct(F.lit(False).alias("child"), F.when(is_host, host_location).alias("where"))
+    roles = F.explode(F.filter(F.array(child, host), lambda r: r.child | r.where.isNotNull()))
+    w = W.partitionBy(*keys, "_role.where").orderBy(order, F.desc("_role.child")).rowsBetween(W.unboundedPreceding, -1)
+    before = F.last(F.when(~F.col("_role.child"), F.struct(F.col(order).alias("_seq"), *carried)), ignorenulls=True).over(w)
+    found = rows.withColumn("_role", roles).withColumn("_before", before).where("_role.child")
+    return found.select(*rows.columns, F.col("_before._seq").alias("host"), *(F.col("_before")[c].alias(f"host_{c}") for c in carried))
 
 
 def rate(value: Column, hours: Column, least_hours: float = 0.1) -> Column:

@@ -144,9 +144,7 @@ def s7_inventory_places(spark, sf_dir):
   'Bag +' || (o_orderkey % 5) AS "In / on", CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END AS "Tier", CASE WHEN l_returnflag = 'N' THEN 'yes' ELSE 'no' END AS "Exaltation", CASE WHEN o_orderkey % 4 = 3 THEN 'yes' ELSE 'no' END AS "Worn", CASE WHEN l_returnflag = 'N' THEN 'yes' ELSE 'no' END AS "In item DB" FROM lineitem JOIN orders ON o_orderkey = l_orderkey""")
 def k10_inventory_view(spark, sf_dir):
     """The view of what stands inside hosts, with the host's name, under its labels."""
-    items = N.inventory_rows(dumps(spark, sf_dir))
-    hosts = items.where("parent_seq IS NULL").select("path", F.col("seq").alias("parent_seq"), F.col("name").alias("host_name"))
-    inside = items.where("parent_seq IS NOT NULL").join(hosts, ["path", "parent_seq"])
+    inside = N.inventory_rows(dumps(spark, sf_dir)).where("parent_seq IS NOT NULL")
     shown = inside.withColumns({"section": X.section(F.col("root"), F.col("is_equipped")), "in_item_db": F.col("name_norm").isin("gem")})
     return export_named(shown, "inventory")
 

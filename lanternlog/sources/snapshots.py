@@ -76,44 +76,48 @@ def not_dumps(rows: DataFrame) -> DataFrame:
 
 def inventory_rows(rows: DataFrame) -> DataFrame:
     """Items of dump lines (path, line_no, line), one a row: path, seq (the line), location, root, parent_location, parent_seq, sub_slot,
-    name, name_norm, item_id, count, slots, is_empty, is_exaltation, upgrade_tier, is_equipped and parent_is_container.
+    name, name_norm, item_id, count, slots, is_empty, is_exaltation, upgrade_tier, is_equipped, parent_is_container and host_name.
 
     A line has five fields, or three in a section of keys; headers inside the file and lines with other numbers are skipped. A
     place inside another names it: the nearest line before with that location is its host, as paired places repeat. A host is a
-    bag if it has slots other than those of sockets, or a child whose number no socket has; else its children are sockets."""
-    f = F.split("line", "\t")
-    at = lambda k: F.trim(F.try_element_at(f, F.lit(k)))
+    bag if it has slots other than those of sockets, or a child whose number no socket has; else its children are sockets.
+    A file's lines meet once, in one shuffle."""
+    at = lambda k: F.trim(F.try_element_at("_f", F.lit(k)))
     number = lambda k: at(k).try_cast("long")
     wrong = lambda k: (F.coalesce(at(k), F.lit("")) != "") & number(k).isNull()
-    dumps = rows.join(not_dumps(rows), "path", "left_anti").where("line_no > 0")
-    kept = dumps.where(number(3).isNotNull() & ~wrong(4) & ~wrong(5))
     of = lambda pattern, k=1: F.nullif(F.regexp_extract("location", pattern, k), F.lit(""))
+    other = F.when((F.col("line_no") == 0) & ~F.col("line").startswith("Location\t"), True)
+    read = rows.select("path", "line_no", F.split("line", "\t").alias("_f"), other.alias("_other"))
+    kept = read.withColumn("_other", F.max("_other").over(W.partitionBy("path"))).where("_other IS NULL AND line_no > 0").where(number(3).isNotNull() & ~wrong(4) & ~wrong(5))
     items = kept.select("path", F.col("line_no").alias("seq"), at(1).alias("location"), at(2).alias("name"), number(3).alias("item_id"), F.coalesce(number(4), F.lit(1)).alias("count"), F.coalesce(number(5), F.lit(0)).alias("slots"))
-    items = items.withColumns({
+    items = items.withColumn("parent_location", of(r"^(.*)-(?:Slot|Depot)[0-9]+$"))
+    hosted = nearest_preceding_host(items, ["path"], "seq", F.lit(True), F.col("location"), F.col("parent_location"), ("slots", "name")).withColumnRenamed("host", "parent_seq")
+    hosted = hosted.withColumn("sub_slot", of(r"-Slot([0-9]+)$").cast("int"))
+    place = reduce(lambda x, y: x | y, (F.col("sub_slot").between(a, b) for a, b in BAG_PLACES))
+    told = F.max(F.coalesce(place, F.lit(False))).over(W.partitionBy("path", "parent_seq"))
+    bags = hosted.withColumn("parent_is_container", F.when(F.col("parent_seq").isNotNull(), ~F.col("host_slots").isin(*SOCKETS) | told))
+    return bags.drop("host_slots").withColumns({
         "root": F.regexp_replace("location", r"(-(Slot|Depot)[0-9]+)+$", ""),
-        "parent_location": of(r"^(.*)-(?:Slot|Depot)[0-9]+$"),
-        "sub_slot": of(r"-Slot([0-9]+)$").cast("int"),
         "name_norm": normalize_name(F.col("name")),
         "is_empty": F.col("name") == "Empty",
         "is_exaltation": F.col("name").endswith(" (Exaltation)"),
         "upgrade_tier": F.coalesce(F.nullif(F.regexp_extract("name", r"\s\+([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0)),
-    })
-    items = items.withColumn("is_equipped", F.col("root").isin(*WORN_ROOTS))
-    hosted = nearest_preceding_host(items, ["path"], "seq", F.lit(True), F.col("location"), F.col("parent_location")).withColumnRenamed("host", "parent_seq")
-    place = reduce(lambda x, y: x | y, (F.col("sub_slot").between(a, b) for a, b in BAG_PLACES))
-    told = hosted.where("parent_seq IS NOT NULL").groupBy("path", F.col("parent_seq").alias("_host")).agg(F.max(F.coalesce(place, F.lit(False))).alias("_place"))
-    bags = told.join(items.select("path", F.col("seq").alias("_host"), F.col("slots").alias("_slots")), ["path", "_host"])
-    bags = bags.select("path", F.col("_host").alias("parent_seq"), (~F.col("_slots").isin(*SOCKETS) | F.col("_place")).alias("parent_is_container"))
-    return hosted.join(bags, ["path", "parent_seq"], "left")
+    }).withColumn("is_equipped", F.col("root").isin(*WORN_ROOTS))
 
 
 def containers(items: DataFrame) -> DataFrame:
     """(path, seq, location, root, name, section, capacity, used, free, nested) of the bags among inventory_rows: a bag without a
-    number of slots holds as many places as it shows; an empty place is no bag."""
-    inside = items.where("parent_is_container").groupBy("path", F.col("parent_seq").alias("seq")).agg(F.count("*").alias("_shown"), F.count_if(~F.col("is_empty")).alias("used"))
-    hosts = items.where("NOT is_empty").select("path", "seq", "location", "root", "name", "slots", "is_equipped", F.col("parent_location").isNotNull().alias("nested"))
-    capacity = F.when(F.col("slots") > 0, F.col("slots")).otherwise(F.col("_shown"))
-    both = hosts.join(inside, ["path", "seq"]).withColumn("capacity", capacity)
+    number of slots holds as many places as it shows; an empty place is no bag. An item stands as itself and as its bag's."""
+    itself = F.when(~F.col("is_empty"), F.struct(F.col("seq").alias("seq"), F.lit(True).alias("itself")))
+    inside = F.when(F.col("parent_is_container"), F.struct(F.col("parent_seq").alias("seq"), F.lit(False).alias("itself")))
+    roles = items.withColumn("nested", F.col("parent_location").isNotNull()).withColumn("_role", F.explode(F.filter(F.array(itself, inside), lambda r: r.isNotNull())))
+    shown = ["location", "root", "name", "slots", "is_equipped", "nested"]
+    bags = roles.groupBy("path", F.col("_role.seq").alias("seq")).agg(
+        F.first(F.when(F.col("_role.itself"), F.struct(*shown)), ignorenulls=True).alias("_bag"),
+        F.count_if(~F.col("_role.itself")).alias("_shown"),
+        F.count_if(~F.col("_role.itself") & ~F.col("is_empty")).alias("used"),
+    ).where("_bag IS NOT NULL AND _shown > 0").select("path", "seq", "_bag.*", "_shown", "used")
+    both = bags.withColumn("capacity", F.when(F.col("slots") > 0, F.col("slots")).otherwise(F.col("_shown")))
     free = F.greatest(F.lit(0), F.col("capacity") - F.col("used"))
     return both.select("path", "seq", "location", "root", "name", section(F.col("root"), F.col("is_equipped")).alias("section"), "capacity", "used", free.alias("free"), "nested")
 

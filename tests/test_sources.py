@@ -180,6 +180,8 @@ short\tline"""
     assert got[4] == ("Ear", 3, 1, True, False, 0, True, False) and got[8] == ("General 1", 6, 12, True, False, 0, False, True) and got[7][7] is True
     assert got[12] == ("Bank1", 10, 4, False, False, 0, False, True) and 11 not in got and 14 not in got and 16 not in got
     assert got[13] == ("Personal", None, None, False, False, 0, False, None) and got[15][0] == "KeyRing"
+    assert {r.seq: r.host_name for r in items.collect() if r.seq in (1, 7, 8, 12)} == {1: None, 7: "Pouch*", 8: "Pouch*", 12: "Box"}
+    assert "Join" not in items._jdf.queryExecution().optimizedPlan().toString() and "Join" not in snapshots.containers(items)._jdf.queryExecution().optimizedPlan().toString()
     bags = snapshots.containers(items)
     assert sorted((r.seq, r.section, r.capacity, r.used, r.free, r.nested) for r in bags.collect()) == [(5, "bags", 4, 1, 3, False), (6, "bags", 2, 1, 1, True), (10, "bank", 1, 1, 0, False)]
     assert {(r.section, r.containers, r.free) for r in snapshots.section_space(bags).collect()} == {("bags", 2, 4), ("bank", 1, 0)}
