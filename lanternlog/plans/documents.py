@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pages, wiki
 from ..functions import text as X
 from ..sources.log import FIELDS, keep_members, parse_events
-from .inputs import cents, table
+from .inputs import cents, spread, table
 from .registry import query
 
 
@@ -90,7 +90,8 @@ NAME = "'  ' || p_name || '`s  Ring' || CASE WHEN p_partkey % 3 = 0 THEN ' +' ||
 
 
 def parts(spark, sf_dir):
-    return table(spark, sf_dir, "part")
+    """Parts whose texts are composed and read, in tasks enough for all cores."""
+    return spread(table(spark, sf_dir, "part"))
 
 
 @query(f"SELECT p_partkey, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({NAME}), ' \\(Exaltation\\)$', ''), '\\s*\\+[0-9]+$', ''), '[''’`]', '', 'g'), '\\*+$', ''), '\\s+', ' ', 'g'))) AS norm FROM part")
@@ -315,7 +316,7 @@ def d12_class_tests(spark, sf_dir):
 def d12_whole_or_bundled(spark, sf_dir):
     """The synced tests, as all of them are whole; the bundled ones otherwise."""
     rows = pages.class_tests(parts(spark, sf_dir).select("p_partkey", F.expr(TESTED).alias("text")), "text", "Tests").withColumn("origin", F.lit("synced"))
-    classes = tuple(r[0] for r in rows.select("cls").distinct().collect())  # as many as there are part types
+    classes = tuple(r[0] for r in table(spark, sf_dir, "part").where("p_type IS NOT NULL").select("p_type").distinct().collect())  # part types are the known classes
     return pages.whole_tests(rows, rows.withColumn("origin", F.lit("bundled")), classes).select("p_partkey", "origin")
 
 

@@ -13,7 +13,7 @@ from ..operators import merge as M
 from ..operators import policies as P
 from ..sources import snapshots as N
 from ..sources.sinks import export_named
-from .inputs import EVENTS_SQL, epoch_us, events, table
+from .inputs import EVENTS_SQL, epoch_us, events, spread, table
 from .registry import query
 from .relations import STANDING_SQL, rollup, standings
 
@@ -209,7 +209,7 @@ EFFECT = "concat(CASE p_size % 6 WHEN 0 THEN 'Focus Effect: ' WHEN 5 THEN 'Skill
 
 @query("SELECT p_partkey, ['focus', 'proc', 'worn', 'click', 'worn', NULL][p_size % 6 + 1] AS type, CASE WHEN p_size % 6 <> 5 THEN p_name || ' IV' END AS name, CASE WHEN p_size % 6 <> 5 THEN p_name END AS family, CASE WHEN p_size % 6 <> 5 THEN 4 END AS tier FROM part")
 def d3_effect_line(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", X.effect_line(F.expr(EFFECT)).alias("e")).select("p_partkey", "e.*")
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", X.effect_line(F.expr(EFFECT)).alias("e")).select("p_partkey", "e.*")
 
 
 # Filters, flags and sorts.

@@ -122,3 +122,10 @@ def test_allocation_streams_a_pool_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: i % 2 == 0 and i >= 20 for i in range(60)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", ["d3_effect_line", "d4_item_pages", "d7_quests", "d12_whole_or_bundled", "d13_tooltips", "d14_result_rows"])
+def test_texts_are_read_in_tasks_for_all_cores(spark, name):
+    """A small file is one task; the texts composed from its rows are dealt to more."""
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 4
