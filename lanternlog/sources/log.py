@@ -8,9 +8,10 @@ marked inferred follow examples only. Lines that are no event have a null type.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -166,6 +167,7 @@ def compile_template(said: str) -> tuple[str, str, list[str]]:
 RULES = [(kind, *compile_template(said), fixed) for kind, said, fixed in SAID]
 _COMPILED = [(kind, gate, re.compile(pattern), slots, fixed) for kind, gate, pattern, slots, fixed in RULES]
 _INTS = {k for k, t in FIELDS.items() if t in ("int", "long")}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
 _PRICE, _WORTH = re.compile(r"([0-9]+) (platinum|gold|silver|copper)"), dict(COINS)
 
 
@@ -194,21 +196,32 @@ def rule_of(text: str) -> tuple | None:
     return None
 
 
-_LINE = re.compile(r"\[[^\]]{24}\] (.*?)\s*$")
+#: Bytes before what a line says: the stamp in brackets and a space.
+_STAMP = 27
+
+
+def said_of(line: str | None) -> str | None:
+    """What a stamped line says, without white space at its end; None if it isn't one line with a stamp."""
+    if not line or line[0] != "[" or line.find("]") != _STAMP - 2 or line[_STAMP - 1 : _STAMP] != " ":
+        return None
+    said = line[_STAMP:].rstrip()
+    return None if "\n" in said else said
 
 
 def event_of(line: str | None) -> dict | None:
     """Type and fields of one line, or None if it is no event."""
-    m = _LINE.match(line or "")
-    found = rule_of(m[1]) if m and m[1] else None
+    said = said_of(line)
+    found = rule_of(said) if said else None
     if not found:
         return None
     kind, slots, fixed, got = found
-    e = {"type": kind} | {k: v for k, v in zip(slots, got.groups(), strict=True) if v} | fixed
+    e = {"type": kind}
+    for k, v in zip(slots, got.groups(), strict=True):
+        if v:
+            e[k] = int(v) if k in _INTS else v
+    e |= fixed
     if "price" in e:  # a price that can't be read counts as none
         e["copper"] = sum(int(n) * _WORTH[coin] for n, coin in _PRICE.findall(e.pop("price")))
-    for k in _INTS & e.keys():
-        e[k] = int(e[k])
     if kind == "loot":
         e.setdefault("qty", 1)
     elif kind == "xp":
@@ -222,11 +235,23 @@ def event_of(line: str | None) -> dict | None:
 
 
 def _type_of(line: str | None) -> str | None:
-    m = _LINE.match(line or "")
-    found = rule_of(m[1]) if m and m[1] else None
+    said = said_of(line)
+    found = rule_of(said) if said else None
     return found and found[0]
 
 
+def event_columns(lines: list[str | None], kinds: Iterable[str]) -> dict[str, list]:
+    """Values of the wanted fields for each of the lines; a field that no line has is left out."""
+    kinds, columns = set(kinds), {}
+    for i, line in enumerate(lines):
+        for k, v in (event_of(line) or {}).items() if line else ():
+            if k in kinds:
+                if k not in columns:
+                    columns[k] = [None] * len(lines)
+                columns[k][i] = v
+    return columns
+
+
 def gate_of(line: Column, types: list[str] | None = None) -> Column:
     """Whether a line holds the longest fixed part of a rule, of all types or of some: what passes no gate is no such event."""
     gates = sorted({gate for kind, gate, *_ in RULES if types is None or kind in types})
@@ -241,21 +266,24 @@ def parse_events(lines: DataFrame, line: str = "line", types: list[str] | None =
     built-in expressions; the others come to the grammar in Arrow batches, since as column expressions some forty templates with
     thirty fields outgrow what the planner compiles."""
     kinds = {"type": "string"} | {k: t for k, t in FIELDS.items() if fields is None or k in fields}
-    null_type = {"string": object, "int": "Int32", "long": "Int64", "double": "Float64", "boolean": "boolean"}
 
-    @F.pandas_udf("string")
-    def typed(said: pd.Series) -> pd.Series:
-        return pd.Series([_type_of(x) for x in said], dtype=object)
+    @F.arrow_udf("string")
+    def typed(said: pa.Array) -> pa.Array:
+        return pa.array([_type_of(x) for x in said.to_pylist()], pa.string())
 
-    @F.pandas_udf(", ".join(f"{k} {t}" for k, t in kinds.items()))
-    def parsed(said: pd.Series) -> pd.DataFrame:
-        events = [event_of(x) or {} for x in said]
-        return pd.DataFrame({k: pd.array([e.get(k) for e in events], dtype=null_type[t]) if t != "string" else [e.get(k) for e in events] for k, t in kinds.items()})
+    @F.arrow_udf(", ".join(f"{k} {t}" for k, t in kinds.items()))
+    def parsed(said: pa.Array) -> pa.Array:
+        found = event_columns(said.to_pylist(), kinds)
+        made = [pa.array(found[k], _ARROW[t]) if k in found else pa.nulls(len(said), _ARROW[t]) for k, t in kinds.items()]
+        return pa.StructArray.from_arrays(made, list(kinds))
 
+    # A filter on what the grammar finds must not be pushed below it, as lines would be parsed for the filter and once more for
+    # the columns; past an expression that may vary Spark pushes none.
+    parse = (typed if len(kinds) == 1 else parsed).asNondeterministic()
     own = ("ts", "type", *FIELDS)
     kept = [c for c in lines.columns if c not in own]
     said = F.when(gate_of(F.col(line), types), F.col(line))
-    out = lines.select(*kept, log_timestamp(F.col(line)).alias("ts"), (typed if len(kinds) == 1 else parsed)(said).alias("_e"))
+    out = lines.select(*kept, log_timestamp(F.col(line)).alias("ts"), parse(said).alias("_e"))
     out = out.withColumnRenamed("_e", "type") if len(kinds) == 1 else out.select("*", "_e.*").drop("_e")
     return out if types is None else out.where(F.col("type").isin(types))
 

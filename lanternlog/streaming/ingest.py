@@ -30,11 +30,12 @@ def apply_batch(tables: CommittedTables, batch: DataFrame, name: str, parse: Par
     """One micro-batch as one commit: events, places, and cuts for logs that began afresh. What is collected is a path for each
     such log."""
     batch.persist()
+    by_path = batch.groupBy("path").agg(F.max("next").alias("next"), F.bool_or("reset").alias("reset")).persist()  # a row for each log
     try:
-        afresh = sorted(r.path for r in batch.where("reset").select("path").distinct().collect())
-        places = batch.groupBy("path").agg(F.max("next").alias("next"))
-        return tables.commit(name, {"events": events_of(batch, parse), "places": places}, {"path": afresh})
+        afresh = sorted(r.path for r in by_path.where("reset").select("path").collect())
+        return tables.commit(name, {"events": events_of(batch, parse), "places": by_path.select("path", "next")}, {"path": afresh})
     finally:
+        by_path.unpersist()
         batch.unpersist()
 
 

@@ -2,6 +2,8 @@
 
 from lanternlog.sources import log, snapshots
 from lanternlog.sources.sinks import export_view, write_csv
+from lanternlog.streaming import ingest
+from pyspark.sql import functions as F
 
 STAMP = "[Fri Jul 31 18:38:02 2026] "
 LINES = [
@@ -53,6 +55,19 @@ def test_grammar(spark, tmp_path):
         assert str(r.ts) == "2026-07-31 18:38:02"
 
 
+def test_a_filter_on_the_type_parses_each_line_once(spark):
+    """The filter comes after the grammar; pushed below it, every line would be parsed once more for it."""
+    lines = spark.createDataFrame([(STAMP + said,) for said, _, _ in LINES], "line string").withColumns({"path": F.lit("a"), "offset": F.lit(0).cast("long")})
+    for found in (ingest.events_of(lines), log.parse_events(lines, types=["loot"]), log.parse_events(lines, fields=[]).where("type IS NOT NULL")):
+        assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+        assert found.count() > 0
+
+
+def test_what_a_line_says():
+    for line, said in ((STAMP + " a b \t", " a b"), (STAMP, ""), (STAMP + "a\n", "a"), (STAMP + "a\nb", None), (STAMP[:-1] + "a", None), ("[" + STAMP, None), ("[a]" + STAMP, None), ("", None), (None, None)):
+        assert log.said_of(line) == said, repr(line)
+
+
 def test_members_only(spark):
     said = [(i, STAMP + t) for i, t in enumerate(("Ann tries to slash a toad, but misses!", "Zed tries to slash a toad, but misses!", "You have slain a toad!", "hello"))]
     roster = spark.createDataFrame([("Ann",)], "name string")
