@@ -5,6 +5,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lanternlog.operators import activity as A
@@ -158,6 +159,40 @@ def test_links_across_batches_equal_the_batch(spark, tmp_path):
     assert shown(got) == batch_links(spark, rows) and any(r.capped for r in got) and any(r.voter is not None for r in got)
 
 
+class Value:
+    """A state's value that counts its calls."""
+
+    def __init__(self):
+        self.value, self.calls = None, []
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+
+def test_links_take_rows_and_write_only_what_changed():
+    """No frame is made for a character, and a state that a batch leaves as it was isn't written again."""
+    row, tracker, kept = Row("user_id", "event_id", "t", "kind", "item", "skill"), K.CraftLinks(5), {}
+    tracker.init(type("Handle", (), {"getValueState": lambda self, name, schema: kept.setdefault(name, Value())})())
+    got = list(tracker.handleInputRows((1,), iter([row(1, 3, 11, "craft", 4, 0), row(1, 2, 10, "skill", 0, 6), row(1, 4, 12, "notice", 0, 0)]), None))
+    assert [tuple(r) for r in got] == [(1, 2, None, None, None), (1, 3, False, 6, None)] and got[0].event_id == 2
+    assert {n: (v.value, v.calls) for n, v in kept.items()} == {"craft": ((4, 11), ["get", "update"]), "notice": ((12,), ["get", "update"]), "waiting": (None, ["get"])}
+    assert [tuple(r) for r in tracker.handleInputRows((1,), iter([row(1, 5, 13, "skill", 0, 8)]), None)] == [(1, 5, None, None, 4)]
+    assert [len(v.calls) for v in kept.values()] == [3, 3, 2]  # one more get each
+
+
 def test_links_go_on_from_stored_state(spark, tmp_path):
     """A stream that takes over: what a history left open decides its first lines."""
     opened = spark.createDataFrame([(1, 7, 100, None, None, None), (2, None, None, 100, 4, 100), (3, 1, 1, 1, 1, 1)], K.OPEN)
