@@ -15,9 +15,12 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,15 @@ MOST_PIECES, MOST_WORDS, LONGEST = 1_000_000, 1_000_000, 64
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 PLAIN = re.compile(rf"[\x00-&(-\x7f{_LATIN}]*")
 PIECES = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[^\t-\r 0-9{_LATIN}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: What a space or line feed begins in a plain text without white space side by side, the space left out; and many such words
+#: with spaces between them.
+_SINGLE = r"\n?{0}(?:[\t\x0b-\r]{0})*".format(rf"[\x00-\x08\x0e-\x1f!-&(-\x7f{_LATIN}]+")
+SINGLE, SINGLES = re.compile(_SINGLE), re.compile(f"{_SINGLE}(?: {_SINGLE})*")
+#: Bytes that a plain text can't hold, and bytes inside one piece of it: those from 128 on belong to its letters.
+ABSENT = re.compile(rb"['\xc0\xc1\xca-\xff]|\xc2[^\xaa\xb5\xba]|\xc3[\x97\xb7]|\xc9[\x90-\xbf]")
+INSIDE = re.compile(rb" ?[A-Za-z\x80-\xff]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z\x80-\xff]+|[\t-\r ]+")
+#: Words that the model encodes in one call, and words whose ids are put together at once.
+TOGETHER, GATHERED = 32, 1 << 19
 SPACE_BEFORE, OTHER_SPACE = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 
 
@@ -65,12 +77,107 @@ class Words(dict):
         return ids
 
 
+class Columns:
+    """Ids of words with the space or line feed before each, word by word in one array, for whole columns of plain texts.
+
+    Holds for a model none of whose merges reaches from one piece of a plain text into the next (`fits`): it then encodes many
+    words in one call, and a word begins at every id whose token begins with a space or a line feed."""
+
+    def __init__(self, model, vocabulary: dict[str, int], letters: dict[str, int]):
+        self.tokenize = model.tokenize
+        self.letters = np.zeros(256, "<u2")
+        for c, b in letters.items():
+            self.letters[b] = ord(c)
+        begin = (chr(self.letters[32]), chr(self.letters[10]))
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(begin)]] = True
+        self.forget()
+
+    @staticmethod
+    def fits(model: dict, letters: dict[str, int]) -> bool:
+        if model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or not model["vocab"].keys() >= letters.keys():
+            return False
+        made = (bytes(letters[c] for c in "".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"])
+        return all(INSIDE.fullmatch(b) or ABSENT.search(b) for b in made)
+
+    def forget(self) -> None:
+        self.number, self.passed = {}, 0  # numbers of the words that are kept; words met since that found no room
+        self.ids, self.first, self.n_ids = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int32)  # place 0 has no ids
+
+    def model_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that SINGLE matches, one after the other, and where each word begins."""
+        ids = array("I")
+        for i in range(0, len(words), TOGETHER):
+            raw = np.frombuffer((" " + " ".join(words[i : i + TOGETHER])).replace(" \n", "\n").encode(), np.uint8)
+            ids.extend([t.id for t in self.tokenize(self.letters[raw].tobytes().decode("utf-16-le"))])
+        flat = np.frombuffer(ids, np.uint32) if ids else np.empty(0, np.uint32)
+        return flat, np.flatnonzero(self.opens[flat])
+
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The place of each of some distinct words (0: SINGLE doesn't match it) among first ids and numbers of ids, and all ids."""
+        if self.passed > MOST_WORDS:
+            self.forget()
+        at = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+        new = np.flatnonzero(at == 0).tolist()
+        for k in range(len(new) // TOGETHER * TOGETHER, -1, -TOGETHER):
+            some = new[k : k + TOGETHER]
+            if some and not SINGLES.fullmatch(" ".join([words[i] for i in some])):
+                new[k : k + TOGETHER] = [i for i in some if SINGLE.fullmatch(words[i])]
+        kept, other, room = new, [], max(MOST_WORDS - len(self.number), 0)
+        if len(new) > room or max(map(len, words), default=0) > LONGEST:
+            kept = [i for i in new if len(words[i]) <= LONGEST][:room]
+            other = sorted(set(new).difference(kept))
+        ids, first, n_ids = self.ids, self.first, self.n_ids
+        for part, keep in ((kept, True), (other, False)):
+            if not part:
+                continue
+            flat, begin = self.model_ids([words[i] for i in part])
+            at[part] = np.arange(len(first), len(first) + len(part))
+            first, n_ids = np.append(first, begin + len(ids)), np.append(n_ids, np.diff(begin, append=len(flat)).astype(np.int32))
+            ids = np.append(ids, flat)
+            if keep:
+                self.number.update(zip([words[i] for i in part], at[part].tolist(), strict=True))
+                self.ids, self.first, self.n_ids = ids, first, n_ids
+            else:
+                self.passed += len(part)
+        return at, first, n_ids, ids
+
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes] | None]:
+        """Of each text what stands before its first space or line feed, and the ids of what follows; None for texts that aren't
+        plain or have white space side by side, at their beginning or at their end."""
+        lists = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        begins = lists.offsets.to_numpy()
+        heads = lists.values.take(begins[:-1]).to_pylist()
+        words = lists.values.dictionary_encode()
+        at, first, n_ids, ids = self.numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        where = words.indices.to_numpy()
+        odd = np.append(0, np.cumsum(at[where] == 0))
+        odd = odd[begins[1:]] > odd[begins[:-1]]
+        out, k = [], 0
+        while k < len(texts):
+            end = max(k + 1, int(np.searchsorted(begins, begins[k] + GATHERED, side="right")) - 1)
+            parts, sizes = [], np.zeros(begins[end] - begins[k] + 1, np.int64)
+            for a in range(int(begins[k]), int(begins[end]), GATHERED):
+                own = at[where[a : min(a + GATHERED, int(begins[end]))]]
+                n = n_ids[own]
+                n[begins[np.searchsorted(begins, a) : np.searchsorted(begins, a + len(n))] - a] = 0
+                sizes[a - begins[k] + 1 : a - begins[k] + 1 + len(n)] = n
+                total = np.cumsum(n, dtype=np.int64)
+                parts.append(ids[np.repeat(first[own] - (total - n), n) + np.arange(total[-1])])
+            flat, ends = np.concatenate(parts), np.cumsum(sizes)
+            for i in range(k, end):
+                out.append(None if odd[i] else (heads[i], flat[ends[begins[i] - begins[k]] : ends[begins[i + 1] - begins[k]]].tobytes()))
+            k = end
+        return out
+
+
 class LibraryIds:
     """Ids of texts as the tokenizers library gives them without added special tokens.
 
-    Under a byte-level BPE file a piece starts at every space before something solid. What stands between such places is cut
-    into the pre-tokenizer's pieces where it is plain, and the library's model encodes the pieces that aren't kept; where it isn't,
-    the library encodes it alone. Texts with special strings, or under any other kind of file, go to it whole."""
+    Under a byte-level BPE file a piece starts at every space before something solid. The words of plain texts are looked up
+    column by column, and the library's model encodes the new ones together (Columns). Elsewhere, what stands between such
+    places is cut into the pre-tokenizer's pieces where it is plain, and the model encodes the pieces that aren't kept; where it
+    isn't, the library encodes it alone. Texts with special strings, or under any other kind of file, go to it whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,6 +191,8 @@ class LibraryIds:
         self.by_piece = plain and spec["normalizer"] is None and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and (before.get("type"), before.get("add_prefix_space"), before.get("use_regex")) == ("ByteLevel", False, True)
         self.pieces = Pieces(self.tokenizer.model)
         self.words = Words(self.pieces)
+        letters = byte_letters()
+        self.columns = Columns(self.tokenizer.model, spec["model"]["vocab"], letters) if self.by_piece and Columns.fits(spec["model"], letters) else None
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -109,6 +218,17 @@ class LibraryIds:
         first, *rest = SPACE_BEFORE.split(text)
         return b"".join(self.whole(s) if (ids := self.plain(s)) is None else ids for s in (first, *(" " + s for s in rest)))
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text of a column."""
+        texts = [t or "" for t in texts]
+        quick = self.columns and [t and not any(s in t for s in self.special) for t in texts]
+        found = iter(self.columns.encode([t for t, q in zip(texts, quick, strict=True) if q]) if quick and any(quick) else ())
+        for i, t in enumerate(texts):
+            if quick and quick[i] and (got := next(found)) is not None:
+                yield b"".join(map(self.pieces.__getitem__, PIECES.findall(got[0]))) + got[1]
+            else:
+                yield self.encode(t)
+
 
 _encoders: dict[str, LibraryIds] = {}
 
@@ -120,8 +240,8 @@ def library_ids(path: str, end: int | None = None) -> Callable[[pd.Series], Iter
     def ids(texts: pd.Series) -> Iterator[np.ndarray]:
         if path not in _encoders:
             _encoders[path] = LibraryIds(path)
-        for t in texts:
-            yield np.frombuffer(_encoders[path].encode(t) + tail, "<u4")
+        for x in _encoders[path].encode_all(texts.tolist()):
+            yield np.frombuffer(x + tail, "<u4")
 
     return ids
 

@@ -108,3 +108,56 @@ def test_query_against_the_library(spark):
     assert dict(df.dtypes) == {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"}
     assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in df.collect()} == expected
     assert df.where(F.col("doc_id").isNull()).count() == 0
+
+
+def test_columns_of_texts_give_the_library_s_ids(monkeypatch):
+    """Also with little room for words, so that they are passed over and forgotten, and with texts cut into parts."""
+    lib, rnd = Tokenizer.from_file(JSON), random.Random(7)
+    texts = [None, "", "\n", "a\n", "\na", "one", "One word.\nThen\tanother\x0bone, 3 4.5 x1y.", "schön, ª º µm ÀÿŁɏ ß.", "a\n b", "a \nb", "a\n\nb", "a\r\nb", "x £ ®, y", "<|endoftext|> a", "it's so", "a " + "Q" * 300 + " b", "w " * 300, "漢字 b", "\0 a\x1c b"]
+    texts += ["".join(rnd.choice("aB1!é'\n \t") for _ in range(rnd.randrange(30))) for _ in range(1500)]
+    texts += [" ".join("".join(rnd.choice("abcé.,1") for _ in range(rnd.randrange(1, 6))) + rnd.choice(["", "", "\nX"]) for _ in range(rnd.randrange(60))) for _ in range(300)]
+    rnd.shuffle(texts)
+    expected = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most, gathered in ((1_000_000, 1 << 19), (150, 40)):
+        monkeypatch.setattr("lanternlog.llm.tokenids.MOST_WORDS", most)
+        monkeypatch.setattr("lanternlog.llm.tokenids.GATHERED", gathered)
+        own = LibraryIds(JSON)
+        for _ in range(2):
+            for i in range(0, len(texts), 100):
+                assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(texts[i : i + 100])] == expected[i : i + 100]
+        assert len(own.columns.number) <= most and not any(len(w) > 64 for w in own.columns.number)
+    assert list(own.encode_all([])) == []
+    assert len(list(LibraryIds(JSON).encode_all(["漢字 漢字", " "]))) == 2  # not one word for the columns
+
+
+def test_new_words_are_encoded_together():
+    """A column's new words take the model a call for some thirty of them, and none when they come again."""
+    own, calls = LibraryIds(JSON), []
+
+    def counted(tokenize):
+        return lambda text: calls.append(text) or tokenize(text)
+
+    own.pieces.tokenize = counted(own.pieces.tokenize)
+    if getattr(own, "columns", None):
+        own.columns.tokenize = counted(own.columns.tokenize)
+    texts = [" ".join(["the", *(f"{a}{b}q." for b in "bcdfgh")]) for a in ["ab" * i + "x" for i in range(1, 200)]]
+    ids = lambda: b"".join(own.encode_all(texts) if hasattr(own, "encode_all") else map(own.encode, texts))
+    assert np.frombuffer(ids(), "<u4").tolist() == [i for t in texts for i in own.tokenizer.encode(t, add_special_tokens=False).ids]
+    assert len(calls) < 6 * 199 / 20
+    calls.clear()
+    assert ids() and len(calls) < 199
+
+
+def test_models_that_merge_across_pieces_take_the_other_way(tmp_path):
+    import json
+
+    with open(JSON, encoding="utf-8") as f:
+        spec = json.load(f)
+    at = len(spec["model"]["merges"])
+    spec["model"]["merges"].append(["a", "1"])
+    spec["model"]["vocab"]["a1"] = max(spec["model"]["vocab"].values()) + 1 if at else 0
+    path = tmp_path / "crossing.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    own = LibraryIds(str(path))
+    assert LibraryIds(JSON).columns is not None and own.by_piece and own.columns is None
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode_all(["za1 b"])] == [own.tokenizer.encode("za1 b", add_special_tokens=False).ids]
