@@ -14,12 +14,13 @@ of a document's words are joined with their counts by a shuffle.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ SCORED = 8192
 GATHERED = 4_000_000
 #: Tokens that one model of a round learns from, and models of a round at most, beyond which each learns from more.
 LEARNED, MOST_MODELS = 2_000_000, 4096
+#: Rows of counts that a task gathers before it adds them up, and sums from which on it passes them on.
+COUNTED, SUMMED = 1_500_000, 500_000
 SEED = 5
 
 
@@ -46,27 +49,51 @@ def held_out(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(7)) == 2
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """The words of a text with A-Z in lower case, as UTF-8: bytes are lowered and split by ASCII rules only."""
-    return (text or "").encode().lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of texts one after the other, with A-Z in lower case, and their number in each text; texts are lowered and split by
+    ASCII rules only, and a null has no words."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    words, ends = lists.values, lists.offsets.to_numpy()
+    filled = pc.greater(pc.binary_length(words), 0)  # white space around a text leaves empty ones
+    ends = np.append(0, np.cumsum(filled.to_numpy(zero_copy_only=False)))[ends]
+    return words.filter(filled).dictionary_encode(), np.diff(ends)
 
 
 def count_words(docs: DataFrame, text: str) -> DataFrame:
     """(word, c) of every token of a text column: words with A-Z in lower case, and one end a text."""
+    shape = pa.schema([("word", pa.string()), ("c", pa.int64())])
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter[bytes] = Counter()
-        told = lambda: pd.DataFrame({"word": [w.decode() for w in counts], "c": list(counts.values())}).astype({"word": object, "c": np.int64})
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, texts = [], 0, 0
         for batch in batches:
-            for t in batch[text]:
-                counts.update(words_of(t))
-            counts[END.encode()] += len(batch)
-            if len(counts) > 200_000:
-                yield told()
-                counts.clear()
-        yield told()
+            words, sizes = words_of(batch.column(0))
+            held.append(pa.table({"word": words.dictionary, "c": np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))}))
+            rows, texts = rows + len(words.dictionary), texts + len(sizes)
+            if rows > COUNTED:
+                sums = summed(held)
+                rows = len(sums)
+                if rows > SUMMED:
+                    yield from told(sums)
+                    held, rows = [], 0
+                else:
+                    held = [sums]
+        if texts:
+            yield from told(summed([*held, pa.table({"word": pa.array([END], pa.large_string()), "c": [texts]})]))
 
-    return docs.select(text).mapInPandas(counted, "word string, c long").groupBy("word").agg(F.sum("c").cast("long").alias("c"))
+    def summed(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+    def told(sums: pa.Table) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(sums), 50_000):
+            yield from sums.slice(i, 50_000).cast(shape).to_batches()
+
+    return docs.select(text).mapInArrow(counted, "word string, c long").groupBy("word").agg(F.sum("c").cast("long").alias("c"))
+
+
+def columns(states: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """States (steps x units x lanes) as columns, those of the places `at` (step by step, lane by lane)."""
+    flat = states.transpose(1, 0, 2).reshape(states.shape[1], -1)
+    return flat if len(at) == flat.shape[1] else np.take(flat, at, axis=1)
 
 
 class Net:
@@ -104,27 +131,37 @@ class Net:
         net.p["bc"] = np.log(total / total.sum()).astype(np.float32)
         return net
 
-    def hidden(self, words: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after each of the words (steps x lanes), from a state of each lane."""
+    def states(self, words: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
+        """States after each of the words (steps x lanes), from a state of each lane (units x lanes), as steps x units x lanes, so
+        that a gate's values stand together. `keep` gets the gates z and r and the new values in one array, and what r lets through."""
         p, n = self.p, HIDDEN
-        gates = (p["emb"] @ p["wx"] + p["b"])[words]
-        out = np.empty((*words.shape, n), np.float32)
-        for t in range(len(words)):
-            rec = h @ p["wh"]
-            zr = gates[t, :, : 2 * n]
-            zr += rec[:, : 2 * n]
+        table, wh = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).T), np.ascontiguousarray(p["wh"].T)
+        steps, lanes = words.shape
+        gates = np.empty((steps if keep is not None else 1, 3 * n, lanes), np.float32)
+        recs = np.empty((len(gates), n, lanes), np.float32)
+        out = np.empty((steps, n, lanes), np.float32)
+        for t in range(steps):
+            gate, rec = np.take(table, words[t], axis=1, out=gates[t % len(gates)], mode="clip"), wh @ h
+            zr, new = gate[: 2 * n], gate[2 * n :]
+            zr += rec[: 2 * n]
             np.exp(np.negative(zr, out=zr), out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            z, r = zr[:, :n], zr[:, n:]
-            new = r * rec[:, 2 * n :]
-            new += gates[t, :, 2 * n :]
+            recs[t % len(gates)] = rec[2 * n :]
+            rec = np.multiply(rec[2 * n :], zr[n:], out=rec[2 * n :])
+            new += rec
             np.tanh(new, out=new)
-            if keep is not None:
-                keep.append((h, z, r, rec[:, 2 * n :], new))
-            h = np.add(z * (h - new), new, out=out[t])
+            np.subtract(h, new, out=rec)
+            rec *= zr[:n]
+            h = np.add(rec, new, out=out[t])
+        if keep is not None:
+            keep += [gates, recs]
         return out
 
+    def hidden(self, words: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """States after each of the words (steps x lanes), from a state of each lane, as steps x lanes x units."""
+        return self.states(words, np.ascontiguousarray(h.T)).transpose(0, 2, 1)
+
     @staticmethod
     def softmax(logits: np.ndarray, own: np.ndarray, grads: bool) -> tuple[np.ndarray, np.ndarray]:
         """Log-probability of each column's own row, and with grads what flows back into the logits, which are overwritten."""
@@ -138,15 +175,19 @@ class Net:
             logits[own, at] -= 1
         return mine - np.log(s), logits
 
-    def log_probs(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    def log_probs(self, h: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, None]:
+        """Natural-log probability of each target after each state, a state a row."""
+        return self.judge(h.T, targets)
+
+    def judge(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural-log probability of each target after each state, and with grads what flows back into the states.
 
-        States stand as columns in the order of their targets' classes, so each class is one slice."""
+        States stand as columns, and are taken in the order of their targets' classes, so each class is one slice."""
         p, learn = self.p, grads is not None
         cls = (targets // CLASS_SIZE).astype(np.int16)
         order = np.argsort(cls, kind="stable")
         cls, own = cls[order], (targets[order] % CLASS_SIZE).astype(np.int64)
-        cols = np.ascontiguousarray(h[order].T)
+        cols = np.take(h, order, axis=1)
         lp, d = self.softmax(p["wc"].T @ cols + p["bc"][:, None], cls, learn)
         back = None
         if learn:
@@ -166,8 +207,8 @@ class Net:
         out = np.empty_like(lp)
         out[order] = lp
         if learn:
-            flow = np.empty_like(h)
-            flow[order] = back.T
+            flow = np.empty_like(back)
+            flow[:, order] = back
             return out, flow
         return out, None
 
@@ -175,38 +216,47 @@ class Net:
         """One window of truncated backpropagation (steps x lanes); returns the state that the next window starts from."""
         p, n = self.p, HIDDEN
         keep: list = []
-        states = self.hidden(words, h, keep)
+        h = np.ascontiguousarray(h.T)
+        states = self.states(words, h, keep)
+        gates, recs = keep
+        z, r, new = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
         grads = {k: np.zeros_like(v) for k, v in p.items()}
-        flat = live.ravel()
-        _, back = self.log_probs(states.reshape(-1, n)[flat], targets.ravel()[flat], grads)
-        into = np.zeros((words.size, n), np.float32)
-        into[flat] = back
-        into = into.reshape(states.shape)
-        dgates = np.empty((*words.shape, 3 * n), np.float32)
+        at = np.flatnonzero(live)
+        _, back = self.judge(columns(states, at), targets.ravel()[at], grads)
+        into = np.zeros((n, words.size), np.float32)
+        into[:, at] = back
+        into = np.ascontiguousarray(into.reshape(n, *words.shape).transpose(1, 0, 2))
+        before = np.concatenate([h[None], states[:-1]])
+        left = 1 - z
+        into_z = (before - new) * z * left  # what a state's gradient is multiplied by on its way to z, to the new values and to r
+        into_new = (1 - new * new) * left
+        into_r = recs * r * (1 - r)
+        drec, dnew = np.empty(gates.shape, np.float32), np.empty(states.shape, np.float32)
         dh = np.zeros_like(h)
         for t in range(len(words) - 1, -1, -1):
-            before, z, r, rec, new = keep[t]
-            dh = dh + into[t]
-            dnew = dh * (1 - z) * (1 - new * new)
-            dz = dh * (before - new) * z * (1 - z)
-            dr = dnew * rec * r * (1 - r)
-            drec = np.concatenate([dz, dr, dnew * r], axis=1)
-            dgates[t] = np.concatenate([dz, dr, dnew], axis=1)
-            grads["wh"] += before.T @ drec
-            dh = dh * z + drec @ p["wh"].T
-        dg = dgates.reshape(-1, 3 * n)
+            dh += into[t]
+            np.multiply(dh, into_z[t], out=drec[t, :n])
+            d = np.multiply(dh, into_new[t], out=dnew[t])
+            np.multiply(d, into_r[t], out=drec[t, n : 2 * n])
+            np.multiply(d, r[t], out=drec[t, 2 * n :])
+            dh *= z[t]
+            dh += p["wh"] @ drec[t]
+        grads["wh"] += np.matmul(before, drec.transpose(0, 2, 1)).sum(0)
+        drec[:, 2 * n :] = dnew
         ids = words.ravel()
         order = np.argsort(ids.astype(np.int16), kind="stable")
         uniq, first = np.unique(ids[order], return_index=True)
-        dg = np.add.reduceat(dg[order], first, axis=0)  # one row for each word
+        dg = np.add.reduceat(drec.transpose(0, 2, 1).reshape(-1, 3 * n)[order], first, axis=0)  # one row for each word
         grads["wx"] += p["emb"][uniq].T @ dg
         grads["b"] += dg.sum(0)
         grads["emb"][uniq] += dg @ p["wx"].T
         for k, g in grads.items():  # a step that adapts to each weight's past gradients
-            g = np.clip(g * (SCALE / (WINDOW * LANES)), -CLIP, CLIP)
+            g *= SCALE / (WINDOW * LANES)
+            np.clip(g, -CLIP, CLIP, out=g)
             speed[k] += g * g
-            p[k] -= RATE * g / (np.sqrt(speed[k]) + 1e-3)
-        return states[-1]
+            g *= RATE
+            p[k] -= g / (np.sqrt(speed[k]) + 1e-3)
+        return states[-1].T
 
 
 def lanes_of(texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -215,22 +265,23 @@ def lanes_of(texts: list[np.ndarray], lanes: int) -> Iterator[tuple[np.ndarray,
     queue = iter(texts)
     left: list[np.ndarray | None] = [None] * lanes
     while True:
-        words = np.zeros((WINDOW, lanes), np.int32)
-        targets, live = np.zeros((WINDOW, lanes), np.int32), np.zeros((WINDOW, lanes), bool)
-        fresh = np.zeros(lanes, bool)
+        held, sizes, fresh = np.zeros((lanes, WINDOW + 1), np.int32), np.zeros(lanes, np.int32), np.zeros(lanes, bool)
         for k in range(lanes):
-            if left[k] is None:
-                if (t := next(queue, None)) is not None:
-                    left[k], fresh[k] = t, True
-            if left[k] is not None:
-                part = left[k][: WINDOW + 1]
-                n = len(part) - 1
-                words[:n, k], targets[:n, k], live[:n, k] = part[:-1], part[1:], True
-                left[k] = left[k][WINDOW:] if len(left[k]) > WINDOW + 1 else None
-        on = np.flatnonzero(live[0])
+            t = left[k]
+            if t is None:
+                if (t := next(queue, None)) is None:
+                    continue
+                fresh[k] = True
+            n = min(len(t), WINDOW + 1)
+            held[k, :n] = t[:n]
+            sizes[k] = n - 1
+            left[k] = t[WINDOW:] if len(t) > WINDOW + 1 else None
+        live = np.arange(WINDOW)[:, None] < sizes
+        on = np.flatnonzero(sizes)
         if not len(on):
             return
-        yield words[:, on], targets[:, on], live[:, on], on, fresh[on]
+        held = np.ascontiguousarray(held[on].T)
+        yield held[:-1], held[1:], live[:, on], on, fresh[on]
 
 
 def train_partition(net: Net, batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, int]:
@@ -258,7 +309,7 @@ def score_texts(net: Net, texts: list[np.ndarray], lanes: int = 8192) -> np.ndar
         group = order[at : at + lanes]
         sizes = np.array([len(texts[i]) for i in group])
         flat, begins = np.concatenate([texts[i] for i in group]), np.cumsum(sizes) - sizes
-        h = np.zeros((len(group), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(group)), np.float32)
         last = np.zeros(len(group), np.int32)
         w = width = 0
         while (w := w + width) < sizes[0]:  # the fewer texts are left, the longer is a window
@@ -270,11 +321,11 @@ def score_texts(net: Net, texts: list[np.ndarray], lanes: int = 8192) -> np.ndar
             words = np.empty_like(targets)
             words[0], words[1:] = last[:n], targets[:-1]
             last[:n] = targets[-1]
-            states = net.hidden(words, h[:n])
-            h[:n] = states[-1]
-            at, lane = np.nonzero(live)
-            lp, _ = net.log_probs(states[at, lane], targets[at, lane])
-            out[group[:n]] += np.bincount(lane, weights=lp, minlength=n)
+            states = net.states(words, h[:, :n])
+            h[:, :n] = states[-1]
+            at = np.flatnonzero(live)
+            lp, _ = net.judge(columns(states, at), targets.ravel()[at])
+            out[group[:n]] += np.bincount(at % n, weights=lp, minlength=n)
     return out
 
 
@@ -315,14 +366,14 @@ def frequent_words(counts: DataFrame, most: int = HEAD - 1) -> list:
     return words.where(F.col("level") >= least).select("word", "c").collect() if least is not None else []
 
 
-_numbered: dict[str, dict[bytes, int]] = {}
+_numbered: dict[str, dict[str, int]] = {}
 
 
-def _numbers(broadcast: str, words: list[str]) -> dict[bytes, int]:
+def _numbers(broadcast: str, words: list[str]) -> dict[str, int]:
     """Number of each broadcast word; one table is kept in a worker."""
     if broadcast not in _numbered:
         _numbered.clear()
-        _numbered[broadcast] = {w.encode(): i for i, w in enumerate(words)}
+        _numbered[broadcast] = {w: i for i, w in enumerate(words)}
     return _numbered[broadcast]
 
 
@@ -344,25 +395,24 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     head = np.array([end, *(r.c for r in top)], np.int64)
     ranked, own = spark.sparkContext.broadcast((words, head)), str(uuid.uuid4())
 
-    @F.pandas_udf("ids array<int>, tail array<string>, base double, known long, beyond double")
-    def encode(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("ids array<int>, tail array<string>, base double, known long, beyond double")
+    def encode(texts: pa.Array) -> pa.Array:
         words, head = ranked.value
-        number = _numbers(own, words)
-        logs = np.log10((head + 1) / smooth)
-        plus = np.log10(head + 1.0)
-        ids, tails, base, known, beyond = [], [], [], [], []
-        for t in texts:
-            tokens = words_of(t)
-            at = np.fromiter(map(number.get, tokens, repeat(-1)), np.int64, len(tokens))
-            tail = at < 0
-            tails.append([tokens[i].decode() for i in np.flatnonzero(tail)])
-            inside = np.append(at[~tail], 0)
-            base.append(float(logs[inside].sum()))
-            known.append(int((head[inside] > 0).sum()))
-            beyond.append(float(plus[inside[inside >= NET_WORDS]].sum()))
-            at[tail] = NET_WORDS
-            ids.append(np.append(np.minimum(at, NET_WORDS), 0).astype(np.int32))
-        return pd.DataFrame({"ids": ids, "tail": tails, "base": base, "known": known, "beyond": beyond})
+        coded, sizes = words_of(texts)
+        distinct, word = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        at = np.fromiter(map(_numbers(own, words).get, distinct, repeat(-1)), np.int64, len(distinct))
+        n, text = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        summed = lambda values: np.bincount(text, weights=np.where(at < 0, 0, values)[word], minlength=n)
+        base = summed(np.log10((head[at] + 1) / smooth)) + np.log10((head[0] + 1) / smooth)
+        known = summed(head[at] > 0).astype(np.int64) + int(head[0] > 0)
+        beyond = summed(np.where(at >= NET_WORDS, np.log10(head[at] + 1.0), 0))
+        ids = np.zeros(len(word) + n, np.int32)  # the end, 0, after each text
+        ids[np.arange(len(word)) + text] = np.where(at < 0, NET_WORDS, np.minimum(at, NET_WORDS))[word]
+        far = at[word] < 0
+        upto = lambda k: pa.array(np.append(0, np.cumsum(k)), pa.int32())
+        tail = pa.ListArray.from_arrays(upto(np.bincount(text[far], minlength=n)), coded.dictionary.take(word[far]).cast(pa.string()))
+        columns = [pa.ListArray.from_arrays(upto(sizes + 1), ids), tail, base, known, beyond]
+        return pa.StructArray.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["ids", "tail", "base", "known", "beyond"])
 
     key_type = dict(rows.dtypes)["key"]
     named = rows.select(F.col("key").cast("string").alias("key"), "held", F.xxhash64("key", "text").alias("deal"), encode("text").alias("_e"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lanternlog.llm import lm, media, mixing, pages, quality, sharding, urls
@@ -182,6 +183,44 @@ def test_frequent_words_keep_ties_together(spark):
     assert len(lm.frequent_words(counts, 4)) == 2 and lm.frequent_words(counts.limit(0), 4) == []
 
 
+def test_words_come_in_columns_and_sums(spark, monkeypatch):
+    """A whole column's words, cut and lowered as bytes are; a task's counts are added up before they are shuffled."""
+    texts = [None, "", " ", " A\tb\x0bC\x0cd\re\nf ", "É É\xa0x\x85y\x1cz\u2003w", "one  two\n\n one", "ÀB İ ſ K"]
+    words, sizes = lm.words_of(pa.array(texts))
+    expected = [[w.decode() for w in (t or "").encode().lower().split()] for t in texts]
+    assert words.to_pylist() == [w for ws in expected for w in ws] and sizes.tolist() == [len(ws) for ws in expected]
+    counts = Counter(w for ws in expected for w in ws) + Counter({lm.END: len(texts)})
+    df = spark.createDataFrame([(t,) for t in texts * 50], "text string")
+    for counted, summed in ((lm.COUNTED, lm.SUMMED), (4, 9), (4, 2)):
+        monkeypatch.setattr(lm, "COUNTED", counted)
+        monkeypatch.setattr(lm, "SUMMED", summed)
+        assert {r.word: r.c for r in lm.count_words(df, "text").collect()} == {w: 50 * c for w, c in counts.items()}
+
+
+def test_language_model_gradients_are_those_of_the_likelihood():
+    """A step changes each weight by its gradient's sign at first, which small differences of the likelihood show; a lane ends early."""
+    rng = np.random.default_rng(2)
+    words, targets = rng.integers(0, lm.NET_WORDS + 1, (6, 4)), rng.integers(0, lm.NET_WORDS + 1, (6, 4))
+    live = np.ones((6, 4), bool)
+    live[4:, 2] = False
+    h = rng.standard_normal((4, lm.HIDDEN)).astype(np.float32) * 0.3
+    net = lm.Net.start(np.arange(lm.NET_WORDS, 0, -1.0), 10.0)
+    for v in net.p.values():
+        v += rng.standard_normal(v.shape).astype(np.float32) * 0.3
+    likelihood = lambda p: lm.Net(p).log_probs(lm.Net(p).hidden(words, h)[live], targets[live])[0].astype(float).sum()
+    flat, at = net.flat(), 0
+    speed = {k: np.zeros_like(v) for k, v in net.p.items()}
+    net.learn(words, targets, live, h, speed)
+    for k, v in speed.items():
+        size = np.sqrt(v.ravel()) * (lm.WINDOW * lm.LANES / lm.SCALE)  # the gradient's size, as nothing is clipped here
+        for i in np.argsort(-size)[:3]:
+            up, down = flat.copy(), flat.copy()
+            up[at + i] += 0.01
+            down[at + i] -= 0.01
+            assert abs(likelihood(up) - likelihood(down)) / 0.02 == pytest.approx(float(size[i]), rel=0.05), (k, i)
+        at += v.size
+
+
 def test_language_model_gradients_and_sums():
     net = lm.Net.start(np.arange(lm.NET_WORDS, 0, -1.0), 10.0)
     rng = np.random.default_rng(1)
