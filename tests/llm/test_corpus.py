@@ -429,6 +429,23 @@ def test_url_tree_equals_plain_python_and_blocks_unlabelled_pages(spark):
     assert {got[k][2] for k in unlabelled if k[0] == "c" and k[1].startswith("/en/")} == {"allow"}
 
 
+def test_url_tree_broadcasts_what_does_not_grow_with_the_paths(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 9}.org/{'de' if i % 3 else 'en'}/{i}{'/x' * (i % 7 == 0)}") for i in range(1000)] + [(1000, "http://one.com/a/b/c")]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    settle, broadcast, plans, sent = urls.settle, urls.F.broadcast, [], []
+    monkeypatch.setattr(urls, "settle", lambda df: plans.append(plan(df)) or settle(df))
+    monkeypatch.setattr(urls.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    fits = urls.filter_urls(df)
+    assert 0 < max(sent) < 100  # templates, not paths
+    plans.clear()
+    monkeypatch.setattr(urls, "MOST_BROADCAST", -1)
+    shuffled = urls.filter_urls(df)
+    assert not [p for p in [*plans, plan(shuffled)] if "Broadcast" in p]
+    got = sorted(map(str, shuffled.collect()))
+    assert len(got) == 1001 and got == sorted(map(str, fits.collect()))
+
+
 def test_queries_hold_their_contracts(spark, docs, tmp_path):
     docs.where("doc_id is not null").select("doc_id", "text", "lang", "source", "n_chars").dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
     folder, text = str(tmp_path), {r.doc_id: r.text or "" for r in docs.collect()}
